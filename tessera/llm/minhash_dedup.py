@@ -215,8 +215,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     links = scratch.put(checked)
     scratch.drop(tasks, sets)
     found = connected_components(links, scratch)
-    firsts = classes.join(found, classes.rep == found.node, "left").select("n", "hi", "lo", F.coalesce("root", "rep").alias("first"))
-    out = base.drop("sketch").join(firsts, ["n", "hi", "lo"], "left").withColumn("first", F.coalesce("first", "_k"))
     ids = base.select(F.col("_k").alias("first"), F.col("doc_id").alias("component_id"))
-    heads = out.filter("first = _k").select("first").join(ids, "first")
-    return out.join(heads, "first").select("_k", "doc_id", F.col("n").alias("n_shingles"), "component_id", (F.col("_k") == F.col("first")).alias("kept"))
+    firsts = classes.join(found, classes.rep == found.node, "left").select("n", "hi", "lo", F.coalesce("root", "rep").alias("first")).join(ids, "first")
+    out = base.drop("sketch").join(firsts, ["n", "hi", "lo"], "left")
+    alone = F.col("first").isNull()
+    return out.select("_k", "doc_id", F.col("n").alias("n_shingles"), F.when(alone, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), (alone | (F.col("_k") == F.col("first"))).alias("kept"))
