@@ -3,8 +3,9 @@
 An item is found where a window that starts at a word is within RATE times the item's length of edits of it, both
 lower-cased with white space as one blank. Windows of an item's size are embedded by CGK random walks, under which
 strings a few edits apart fall in step again and differ in few places. Each of several walks is sampled at a few
-places, several times, and windows that agree with an item in one whole sample are verified by exact edit distance
-(bit-parallel). Windows that hold too few of the items' q-grams for so few edits can't match and aren't embedded.
+places, several times, and windows that agree with an item in AGREE whole samples are verified by exact edit distance
+(bit-parallel). Only windows that can match are embedded: within e edits of an item, a window has at least
+length - q + 1 - q * e of its q-grams, each at most e places from where the item has it.
 
 Recall of the sampling is what test_decontaminate.py measures against exact search: at least 0.97 at the largest
 number of edits, 1 for exact copies.
@@ -24,7 +25,7 @@ from tessera.llm.common import MIX
 
 RATE = 0.08  # edits for each character of an item
 GRAM = 10
-WALKS, SAMPLES, PLACES = 4, 8, 4
+WALKS, SAMPLES, PLACES, AGREE = 6, 12, 4, 2
 STEP = 1.15  # items up to so many times as long share windows
 BLOCK = 1 << 20  # characters at once
 ITEM_CHARS = 20_000_000  # of items held by each worker at once; more are searched for in several passes
@@ -68,6 +69,8 @@ def bounded_distance(item: str, window: str, most: int) -> tuple[int, int] | Non
         mv = ph & xv
         if score < best[0]:
             best = (score, j)
+        elif score - (len(window) - j) > most:
+            break
     return best if best[0] <= most else None
 
 
@@ -77,16 +80,21 @@ class ItemIndex:
     def __init__(self, items: list[tuple[int | None, str]]):
         self.items = sorted(((i, normalised(t)) for i, t in items if normalised(t)), key=lambda x: (len(x[1]), x[1], x[0] is None, x[0] or 0))
         self.edits = [int(RATE * len(t)) for _, t in self.items]
-        self.table = np.zeros(1 << 22, bool)
-        self.sizes: list[tuple[int, int, int, int]] = []  # of items of like length: first item, one past the last, most characters of a window, least q-grams
+        self.needed = np.array([max(1, len(t) - GRAM + 1 - GRAM * e) for (_, t), e in zip(self.items, self.edits, strict=True)], np.int64)
+        self.sizes: list[tuple[int, int]] = []  # of items of like length: the first item, one past the last
         first = 0
-        for i, (_, t) in enumerate(self.items):
-            self.table[_gram_hashes(_codes(t)) >> np.uint32(10)] = True
+        for i in range(len(self.items)):
             if i + 1 == len(self.items) or len(self.items[i + 1][1]) > STEP * len(self.items[first][1]):
-                own = range(first, i + 1)
-                least = min(max(0, len(self.items[j][1]) - GRAM + 1 - GRAM * self.edits[j]) for j in own)
-                self.sizes.append((first, i + 1, max(len(self.items[j][1]) + self.edits[j] for j in own), least))
+                self.sizes.append((first, i + 1))
                 first = i + 1
+        self.size_of = np.repeat(np.arange(len(self.sizes)), [b - a for a, b in self.sizes])
+        hashes = [_gram_hashes(_codes(t)) for _, t in self.items]
+        self.grams, of = np.concatenate([*hashes, np.empty(0, np.uint32)]), np.repeat(np.arange(len(hashes)), [len(h) for h in hashes])
+        offset = np.concatenate([*(np.arange(len(h)) for h in hashes), np.empty(0, np.int64)])
+        by = np.argsort(self.grams, kind="stable")
+        self.grams, self.gram_item, self.gram_offset = self.grams[by], of[by], offset[by]
+        self.table = np.zeros(1 << 22, bool)
+        self.table[self.grams >> np.uint32(10)] = True
         rng = np.random.default_rng(7)
         self.steps = max([int(1.8 * len(self.items[s[0]][1])) for s in self.sizes], default=0)
         self.turns = [rng.integers(0, 2, (self.steps, 256), dtype=np.int64) for _ in range(WALKS)]
@@ -127,47 +135,65 @@ class ItemIndex:
     def search(self, texts: list[str]) -> list[list[tuple[int | None, int, int, int]]]:
         """Of each normalised text: (item, start, stop, distance) of the best match of each item found."""
         found: list[dict[int, tuple[int, int, int]]] = [{} for _ in texts]
-        at = 0
+        at, width = 0, self.steps + 1
+        held: list[tuple[np.ndarray, ...]] = []
         while at < len(texts) and self.items:
             to, n = at, 0
             while to < len(texts) and (to == at or n + len(texts[to]) < BLOCK):
                 n += len(texts[to]) + 1
                 to += 1
-            self._search("\0".join(["", *texts[at:to], ""]), at, texts, found)
+            codes = _codes("\0".join(["", *texts[at:to], ""]) + "\0" * width)
+            start, size = self._candidates(codes)
+            begin = np.flatnonzero(codes == 0)[: to - at] + 1
+            doc = np.searchsorted(begin, start, side="right") - 1
+            held.append((codes[start[:, None] + np.arange(width)], size, doc + at, start - begin[doc]))
             at = to
+            if sum(len(h[1]) for h in held) >= 8_192 or at == len(texts):
+                for a in range(0, max(len(h[1]) for h in held), 8_192):
+                    self._match([np.concatenate([h[j][a : a + 8_192] for h in held]) for j in range(4)], texts, found)
+                held = []
         return [[(self.items[i][0], s, e, d) for i, (d, s, e) in sorted(f.items())] for f in found]
 
-    def _search(self, joined: str, at: int, texts: list[str], found: list[dict]) -> None:
-        codes = _codes(joined)
-        total = np.concatenate([[0], np.cumsum(self.table[_gram_hashes(codes) >> np.uint32(10)], dtype=np.int32)])
+    def _candidates(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where windows start that have enough q-grams of one item near their places, and the item's class of lengths."""
+        h = _gram_hashes(codes)
+        place = np.flatnonzero(self.table[h >> np.uint32(10)])
+        lo, hi = np.searchsorted(self.grams, h[place]), np.searchsorted(self.grams, h[place], side="right")
+        place, lo, n = np.repeat(place, hi - lo), np.repeat(lo, hi - lo), hi - lo
+        entry = lo + np.arange(len(lo)) - np.repeat(np.cumsum(np.append(0, n[:-1])), n)
+        item, begin = self.gram_item[entry], place - self.gram_offset[entry]
+        far = 1 << 40
+        key = np.sort(item * far + begin + (1 << 20))
+        item = key // far
+        edits, needed = np.array(self.edits, np.int64)[item], self.needed[item]
+        last = np.minimum(np.arange(len(key)) + needed - 1, len(key) - 1)
+        ok = (np.arange(len(key)) + needed <= len(key)) & (key[last] <= key + 2 * edits)
+        first, final, edits, item = (key % far - (1 << 20))[ok], (key % far - (1 << 20))[last][ok], edits[ok], item[ok]
         gap = (codes == 32) | (codes == 0)
-        starts = np.flatnonzero(gap[:-1] & ~gap[1:]) + 1
-        last = len(total) - 1
-        windows, size = [], []
-        for k, (_, _, most, least) in enumerate(self.sizes):
-            count = total[np.minimum(starts + most - GRAM + 1, last)] - total[np.minimum(starts, last)]
-            w = starts[count >= least]
-            windows.append(w)
-            size.append(np.full(len(w), k))
-        begin = np.flatnonzero(codes == 0)[:-1] + 1
-        windows, size = np.concatenate(windows), np.concatenate(size)
-        codes = np.concatenate([codes, np.zeros(self.steps + 1, np.uint32)])
-        tried: set[tuple[int, int]] = set()
-        for a in range(0, len(windows), 8_192):
-            w, k = windows[a : a + 8_192], size[a : a + 8_192]
-            keys, rows = self.sampled(codes, w, k)
-            lo, hi = np.searchsorted(self.keys, keys), np.searchsorted(self.keys, keys, side="right")
-            for x in np.flatnonzero(hi > lo).tolist():
-                s = int(w[rows[x]])
-                for i in self.owner[lo[x] : hi[x]].tolist():
-                    if (s, i) in tried:
-                        continue
-                    tried.add((s, i))
-                    d = int(np.searchsorted(begin, s, side="right")) - 1
-                    start, item = s - int(begin[d]), self.items[i][1]
-                    got = bounded_distance(item, texts[at + d][start : start + len(item) + self.edits[i]], self.edits[i])
-                    if got and (got[0], start) < found[at + d].get(i, (1 << 60, 0))[:2]:
-                        found[at + d][i] = (got[0], start, start + got[1])
+        words = np.flatnonzero(gap[:-1] & ~gap[1:]) + 1
+        a, b = np.searchsorted(words, final - edits), np.searchsorted(words, first + edits, side="right")
+        n = np.maximum(b - a, 0)
+        word = words[np.repeat(a, n) + np.arange(n.sum()) - np.repeat(np.cumsum(np.append(0, n[:-1])), n)]
+        pairs = np.unique(word * 4096 + self.size_of[np.repeat(item, n)])
+        return pairs // 4096, pairs % 4096
+
+    def _match(self, windows: list[np.ndarray], texts: list[str], found: list[dict]) -> None:
+        codes, size, doc, start = windows
+        if not len(size):
+            return
+        keys, rows = self.sampled(codes.ravel(), np.arange(len(size)) * codes.shape[1], size)
+        lo, hi = np.searchsorted(self.keys, keys), np.searchsorted(self.keys, keys, side="right")
+        hit = np.repeat(np.arange(len(keys)), hi - lo)
+        item = self.owner[np.arange(len(hit)) - np.repeat(np.cumsum(np.append(0, (hi - lo)[:-1])), hi - lo) + lo[hit]]
+        pairs, votes = np.unique(rows[hit] * len(self.items) + item, return_counts=True)
+        for x in pairs[votes >= AGREE].tolist():
+            w, i = x // len(self.items), x % len(self.items)
+            d, s, text = int(doc[w]), int(start[w]), self.items[i][1]
+            if found[d].get(i, (1,))[0] == 0:
+                continue
+            got = bounded_distance(text, texts[d][s : s + len(text) + self.edits[i]], self.edits[i])
+            if got and (got[0], s) < found[d].get(i, (1 << 60, 0))[:2]:
+                found[d][i] = (got[0], s, s + got[1])
 
 
 MATCH = "array<struct<item_id:long,start:long,stop:long,distance:long>>"
@@ -176,7 +202,7 @@ MATCH = "array<struct<item_id:long,start:long,stop:long,distance:long>>"
 def find_items(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text", matches_col: str = "matches") -> DataFrame:
     """docs with the items found in each whole text: item_id, start and stop in the normalised text, edit distance, of each item's best match.
 
-    Null and blank texts hold no item; null and blank items are never found. Repeated rows are searched alike, and
+    Null and blank texts hold no item; null items and those under GRAM characters are never found. Repeated rows are searched alike, and
     repeated items are all found. An empty table on either side gives no match. An added column replaces one of the
     same name. Each worker holds at most ITEM_CHARS characters of items, whatever the size of the benchmark; more
     items are searched for in further passes over docs.
