@@ -7,6 +7,7 @@ from difflib import SequenceMatcher
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from tessera.functions.text import tokens
 
@@ -35,12 +36,12 @@ def char_ratio(a: str, b: str, method: str = "indel") -> float:
     return 2 * lcs_length(a, b) / (len(a) + len(b)) if method == "indel" else SequenceMatcher(None, a, b).ratio()
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def _indel(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([char_ratio(x or "", y or "") for x, y in zip(a, b, strict=True)], dtype="float64")
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def _gestalt(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([char_ratio(x or "", y or "", "gestalt") for x, y in zip(a, b, strict=True)], dtype="float64")
 

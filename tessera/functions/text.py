@@ -119,8 +119,12 @@ def char_wb_ngrams(c: Column, sizes: tuple[int, ...] = DEFAULTS.grams) -> Column
 
     def of(word: Column) -> Column:
         padded = F.concat(F.lit(" "), word, F.lit(" "))
-        parts = [F.when(F.char_length(padded) >= n, F.transform(F.sequence(F.lit(1), F.char_length(padded) - n + 1), lambda i, n=n: F.substring(padded, i, F.lit(n)))).otherwise(F.array().cast("array<string>")) for n in sizes]
-        return F.concat(*parts)
+
+        def sized(n: int) -> Column:
+            places = F.sequence(F.lit(1), F.char_length(padded) - n + 1)
+            return F.when(F.char_length(padded) >= n, F.transform(places, lambda i: F.substring(padded, i, F.lit(n)))).otherwise(F.array().cast("array<string>"))
+
+        return F.concat(*map(sized, sizes))
 
     return F.flatten(F.transform(tokens(c), of))
 

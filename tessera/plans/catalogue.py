@@ -1,4 +1,434 @@
-"""Named queries and the SQL that each is checked against."""
+"""Named queries over the derived directories and documents, and the DuckDB SQL that each is checked against."""
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from __future__ import annotations
+
+from collections.abc import Callable
+from dataclasses import replace
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tessera.functions import similarity as sim
+from tessera.functions import text as tx
+from tessera.operators import blocking, metrics, pairs, profiling, training
+from tessera.plans import fixtures, workflow
+from tessera.settings import DEFAULTS, LEGAL_SUFFIXES
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLES: dict[str, str] = {}
+CAP, TOP_K, THRESHOLD = 8, 10, 0.5
+TOY = replace(DEFAULTS, max_iter=5, max_depth=4, top_k=5)
+
+
+def query(oracle: str | None = None) -> Callable:
+    def add(f: Callable[[SparkSession, str], DataFrame]) -> Callable:
+        QUERIES[f.__name__] = f
+        if oracle is not None:
+            ORACLES[f.__name__] = oracle if oracle.startswith("SELECT ") and " FROM documents" in oracle else fixtures.with_views(oracle)
+        return f
+
+    return add
+
+
+def norm(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return tx.normalize_source(fixtures.directory(spark, sf_dir, name))
+
+
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fixtures.table(spark, sf_dir, "documents")
+
+
+# --- text -------------------------------------------------------------------
+
+@query("SELECT entity_id, name_norm FROM n2")
+def normalize_name(spark, d):
+    return norm(spark, d, "d2").select("entity_id", "name_norm")
+
+
+@query("SELECT entity_id, address_norm FROM n2")
+def normalize_address(spark, d):
+    return norm(spark, d, "d2").select("entity_id", "address_norm")
+
+
+@query("SELECT entity_id, country_norm FROM n3")
+def normalize_country(spark, d):
+    return norm(spark, d, "d3").select("entity_id", "country_norm")
+
+
+_FOLD = "replace(lower(nfc_normalize(coalesce(text,''))),'ß','ss')"
+_PLAIN = "replace(translate(" + _FOLD + ",'‘’ʼ`´','''''''''''') ,'''','')"
+
+
+@query(f"SELECT doc_id, trim(regexp_replace({_PLAIN},'[^\\p{{L}}\\p{{M}}\\p{{N}}]+',' ','g')) AS norm FROM documents")
+def normalize_documents(spark, d):
+    return documents(spark, d).select("doc_id", tx.normalize_name(F.col("text")).alias("norm"))
+
+
+@query("SELECT doc_id, trim(regexp_replace(regexp_replace(lower(nfc_normalize(coalesce(text,''))),'[^0-9a-zA-Z\\s]',' ','g'),'\\s+',' ','g')) AS norm FROM documents")
+def normalize_ascii_fallback(spark, d):
+    return documents(spark, d).select("doc_id", tx.normalize_ascii_fallback(F.col("text")).alias("norm"))
+
+
+@query(f"SELECT doc_id, trim(regexp_replace(regexp_replace({_FOLD},'[^\\p{{L}}\\p{{N}}_\\s]',' ','g'),'\\s+',' ','g')) AS norm FROM documents")
+def profile_normalize(spark, d):
+    return documents(spark, d).select("doc_id", tx.profile_normalize(F.col("text")).alias("norm"))
+
+
+@query(f"SELECT entity_id, regexp_replace(name_norm,'(^| )({'|'.join(LEGAL_SUFFIXES)})$','') AS name FROM n2")
+def strip_legal_suffix(spark, d):
+    return norm(spark, d, "d2").select("entity_id", tx.strip_legal_suffix(F.col("name_norm")).alias("name"))
+
+
+@query("SELECT entity_id, nullif(regexp_extract(address_norm,'([0-9]+)',1),'') AS house FROM n2")
+def house_number(spark, d):
+    return norm(spark, d, "d2").select("entity_id", tx.house_number(F.col("address_norm")).alias("house"))
+
+
+_RUNS = "regexp_extract_all(address_norm,'[0-9]+')"
+
+
+@query(f"SELECT entity_id, coalesce({', '.join(f'list_filter({_RUNS}, lambda r: len(r)={n})[1]' for n in (6, 5, 4))}) AS postal FROM n2")
+def postal_candidate(spark, d):
+    return norm(spark, d, "d2").select("entity_id", tx.postal_candidate(F.col("address_norm")).alias("postal"))
+
+
+@query(f"SELECT entity_id, array_to_string(list_sort(list_distinct({_RUNS})),',') AS runs FROM n2")
+def digit_runs(spark, d):
+    return norm(spark, d, "d2").select("entity_id", F.array_join(F.array_sort(tx.digit_runs(F.col("address_norm"))), ",").alias("runs"))
+
+
+@query("SELECT entity_id, split_part(address_norm,' ',1) AS token FROM n2")
+def address_first_token(spark, d):
+    return norm(spark, d, "d2").select("entity_id", tx.first_token(F.col("address_norm")).alias("token"))
+
+
+_GRAMS = """SELECT name_norm, unnest(flatten(list_transform([3,4,5], lambda n: flatten(list_transform(list_filter(string_split(name_norm,' '), lambda w: w<>'' AND len(w)+2>=n),
+  lambda w: list_transform(range(1,len(w)+4-n), lambda i: substr(' '||w||' ',i,n))))))) AS gram"""
+
+
+@query(f", g AS ({_GRAMS} FROM (SELECT DISTINCT name_norm FROM n1)) SELECT name_norm, gram, count(*) AS tf FROM g GROUP BY name_norm, gram")
+def char_wb_ngrams(spark, d):
+    return norm(spark, d, "d1").select("name_norm").distinct().select("name_norm", F.explode(tx.char_wb_ngrams(F.col("name_norm"))).alias("gram")).groupBy("name_norm", "gram").agg(F.count("*").alias("tf"))
+
+
+# --- blocking ---------------------------------------------------------------
+
+def _block(keys: str, cap: int | None, right: str = "n2") -> str:
+    kept = f" AND ({keys}) IN (SELECT {keys} FROM {right} GROUP BY ALL HAVING count(*)<={cap})" if cap else ""
+    first = keys.split(",")
+    full = " AND ".join(f"{k}<>''" for k in first)
+    on = " AND ".join(f"a.{k}=b.{k}" for k in first)
+    return f"SELECT DISTINCT a.entity_id AS source1_entity_id, b.entity_id AS candidate_entity_id FROM (SELECT * FROM n1 WHERE {full}) a JOIN (SELECT * FROM {right} WHERE {full}{kept}) b ON {on}"
+
+
+def _address_block(cap: int, right: str = "n2") -> str:
+    return f"SELECT DISTINCT a.entity_id AS source1_entity_id, b.entity_id AS candidate_entity_id FROM n1 a JOIN (SELECT *, count(*) OVER (PARTITION BY split_part(address_norm,' ',1)) AS c FROM {right} WHERE address_norm<>'') b ON a.address_norm<>'' AND split_part(a.address_norm,' ',1)=split_part(b.address_norm,' ',1) WHERE c<={cap}"
+
+
+def _topk(k: int, right: str = "n2", tag: str = "") -> str:
+    """CTEs whose last, top{tag}, has the k most alike candidates of each row."""
+    return f"""ga{tag} AS (SELECT name_norm AS a, gram, count(*) AS ta FROM ({_GRAMS} FROM (SELECT DISTINCT name_norm FROM n1 WHERE name_norm<>'')) GROUP BY ALL),
+gb{tag} AS (SELECT name_norm AS b, gram, count(*) AS tb FROM ({_GRAMS} FROM (SELECT DISTINCT name_norm FROM {right} WHERE name_norm<>'')) GROUP BY ALL),
+na{tag} AS (SELECT a, sum(ta*ta) AS na FROM ga{tag} GROUP BY a), nb{tag} AS (SELECT b, sum(tb*tb) AS nb FROM gb{tag} GROUP BY b),
+dot{tag} AS (SELECT a, b, sum(ta*tb) AS dot FROM ga{tag} JOIN gb{tag} USING (gram) WHERE substr(a,1,2)=substr(b,1,2) GROUP BY a, b),
+cos{tag} AS (SELECT a, b, CAST(dot AS DOUBLE)/sqrt(CAST(na*nb AS DOUBLE)) AS cos FROM dot{tag} JOIN na{tag} USING (a) JOIN nb{tag} USING (b)),
+top{tag} AS (SELECT * FROM (SELECT x.entity_id AS source1_entity_id, y.entity_id AS candidate_entity_id, cos, row_number() OVER (PARTITION BY x.entity_id ORDER BY cos DESC, y.entity_id) AS rank
+  FROM cos{tag} JOIN n1 x ON x.name_norm=a JOIN {right} y ON y.name_norm=b) WHERE rank<={k})"""
+
+
+def _union(right: str, tag: str) -> str:
+    return f"{_block('name_norm', CAP, right)} UNION {_block('name_norm,country_norm', None, right)} UNION {_address_block(CAP, right)} UNION SELECT source1_entity_id, candidate_entity_id FROM top{tag}"
+
+
+@query(_block("name_norm", CAP))
+def block_exact_name(spark, d):
+    return blocking.exact_name(norm(spark, d, "d1"), norm(spark, d, "d2"), cap=CAP)
+
+
+@query(_block("name_norm,country_norm", None))
+def block_name_country(spark, d):
+    return blocking.name_country(norm(spark, d, "d1"), norm(spark, d, "d2"))
+
+
+@query(_address_block(CAP))
+def block_address_token(spark, d):
+    return blocking.address_token(norm(spark, d, "d1"), norm(spark, d, "d2"), cap=CAP)
+
+
+@query(f", {_topk(TOP_K)} SELECT source1_entity_id, candidate_entity_id, round(cos,6) AS cos, rank FROM top")
+def block_ngram_topk(spark, d):
+    return blocking.ngram_topk(norm(spark, d, "d1"), norm(spark, d, "d2"), TOP_K, with_score=True).withColumn("cos", F.round("cos", 6))
+
+
+@query(f", {_topk(TOP_K)} {_union('n2', '')}")
+def candidates_union(spark, d):
+    return blocking.generate_candidates(norm(spark, d, "d1"), norm(spark, d, "d2"), TOP_K, cap=CAP)
+
+
+@query(f", {_topk(TOP_K)}, {_topk(TOP_K, 'n3', '3')} {_union('n2', '')} UNION {_union('n3', '3')}")
+def candidates_all_sources(spark, d):
+    return blocking.generate_all_candidates(*[norm(spark, d, n) for n in ("d1", "d2", "d3")], TOP_K, cap=CAP)
+
+
+# --- similarities and features ----------------------------------------------
+
+def _attributes(spark: SparkSession, d: str) -> DataFrame:
+    p = fixtures.scored(spark, d).select("source1_entity_id", "candidate_entity_id")
+    return pairs.with_attributes(p, norm(spark, d, "d1"), norm(spark, d, "d2"), None)
+
+
+_PAIRS = ", p AS (SELECT s.source1_entity_id, s.candidate_entity_id, a.name_norm n1, b.name_norm n2, a.address_norm a1, b.address_norm a2, a.country_norm c1, b.country_norm c2 FROM scored s JOIN n1 a ON a.entity_id=s.source1_entity_id JOIN n2 b ON b.entity_id=s.candidate_entity_id)"
+_IDS = "source1_entity_id, candidate_entity_id"
+_tok = lambda c: f"list_distinct(list_filter(string_split({c},' '), lambda x: x<>''))"
+_run = lambda c: f"list_distinct(regexp_extract_all({c},'[0-9]+'))"
+
+
+def _jac(x: str, y: str) -> str:
+    return f"CASE WHEN len({x})=0 OR len({y})=0 THEN 0.0::DOUBLE ELSE CAST(len(list_intersect({x},{y})) AS DOUBLE)/(len({x})+len({y})-len(list_intersect({x},{y}))) END"
+
+
+def _con(x: str, y: str) -> str:
+    return f"CASE WHEN len({x})=0 OR len({y})=0 THEN 0.0::DOUBLE ELSE CAST(len(list_intersect({x},{y})) AS DOUBLE)/least(len({x}),len({y})) END"
+
+
+def _len(x: str, y: str) -> str:
+    return f"CAST(abs(len({x})-len({y})) AS DOUBLE)/greatest(len({x}),len({y}),1)"
+
+
+def _measure(name: str, value: Callable[[], Column], oracle: str) -> None:
+    def f(spark: SparkSession, d: str) -> DataFrame:
+        return _attributes(spark, d).select("source1_entity_id", "candidate_entity_id", F.round(value(), 6).alias("value"))
+
+    f.__name__ = name
+    query(f"{_PAIRS} SELECT {_IDS}, round({oracle},6) AS value FROM p")(f)
+
+
+_measure("token_jaccard", lambda: sim.jaccard(tx.tokens(F.col("n1")), tx.tokens(F.col("n2"))), _jac(_tok("n1"), _tok("n2")))
+_measure("token_containment", lambda: sim.containment(tx.tokens(F.col("n1")), tx.tokens(F.col("n2"))), _con(_tok("n1"), _tok("n2")))
+_measure("numeric_jaccard", lambda: sim.jaccard(tx.digit_runs(F.col("a1")), tx.digit_runs(F.col("a2"))), _jac(_run("a1"), _run("a2")))
+_measure("length_diff", lambda: sim.length_diff(F.col("n1"), F.col("n2")), _len("n1", "n2"))
+
+
+@query()
+def char_similarity(spark, d):
+    return _attributes(spark, d).select("source1_entity_id", "candidate_entity_id", F.round(sim.char_sim(F.col("n1"), F.col("n2")), 6).alias("indel"), F.round(sim.token_sort_sim(F.col("n1"), F.col("n2")), 6).alias("token_sort"), F.round(sim.token_set_sim(F.col("n1"), F.col("n2")), 6).alias("token_set"))
+
+
+def _native_sql() -> str:
+    names, addresses, countries = "(n1<>'' AND n2<>'')", "(a1<>'' AND a2<>'')", "(c1<>'' AND c2<>'')"
+    flag = lambda c: f"CASE WHEN {c} THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END"
+    on = lambda both, v, other="0.0::DOUBLE": f"CASE WHEN {both} THEN {v} ELSE {other} END"
+    post = lambda c: "coalesce(" + ", ".join(f"list_filter(regexp_extract_all({c},'[0-9]+'), lambda r: len(r)={n})[1]" for n in (6, 5, 4)) + ")"
+    house = lambda c: f"nullif(regexp_extract({c},'([0-9]+)',1),'')"
+    both = lambda f: f"({addresses} AND {f('a1')} IS NOT NULL AND {f('a2')} IS NOT NULL)"
+    cols = {
+        "name_missing_s1": flag("n1=''"), "name_missing_cand": flag("n2=''"), "name_exact_match": flag(f"{names} AND n1=n2"),
+        "name_token_jaccard": on(names, _jac(_tok("n1"), _tok("n2"))), "name_token_containment": on(names, _con(_tok("n1"), _tok("n2"))), "name_len_diff": on(names, _len("n1", "n2"), "1.0::DOUBLE"),
+        "address_missing_s1": flag("a1=''"), "address_missing_cand": flag("a2=''"), "address_exact_match": flag(f"{addresses} AND a1=a2"),
+        "address_token_jaccard": on(addresses, _jac(_tok("a1"), _tok("a2"))), "address_len_diff": on(addresses, _len("a1", "a2"), "1.0::DOUBLE"),
+        "address_numeric_jaccard": on(addresses, _jac(_run("a1"), _run("a2"))),
+        "postal_both_present": flag(both(post)), "postal_match": flag(f"{both(post)} AND {post('a1')}={post('a2')}"),
+        "house_number_both_present": flag(both(house)), "house_number_match": flag(f"{both(house)} AND {house('a1')}={house('a2')}"),
+        "country_missing_s1": flag("c1=''"), "country_missing_cand": flag("c2=''"), "country_match": flag(f"{countries} AND c1=c2"),
+    }
+    return f"{_PAIRS} SELECT {_IDS}, {', '.join(f'round({v},6) AS {k}' for k, v in cols.items())} FROM p"
+
+
+@query(_native_sql())
+def pair_features_native(spark, d):
+    cols = pairs.native_features()
+    return _attributes(spark, d).select("source1_entity_id", "candidate_entity_id", *[F.round(c, 6).alias(k) for k, c in cols.items()])
+
+
+@query()
+def pair_features_full(spark, d):
+    p = fixtures.scored(spark, d).select("source1_entity_id", "candidate_entity_id")
+    return pairs.build_features(p, *[norm(spark, d, n) for n in ("d1", "d2", "d3")])
+
+
+# --- labels and metrics -----------------------------------------------------
+
+_EXPLODE = "SELECT source1_entity_id, trim(m) AS candidate_entity_id FROM (SELECT source1_entity_id, unnest(string_split(matched_entity_ids,',')) AS m FROM truth) WHERE trim(m)<>''"
+_COUNTS = f"t AS (SELECT i.source1_entity_id, CAST(count(e.candidate_entity_id) AS BIGINT) AS n_true FROM (SELECT DISTINCT source1_entity_id FROM truth) i LEFT JOIN ({_EXPLODE}) e USING (source1_entity_id) GROUP BY 1)"
+
+
+def _entities(at: str) -> str:
+    """CTE m: tp, fp, fn, precision, recall and f_beta of each entity at the threshold."""
+    return f"""c AS (SELECT t.source1_entity_id, n_true, CAST(count(*) FILTER (WHERE proba>={at}) AS BIGINT) AS pred, CAST(count(*) FILTER (WHERE proba>={at} AND label=1) AS BIGINT) AS tp FROM t LEFT JOIN scored USING (source1_entity_id) GROUP BY ALL),
+{_MEASURES}"""
+
+
+_MEASURES = """k AS (SELECT *, pred-tp AS fp, n_true-tp AS fn FROM c),
+r AS (SELECT *, CASE WHEN tp+fp=0 THEN CASE WHEN tp+fn=0 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END ELSE CAST(tp AS DOUBLE)/(tp+fp) END AS precision, CASE WHEN tp+fn=0 THEN 1.0::DOUBLE ELSE CAST(tp AS DOUBLE)/(tp+fn) END AS recall FROM k),
+m AS (SELECT *, CASE WHEN 0.25::DOUBLE*precision+recall=0 THEN 0.0::DOUBLE ELSE 1.25::DOUBLE*precision*recall/(0.25::DOUBLE*precision+recall) END AS f_beta FROM r)"""
+_CURVE = f""", {_COUNTS}, grid AS (SELECT round(i/100.0::DOUBLE,2)::DOUBLE AS threshold FROM range(1,100) g(i)),
+c AS (SELECT threshold, t.source1_entity_id, n_true, CAST(count(*) FILTER (WHERE proba>=threshold) AS BIGINT) AS pred, CAST(count(*) FILTER (WHERE proba>=threshold AND label=1) AS BIGINT) AS tp FROM grid CROSS JOIN t LEFT JOIN scored USING (source1_entity_id) GROUP BY ALL),
+{_MEASURES}, curve AS (SELECT threshold, round(avg(precision),6) AS macro_precision, round(avg(recall),6) AS macro_recall, round(avg(f_beta),6) AS macro_f_beta, CAST(count(*) AS BIGINT) AS n_entities FROM m GROUP BY threshold)"""
+
+
+def _true_counts(spark: SparkSession, d: str) -> DataFrame:
+    t = fixtures.truth(spark, d)
+    return metrics.true_match_counts(t, t)
+
+
+def _rounded(df: DataFrame, *columns: str) -> DataFrame:
+    return df.withColumns({c: F.round(c, 6) for c in columns})
+
+
+@query(f", e AS ({_EXPLODE}) SELECT * FROM e")
+def truth_explode(spark, d):
+    return pairs.build_training_labels(fixtures.truth(spark, d))
+
+
+@query(f", e AS ({_EXPLODE}) SELECT {_IDS}, CAST(CASE WHEN EXISTS (SELECT 1 FROM e WHERE e.source1_entity_id=scored.source1_entity_id AND e.candidate_entity_id=scored.candidate_entity_id) THEN 1 ELSE 0 END AS INTEGER) AS label FROM scored")
+def attach_labels(spark, d):
+    p = fixtures.scored(spark, d).select("source1_entity_id", "candidate_entity_id")
+    return pairs.attach_labels(p, fixtures.truth(spark, d)).withColumn("label", F.col("label").cast("int"))
+
+
+@query(f", {_COUNTS} SELECT * FROM t")
+def true_match_counts(spark, d):
+    return _true_counts(spark, d)
+
+
+@query(f", {_COUNTS}, {_entities(str(THRESHOLD))} SELECT source1_entity_id, tp, fp, fn FROM m")
+def confusion_at_threshold(spark, d):
+    return metrics.confusion_counts(fixtures.scored(spark, d), _true_counts(spark, d), THRESHOLD)
+
+
+@query(f", {_COUNTS}, {_entities(str(THRESHOLD))} SELECT source1_entity_id, tp, fp, fn, round(precision,6) AS precision, round(recall,6) AS recall, round(f_beta,6) AS f_beta FROM m")
+def fbeta_per_entity(spark, d):
+    return _rounded(metrics.evaluate_at_threshold(fixtures.scored(spark, d), _true_counts(spark, d), THRESHOLD), "precision", "recall", "f_beta")
+
+
+@query(f", {_COUNTS}, {_entities(str(THRESHOLD))} SELECT round(avg(precision),6) AS macro_precision, round(avg(recall),6) AS macro_recall, round(avg(f_beta),6) AS macro_f_beta, CAST(count(*) AS BIGINT) AS n_entities FROM m")
+def macro_fbeta(spark, d):
+    return _rounded(metrics.macro_fbeta_at_threshold(fixtures.scored(spark, d), _true_counts(spark, d), THRESHOLD), "macro_precision", "macro_recall", "macro_f_beta")
+
+
+@query(f"{_CURVE} SELECT * FROM curve")
+def threshold_curve(spark, d):
+    return _rounded(metrics.search_thresholds(fixtures.scored(spark, d), _true_counts(spark, d)), "macro_precision", "macro_recall", "macro_f_beta")
+
+
+@query(f"{_CURVE} SELECT * FROM curve ORDER BY macro_f_beta DESC, threshold LIMIT 1")
+def best_threshold(spark, d):
+    return metrics.best_threshold(threshold_curve(spark, d))
+
+
+@query(f"SELECT {_IDS} FROM scored WHERE proba>={THRESHOLD}")
+def select_matches(spark, d):
+    return metrics.select_matches(fixtures.scored(spark, d), THRESHOLD)
+
+
+@query(f"SELECT i.source1_entity_id, coalesce(m,'') AS matched_entity_ids FROM (SELECT DISTINCT source1_entity_id FROM truth) i LEFT JOIN (SELECT source1_entity_id, string_agg(candidate_entity_id,',' ORDER BY candidate_entity_id) AS m FROM scored WHERE proba>={THRESHOLD} GROUP BY 1) USING (source1_entity_id)")
+def build_predictions(spark, d):
+    return metrics.build_predictions(fixtures.scored(spark, d), fixtures.truth(spark, d), THRESHOLD)
+
+
+# --- learning ---------------------------------------------------------------
+
+_SEED = DEFAULTS.seed
+
+
+@query(f", i AS (SELECT DISTINCT source1_entity_id FROM scored), o AS (SELECT *, row_number() OVER (ORDER BY md5(source1_entity_id||'|{_SEED}'), source1_entity_id) AS r FROM i) SELECT source1_entity_id, r<=ceil({DEFAULTS.val_fraction}*(SELECT count(*) FROM i)) AS is_validation FROM o")
+def grouped_split(spark, d):
+    return training.grouped_split_ids(fixtures.scored(spark, d))
+
+
+@query(f""", w AS (SELECT CAST(floor(4.0*count(*) FILTER (WHERE label=1)) AS BIGINT) AS w FROM scored), n AS (SELECT *, row_number() OVER (ORDER BY proba DESC, source1_entity_id, candidate_entity_id) AS h FROM scored WHERE label=0),
+x AS (SELECT n.*, row_number() OVER (ORDER BY md5(source1_entity_id||'|'||candidate_entity_id||'|{_SEED}'), source1_entity_id, candidate_entity_id) AS o FROM n, w WHERE h>w//2)
+SELECT {_IDS}, label, proba FROM scored WHERE label=1 UNION ALL SELECT {_IDS}, label, proba FROM n, w WHERE h<=w//2 UNION ALL SELECT {_IDS}, label, proba FROM x, w WHERE o<=w-w//2""")
+def sample_training_pairs(spark, d):
+    return training.sample_training_pairs(fixtures.scored(spark, d), hard_col="proba")
+
+
+@query()
+def matcher_scores(spark, d):
+    s = TOY
+    p = fixtures.scored(spark, d).select("source1_entity_id", "candidate_entity_id")
+    labeled = pairs.attach_labels(pairs.build_features(p, *[norm(spark, d, n) for n in ("d1", "d2", "d3")], s), fixtures.truth(spark, d)).persist()
+    return training.fit_classifier(labeled, s).predict_proba(labeled).select("source1_entity_id", "candidate_entity_id", "label", "proba")
+
+
+@query()
+def end_to_end_predictions(spark, d):
+    raw = tuple(fixtures.directory(spark, d, n) for n in ("d1", "d2", "d3"))
+    return workflow.link(raw, fixtures.truth(spark, d), raw, TOY).predictions
+
+
+# --- profiler ---------------------------------------------------------------
+
+_MISS = lambda c: f"lower(trim({c})) IN ('','nan','none','null','n/a','na')"
+_COLUMNS = DEFAULTS.directory_columns
+
+
+@query(" UNION ALL ".join(f"SELECT '{c}' AS column, count(*) AS rows, count(*) FILTER (WHERE {_MISS(c)}) AS n_missing, count(*) FILTER (WHERE {c}='') AS n_empty FROM d2" for c in _COLUMNS))
+def profile_missing(spark, d):
+    return profiling.missing_counts(fixtures.directory(spark, d, "d2"))
+
+
+@query(" UNION ALL ".join(f"SELECT '{c}' AS column, min(len({c})) AS min_len, max(len({c})) AS max_len, {', '.join(f'quantile_cont(len({c}),{q}) AS {n}' for n, q in profiling.QUANTILES.items())} FROM d2 WHERE NOT {_MISS(c)}" for c in ("business_name", "business_address")))
+def profile_lengths(spark, d):
+    return profiling.length_stats(fixtures.directory(spark, d, "d2"))
+
+
+@query("SELECT CASE WHEN trim(country)='' THEN '<EMPTY>' ELSE trim(country) END AS country, count(*) AS n FROM d2 GROUP BY 1 ORDER BY n DESC, country LIMIT 20")
+def profile_countries_top20(spark, d):
+    return profiling.top_countries(fixtures.directory(spark, d, "d2"))
+
+
+@query("SELECT upper(regexp_extract(entity_id,'(?i)^(S[0-9]+)-',1)) AS prefix, count(*) AS n FROM d2 GROUP BY 1")
+def profile_prefixes(spark, d):
+    return profiling.prefix_counts(fixtures.directory(spark, d, "d2"))
+
+
+@query("SELECT count(*) AS n_ids, count(DISTINCT entity_id) AS n_unique, count(*)-count(DISTINCT entity_id) AS n_duplicates FROM (SELECT * FROM d2 UNION ALL SELECT * FROM d2) WHERE trim(entity_id)<>''")
+def profile_ids(spark, d):
+    df = fixtures.directory(spark, d, "d2")
+    return profiling.id_counts(df.unionByName(df))
+
+
+_PNORM = lambda c: f"trim(regexp_replace(regexp_replace(lower(nfc_normalize({c})),'[^\\p{{L}}\\p{{N}}_\\s]',' ','g'),'\\s+',' ','g'))"
+
+
+def _dups(view: str, c: str) -> str:
+    return f"SELECT '{c}' AS column, count(*) AS n_nonempty, count(DISTINCT v) AS n_distinct, count(*)-count(DISTINCT v) AS n_duplicates, CASE WHEN count(*)>0 THEN round(100.0::DOUBLE*(count(*)-count(DISTINCT v))/count(*),6) ELSE 0.0 END AS duplicate_pct FROM (SELECT {_PNORM(c)} AS v FROM {view}) WHERE v<>''"
+
+
+@query(f"{_dups('d2', 'business_name')} UNION ALL {_dups('d2', 'business_address')}")
+def profile_duplicates(spark, d):
+    return profiling.duplicate_rates(fixtures.directory(spark, d, "d2"))
+
+
+_N = "len(list_distinct(list_filter(list_transform(string_split(matched_entity_ids,','), lambda x: trim(x)), lambda x: x<>'')))"
+
+
+@query(f"SELECT {_N} AS n_matches, count(*) AS n_entities FROM truth GROUP BY 1")
+def profile_truth_distribution(spark, d):
+    return profiling.truth_distribution(fixtures.truth(spark, d))
+
+
+@query(f"SELECT count(*) AS rows, count(*) FILTER (WHERE {_N}=0) AS zero, count(*) FILTER (WHERE {_N}=1) AS single, count(*) FILTER (WHERE {_N}>1) AS multi, CAST(sum({_N}) AS BIGINT) AS links, CAST(0 AS BIGINT) AS malformed, max({_N}) AS most, CAST(0 AS BIGINT) AS duplicate_rows FROM truth")
+def profile_truth_summary(spark, d):
+    return profiling.truth_summary(fixtures.truth(spark, d))
+
+
+_FILES = ("d1", "d2", "d3")
+
+
+@query(" UNION ALL ".join([f"SELECT '{f}' AS file, count(*) AS rows FROM {f}" for f in _FILES] + ["SELECT '<TOTAL>', (SELECT count(*) FROM d1)+(SELECT count(*) FROM d2)+(SELECT count(*) FROM d3)"]))
+def profile_overall(spark, d):
+    return profiling.overall_summary({f: fixtures.directory(spark, d, f) for f in _FILES})
+
+
+_OBS = " UNION ALL ".join(
+    [f"SELECT 'missing' AS kind, '{f}' AS file, '{c}' AS column, round(100.0::DOUBLE*count(*) FILTER (WHERE {_MISS(c)})/count(*),6) AS value FROM {f} HAVING value>5" for f in _FILES for c in ("business_name", "business_address")]
+    + [f"SELECT 'duplicates', '{f}', x.column, x.duplicate_pct FROM ({_dups(f, c)}) x WHERE x.duplicate_pct>20" for f in _FILES for c in ("business_name", "business_address")]
+    + ["SELECT 'countries', '<ALL>', 'country', CAST(n AS DOUBLE) FROM (SELECT count(DISTINCT country) AS n FROM (SELECT country FROM d1 UNION ALL SELECT country FROM d2 UNION ALL SELECT country FROM d3) WHERE country<>'') WHERE n>2"]
+)
+
+
+@query(_OBS)
+def profile_observations(spark, d):
+    return profiling.observations({f: fixtures.directory(spark, d, f) for f in _FILES})
