@@ -22,6 +22,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -114,12 +115,24 @@ def _pieces(keys: list[int], texts: list[bytes]) -> Iterator[tuple[np.ndarray, n
         yield done()
 
 
+def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Texts as compressed bytes, for the shuffle."""
+    c = zstandard.ZstdCompressor(level=1)
+    for b in batches:
+        yield pa.RecordBatch.from_arrays([b.column("_k"), b.column("doc_id"), pa.array([c.compress(t) for t in _encoded(b)], pa.binary())], names=["_k", "doc_id", "packed"])
+
+
+def _unpacked(batch: pa.RecordBatch) -> list[bytes]:
+    d = zstandard.ZstdDecompressor()
+    return [d.decompress(x) for x in batch.column("packed").to_pylist()]
+
+
 def _encoded(batch: pa.RecordBatch) -> list[bytes]:
     return [(t or "").encode("utf-8", "surrogatepass") for t in batch.column("text").to_pylist()]
 
 
 def _anchor_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """k, c, doc, place, state. The first of a context in a batch (state 0; 1 if its anchor string repeats in the batch) goes under the hash of its anchor string, the others (2, surely repeated) anywhere."""
+    """k, c, doc, place. The first of a context in a batch (state 0; 1 if its anchor string repeats in the batch) goes under the hash of its anchor string, the others (2, surely repeated) anywhere. The low bits of place hold the state. 48 bits of each hash are shuffled: a chance match of anchor strings only adds a context to compare, and contexts must match in both."""
     for b in batches:
         keys, texts = b.column("_k").to_pylist(), _encoded(b)
         order = sorted(range(len(keys)), key=keys.__getitem__)
@@ -142,9 +155,9 @@ def _anchor_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         more[by[1:]] |= same
         more[by[:-1]] |= same
         state = np.where(again, 2, more.astype(np.int8)).astype(np.int8)
-        k = np.where(again, _mixed(doc.astype(np.uint64) * MIX[4] + place.astype(np.uint64)), h)
-        c = np.where(again, np.uint64(0), c)
-        yield pa.RecordBatch.from_arrays([pa.array(k.view(np.int64)), pa.array(c.view(np.int64)), pa.array(doc), pa.array(place), pa.array(state)], names=["k", "c", "doc", "place", "state"])
+        k = np.where(again, doc, (h >> np.uint64(16)).astype(np.int64))
+        c = np.where(again, 0, (c >> np.uint64(16)).astype(np.int64))
+        yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(c), pa.array(doc), pa.array(place << 2 | state)], names=["k", "c", "doc", "place"])
 
 
 _CONTEXT = "g long, doc long, start long, stop long, anchor int, context binary"
@@ -154,7 +167,7 @@ def _context_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
     """What repeats an earlier context whole, as ranges (context null), and first contexts under their anchor string's hash."""
     for b in batches:
         out: list[tuple] = []
-        for k, t, marks in zip(b.column("_k").to_pylist(), _encoded(b), b.column("marks").to_pylist(), strict=True):
+        for k, t, marks in zip(b.column("_k").to_pylist(), _unpacked(b), b.column("marks").to_pylist(), strict=True):
             m = np.sort(np.array(marks, np.int64))
             kind, place = m & 3, m >> 2
             start, count, anchor = place >> 16, (place >> 8 & 255) + 1, place & 255
@@ -330,7 +343,7 @@ def _repeats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         size, removed, spans, kept, digest = [], [], [], [], []
-        for t, s, e in zip(_encoded(b), b.column("starts").to_pylist(), b.column("stops").to_pylist(), strict=True):
+        for t, s, e in zip(_unpacked(b), b.column("starts").to_pylist(), b.column("stops").to_pylist(), strict=True):
             order = sorted(zip(s or (), e or (), strict=True))
             ranges = _merged(np.array([x[0] for x in order], np.int64), np.array([x[1] for x in order], np.int64))
             rest, at = [], 0
@@ -357,13 +370,15 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     empty result. Other columns of docs play no part. Anchor strings with over `hot` contexts are dealt out by window.
     """
     source = keyed(docs, id_col, text_col)
-    anchors = source.select("_k", "text").mapInArrow(_anchor_rows, "k long, c long, doc long, place long, state byte").repartition("k")
-    met = anchors.withColumn("turn", F.row_number().over(Window.partitionBy("k", "c").orderBy("doc", "place"))).withColumn("met", F.count("*").over(Window.partitionBy("k")))
-    kind = F.when((F.col("state") == 2) | (F.col("turn") > 1), 0).when(F.col("met") > hot, 2).otherwise(1)
-    marks = met.filter("state > 0 or met > 1").select("doc", F.shiftleft("place", 2).bitwiseOR(kind.cast("long")).alias("mark")).groupBy("doc").agg(F.collect_list("mark").alias("marks"))
-    text = source.select("_k", "text")
-    contexts = text.join(marks, text._k == marks.doc).select("_k", "text", "marks").mapInArrow(_context_rows, _CONTEXT)
+    anchors = source.select("_k", "text").mapInArrow(_anchor_rows, "k long, c long, doc long, place long").repartition("k")
+    state = F.col("place").bitwiseAND(F.lit(3))
+    met = anchors.withColumn("turn", F.row_number().over(Window.partitionBy("k", "c").orderBy("doc", "place"))).withColumn("met", F.sum(F.when(state < 2, 1).otherwise(0)).over(Window.partitionBy("k")))
+    kind = F.when((state == 2) | (F.col("turn") > 1), 0).when(F.col("met") > hot, 2).otherwise(1)
+    mark = F.shiftright("place", 2) * 4 + kind
+    marks = met.filter((state > 0) | (F.col("met") > 1)).select("doc", mark.alias("mark")).groupBy("doc").agg(F.collect_list("mark").alias("marks"))
+    text = source.mapInArrow(_packed, "_k long, doc_id long, packed binary")  # both joins read one shuffle of it
+    contexts = text.join(marks, F.col("_k") == F.col("doc")).select("_k", "doc_id", "packed", "marks").mapInArrow(_context_rows, _CONTEXT)
     ranges = contexts.repartition("g").sortWithinPartitions("g", "doc", "start").mapInArrow(_repeats, "doc long, start long, stop long")
     ranges = ranges.groupBy("doc").agg(F.collect_list("start").alias("starts"), F.collect_list("stop").alias("stops"))
-    out = source.join(ranges, source._k == ranges.doc, "left").select("_k", "doc_id", "text", "starts", "stops")
+    out = text.join(ranges, F.col("_k") == F.col("doc"), "left").select("_k", "doc_id", "packed", "starts", "stops")
     return out.mapInArrow(_cut, "_k long, doc_id long, n_bytes long, n_removed long, spans array<struct<start:long,stop:long>>, kept binary, kept_sha256 string")
