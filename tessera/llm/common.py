@@ -66,8 +66,8 @@ def keyed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     # equal ids may straddle a range edge only with other hashes of text; the rank of text within an id is taken exactly
     w = Window.partitionBy("doc_id").orderBy(F.col("text").asc_nulls_first(), "_m")
     ids = scratch.put(ranked.select(F.monotonically_increasing_id().alias("_m"), "doc_id", "text").withColumn("_r", F.row_number().over(w)))
-    first = ids.groupBy("doc_id").agg(F.min("_m").alias("_f"))
-    return ids.join(first, ids.doc_id.eqNullSafe(first.doc_id)).select((F.col("_f") + F.col("_r") - 1).alias("_k"), ids.doc_id, "text")
+    first = ids.groupBy(F.col("doc_id").alias("_d")).agg(F.min("_m").alias("_f"))
+    return ids.join(first, F.col("doc_id").eqNullSafe(F.col("_d"))).select((F.col("_f") + F.col("_r") - 1).alias("_k"), "doc_id", "text")
 
 
 class _Memo(dict):
