@@ -160,7 +160,7 @@ class ItemIndex:
         place = np.flatnonzero(self.table[h >> np.uint32(10)])
         lo, hi = np.searchsorted(self.grams, h[place]), np.searchsorted(self.grams, h[place], side="right")
         place, lo, n = np.repeat(place, hi - lo), np.repeat(lo, hi - lo), hi - lo
-        entry = lo + np.arange(len(lo)) - np.repeat(np.cumsum(np.append(0, n[:-1])), n)
+        entry = lo + np.arange(len(lo)) - np.repeat(np.cumsum(n) - n, n)
         item, begin = self.gram_item[entry], place - self.gram_offset[entry]
         far = 1 << 40
         key = np.sort(item * far + begin + (1 << 20))
@@ -173,7 +173,7 @@ class ItemIndex:
         words = np.flatnonzero(gap[:-1] & ~gap[1:]) + 1
         a, b = np.searchsorted(words, final - edits), np.searchsorted(words, first + edits, side="right")
         n = np.maximum(b - a, 0)
-        word = words[np.repeat(a, n) + np.arange(n.sum()) - np.repeat(np.cumsum(np.append(0, n[:-1])), n)]
+        word = words[np.repeat(a, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)]
         pairs = np.unique(word * 4096 + self.size_of[np.repeat(item, n)])
         return pairs // 4096, pairs % 4096
 
@@ -184,7 +184,7 @@ class ItemIndex:
         keys, rows = self.sampled(codes.ravel(), np.arange(len(size)) * codes.shape[1], size)
         lo, hi = np.searchsorted(self.keys, keys), np.searchsorted(self.keys, keys, side="right")
         hit = np.repeat(np.arange(len(keys)), hi - lo)
-        item = self.owner[np.arange(len(hit)) - np.repeat(np.cumsum(np.append(0, (hi - lo)[:-1])), hi - lo) + lo[hit]]
+        item = self.owner[np.arange(len(hit)) - np.repeat(np.cumsum(hi - lo) - (hi - lo), hi - lo) + lo[hit]]
         pairs, votes = np.unique(rows[hit] * len(self.items) + item, return_counts=True)
         for x in pairs[votes >= AGREE].tolist():
             w, i = x // len(self.items), x % len(self.items)

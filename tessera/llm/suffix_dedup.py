@@ -247,13 +247,13 @@ def common_prefix_levels(t: np.ndarray, sa: np.ndarray, levels: list[int]) -> di
 def repeated_windows(contexts: list[bytes], anchors: np.ndarray, starts: np.ndarray) -> np.ndarray:
     """Whether each window of each context equals an earlier window; contexts come in order of (document, start). Windows of one document at the same start are the same."""
     n = np.array([len(c) for c in contexts], np.int64)
-    begin = np.cumsum(np.append(0, n[:-1]))
+    begin = np.cumsum(n) - n
     data = np.frombuffer(b"".join(contexts), np.uint8)
     phase = anchors % SYMBOL
     symbols = (n - phase) // SYMBOL
     at = np.cumsum(np.append(0, symbols + 1))
     owner = np.repeat(np.arange(len(n)), symbols)
-    inside = np.arange(len(owner)) - np.repeat(np.cumsum(np.append(0, symbols[:-1])), symbols)
+    inside = np.arange(len(owner)) - np.repeat(np.cumsum(symbols) - symbols, symbols)
     byte = begin[owner] + phase[owner] + inside * SYMBOL
     code = np.zeros(len(owner), np.int64)
     for j in range(SYMBOL):
@@ -268,7 +268,7 @@ def repeated_windows(contexts: list[bytes], anchors: np.ndarray, starts: np.ndar
     levels = common_prefix_levels(t, sa, [low, high])
     windows = n - LENGTH + 1
     owner = np.repeat(np.arange(len(n)), windows)
-    w = np.arange(len(owner)) - np.repeat(np.cumsum(np.append(0, windows[:-1])), windows)
+    w = np.arange(len(owner)) - np.repeat(np.cumsum(windows) - windows, windows)
     head = (phase[owner] - w) % SYMBOL
     suffix = row[at[owner] + (w + head - phase[owner]) // SYMBOL]
     group = np.where(head == 0, (np.cumsum(levels[high]) - 1)[suffix], (np.cumsum(levels[low]) - 1)[suffix] + len(t))
@@ -302,7 +302,7 @@ def _repeats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         again = repeated_windows(contexts, np.array([r[3] for r in rows], np.int64), start)
         windows = np.array([len(c) - LENGTH + 1 for c in contexts])
         owner = np.repeat(np.arange(len(rows)), windows)
-        w = np.arange(len(owner)) - np.repeat(np.cumsum(np.append(0, windows[:-1])), windows)
+        w = np.arange(len(owner)) - np.repeat(np.cumsum(windows) - windows, windows)
         hit = np.flatnonzero(again)
         if not len(hit):
             return None

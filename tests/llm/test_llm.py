@@ -158,6 +158,18 @@ def test_simhash(docs):
     assert simhash.document_fingerprints(docs.limit(0)).count() == 0
 
 
+def test_ranges_of_ids(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "ROWS_PER_BUCKET", 3)
+    ids = sorted({random.Random(2).choice([i, i * i, 10**12 + i]) for i in range(250)})
+    d = spark.createDataFrame([(i, f"{i:014d}" * 2) for i in ids], "doc_id long, text string")
+    got = {r.doc_id: (r.next_k, r.edited) for r in simhash.with_next(d).collect()}
+    for i, nxt in zip(ids, [*ids[1:], ids[0]], strict=True):
+        assert got[i] == (nxt, (f"{i:014d}" * 2)[:21] + f"{nxt:014d}"[:7])
+    low, high, cuts = min(ids), max(ids), ids[5::7]
+    below = spark.createDataFrame([(i,) for i in ids], "x long").select("x", simhash._cuts_below(F.col("x"), cuts, low, high).alias("n"))
+    assert all(r.n == sum(c < r.x for c in cuts) for r in below.collect())
+
+
 def test_radius_search(spark):
     rng = random.Random(6)
     base = [rng.getrandbits(64) for _ in range(30)]
@@ -373,3 +385,9 @@ def test_pipeline(spark, tmp_path):
     docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
     for _, stage in corpus_pipeline.STAGES[:-1]:
         assert stage(spark, docs, str(tmp_path)).columns == corpus_pipeline.COLUMNS
+
+
+def test_items_without_any_hit(spark):
+    d = spark.createDataFrame([(1, "zzz yyy"), (2, "")], "doc_id long, text string")
+    b = spark.createDataFrame([(1, "an item of some length that is nowhere")], "item_id long, text string")
+    assert all(not r.matches for r in decontaminate.find_items(d, b).collect())
