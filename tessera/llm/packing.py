@@ -9,6 +9,9 @@ partition of the ids' hashes), so that a length which many pieces share is not o
 
 from __future__ import annotations
 
+import json
+import re
+import struct
 import zlib
 from bisect import bisect_left, insort
 from collections.abc import Iterator
@@ -24,25 +27,73 @@ SEQUENCE, END = 2048, 0
 
 
 class ChunkTokenizer:
-    """Token ids of whole texts. The tokenizer drops white space and splits at it, so texts are cut at ASCII white space and the ids of each distinct chunk are remembered, up to a number of chunks."""
+    """Token ids of whole texts, as little-endian unsigned 32-bit numbers.
 
-    def __init__(self, path: str, limit: int = 300_000):
+    The tokenizer drops white space and splits at it, so texts are cut at white space, and the ids of chunks are
+    remembered in two generations of bounded size. A new chunk of printable ASCII and accented Latin-1 letters is
+    lower-cased and cut as the tokenizer's own rules cut it, and goes to its merges alone; any other goes through the
+    whole tokenizer. Tokenizers with other rules than these take the whole way for all chunks.
+    """
+
+    PARTS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|\d|[^\s\w]+|_")
+    PLAIN = re.compile("[!-~\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+")
+    SPACES = str.maketrans(dict.fromkeys("\t\n\r\x0b\x0c", " "))
+    KEPT = re.compile("[\x1c-\x1f]")
+    LIMIT = 400_000
+
+    def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.memo, self.limit = Tokenizer.from_file(path), {}, limit
+        self.tokenizer = Tokenizer.from_file(path)
+        self.model = self.tokenizer.model
+        self.parts: dict[str, bytes] = {}
+        self.new, self.old = self._generation(), {}
+        kept = [b for b in range(256) if 0x21 <= b <= 0x7E or 0xA1 <= b <= 0xAC or b >= 0xAE]
+        other = [b for b in range(256) if b not in set(kept)]  # bytes without a character of their own get those from 256 on
+        self.letters = {b: chr(b) for b in kept} | {b: chr(256 + i) for i, b in enumerate(other)}
+        about = json.loads(self.tokenizer.to_str())
+        kinds = [x.get("type") for x in (about["normalizer"] or {}).get("normalizers", [])]
+        split = [x.get("pattern", {}).get("Regex") for x in (about["pre_tokenizer"] or {}).get("pretokenizers", [])]
+        self.direct = kinds == ["NFC", "Replace", "Lowercase"] and split[:1] == [r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"]
+
+    def _generation(self) -> dict[str, bytes]:
+        compute = self._compute
+
+        class Memo(dict):
+            def __missing__(self, chunk: str) -> bytes:
+                v = self[chunk] = compute(chunk)
+                return v
+
+        return Memo()
+
+    def _compute(self, chunk: str) -> bytes:
+        if (got := self.old.get(chunk)) is not None:
+            return got
+        if self.direct and chunk.isascii():  # most are letters with or without a mark at the end
+            if chunk.isalpha():
+                return self._part(chunk.lower())
+            if chunk[-1] in ".,!?" and chunk[:-1].isalpha():
+                return self._part(chunk[:-1].lower()) + self._part(chunk[-1])
+        if not self.direct or "<|" in chunk or "_" in chunk or not self.PLAIN.fullmatch(chunk):
+            return np.array(self.tokenizer.encode(chunk, add_special_tokens=False).ids, "<u4").tobytes()
+        return b"".join(map(self._part, self.PARTS.findall(chunk.lower())))
+
+    def _part(self, part: str) -> bytes:
+        got = self.parts.get(part)
+        if got is None:
+            if len(self.parts) > 2 * self.LIMIT:
+                self.parts.clear()
+            word = part if part.isascii() else "".join(map(self.letters.__getitem__, part.encode()))
+            got = self.parts[part] = struct.pack(f"<{len(ids := [t.id for t in self.model.tokenize(word)])}I", *ids)
+        return got
 
     def __call__(self, text: str | None) -> bytes:
-        """The ids as little-endian unsigned 32-bit numbers."""
-        memo = self.memo
-        chunks = (text or "").split() if (text or "").isascii() else [c for c in (text or "").replace("\t", " ").replace("\n", " ").replace("\r", " ").replace("\x0b", " ").replace("\x0c", " ").split(" ") if c]
-        new = list({c for c in chunks if c not in memo})
-        if new:
-            if len(memo) > self.limit:
-                memo.clear()
-                new = list(set(chunks))
-            for c, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
-                memo[c] = np.array(e.ids, "<u4").tobytes()
-        return b"".join(map(memo.__getitem__, chunks))
+        text = text or ""
+        # str.split also splits at four separators that the tokenizer keeps
+        chunks = [c for c in text.translate(self.SPACES).split(" ") if c] if self.KEPT.search(text) else text.split()
+        if len(self.new) > self.LIMIT:
+            self.old, self.new = self.new, self._generation()
+        return b"".join(map(self.new.__getitem__, chunks))
 
 
 def _pieces(path: str, size: int, keep_ids: bool):
