@@ -1,9 +1,9 @@
 """SimHash fingerprints and search within a Hamming radius, in DataFrame operations only.
 
-The terms of a text are its words, in runs of five, and single words (A-Z lower-cased, between ASCII white space). Each
-occurrence of a term votes with the bits of its hash, a run with weight RUN_WEIGHT and a word with 1; the fingerprint
-has the bits that win. Votes for two bits share one 64-bit sum, so a text's votes are 32 sums, combined before the
-shuffle: a row for each text and task leaves, not one for each term.
+The terms of a text are the runs of five of its words (lower-cased, between ASCII white space), or the words of a
+shorter text, weighted by how often they occur: each occurrence votes with the bits of the term's hash, and the
+fingerprint has the bits that win. Votes for four bits share one 64-bit sum, for stretches of at most 65,535 terms, so
+a text's votes are 16 sums, combined before the shuffle: a row for each stretch leaves a task, not one for each term.
 
 Search: the 64 bits are cut into 6 blocks. Two fingerprints within RADIUS = 3 agree on at least 3 whole blocks, so
 they meet in one of the 20 tables that are keyed by 3 blocks each (32 bits or so, which few unrelated ones share). A
@@ -12,16 +12,19 @@ pair counts in the first table where it meets. Equal fingerprints are one row wi
 
 from __future__ import annotations
 
+import math
+from functools import reduce
 from itertools import combinations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.llm.common import Scratch, keyed
 
-RUN, RUN_WEIGHT, RADIUS = 5, 3, 3
+RUN, RADIUS, STRETCH = 5, 3, 65_535
 ROWS_PER_BUCKET = 4_096
-_LANES = 0x0000000100000001
+_LANES = 0x0001000100010001
 _BLOCKS = [(0, 11), (11, 11), (22, 11), (33, 11), (44, 10), (54, 10)]  # first bit, bits
 _TABLES = [sum(((1 << n) - 1) << at for at, n in chosen) for chosen in combinations(_BLOCKS, len(_BLOCKS) - RADIUS)]
 
@@ -30,28 +33,21 @@ def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def _terms(text: Column) -> Column:
-    """Array of (hash, weight): of each run of words and each word."""
-    lower = F.translate(F.coalesce(text, F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-    words = F.filter(F.split(lower, "[ \\t-\\r]+"), lambda w: w != "")
-    return F.transform(words, lambda w: F.xxhash64(w))
-
-
 def fingerprints(texts: DataFrame, keys: list[str], text_col: str = "text") -> DataFrame:
     """(keys, fingerprint long) for each row; keys must tell rows apart. Null, empty and blank texts have fingerprint 0, and equal texts have equal ones."""
-    d = texts.select(*keys, _terms(F.col(text_col)).alias("w"))
-    runs = F.when(F.size("w") >= RUN, F.transform(F.sequence(F.lit(1), F.size("w") - RUN + 1), lambda i: F.xxhash64(*[F.element_at("w", i + j) for j in range(RUN)]))).otherwise(F.array().cast("array<bigint>"))
-    d = d.select(*keys, "w", runs.alias("r"))
-    # a text without words votes for nothing
-    terms = d.select(*keys, F.explode_outer("r").alias("h"), F.lit(RUN_WEIGHT).cast("long").alias("weight")).unionByName(d.select(*keys, F.explode_outer("w").alias("h"), F.lit(1).cast("long").alias("weight")))
-    votes = [F.sum(F.shiftrightunsigned("h", i).bitwiseAND(F.lit(_LANES)) * F.col("weight")).alias(f"v{i}") for i in range(32)]
-    sums = terms.groupBy(*keys).agg(F.sum(F.when(F.col("h").isNotNull(), F.col("weight")).otherwise(F.lit(0))).alias("n"), *votes)
-    bits = F.lit(0).cast("long")
-    for i in range(32):
-        low, high = F.col(f"v{i}").bitwiseAND(F.lit(0xFFFFFFFF)), F.shiftrightunsigned(f"v{i}", 32)
-        for at, lane in ((i, low), (i + 32, high)):
-            bits = bits.bitwiseOR(F.when(lane * 2 > F.col("n"), F.lit(_signed(1 << at))).otherwise(F.lit(0).cast("long")))
-    return sums.select(*keys, bits.alias("fingerprint"))
+    words = F.filter(F.split(F.lower(F.coalesce(F.col(text_col), F.lit(""))), "[ \\t-\\r]+"), lambda w: w != "")
+    d = texts.select(*keys, F.transform(words, lambda w: F.xxhash64(w)).alias("w"))
+    runs = F.transform(F.sequence(F.lit(0), F.size("w") - RUN), lambda i: F.xxhash64(*[F.get("w", i + j) for j in range(RUN)]))
+    d = d.select(*keys, F.when(F.size("w") >= RUN, runs).otherwise(F.col("w")).alias("t"))
+    terms = d.select(*keys, F.posexplode_outer("t").alias("at", "h"))  # a text without words votes for nothing
+    terms = terms.withColumn("stretch", F.coalesce(F.expr(f"at div {STRETCH}"), F.lit(0)))
+    lanes = [F.sum(F.shiftrightunsigned("h", i).bitwiseAND(F.lit(_LANES))).alias(f"s{i}") for i in range(16)]
+    sums = terms.groupBy(*keys, "stretch").agg(F.count("h").alias("n"), *lanes)
+    votes = [F.sum(F.shiftrightunsigned(f"s{i}", 16 * j).bitwiseAND(F.lit(0xFFFF))).alias(f"v{i + 16 * j}") for j in range(4) for i in range(16)]
+    sums = sums.groupBy(*keys).agg(F.sum("n").alias("n"), *votes)
+    won = [F.when(F.col(f"v{i}") * 2 > F.col("n"), F.lit(_signed(1 << i))).otherwise(F.lit(0).cast("long")) for i in range(64)]
+    quarters = [reduce(lambda x, y: x.bitwiseOR(y), won[at : at + 16]).alias(f"q{at}") for at in range(0, 64, 16)]
+    return sums.select(*keys, *quarters).select(*keys, F.col("q0").bitwiseOR(F.col("q16")).bitwiseOR(F.col("q32")).bitwiseOR(F.col("q48")).alias("fingerprint"))
 
 
 def distance(a: Column, b: Column) -> Column:
@@ -76,19 +72,28 @@ def within_radius(queries: DataFrame, all_rows: DataFrame) -> DataFrame:
     return q.join(a, on).select("fingerprint", "other", F.bit_count(x).alias("distance"))
 
 
+def _cuts_below(x: Column, cuts: list[int], low: int, high: int) -> Column:
+    """How many of the sorted cuts are below x: those in earlier cells of equal width, and those to compare in its own cell."""
+    if not cuts:
+        return F.lit(0)
+    cells = 4 * len(cuts) + 1
+    width = max(float(high - low) / cells, 1e-9)
+    starts = np.searchsorted([min(cells - 1, math.floor(float(c - low) / width)) for c in cuts], range(cells + 1)).tolist()
+    cell = F.least(F.lit(cells - 1), F.floor((x - F.lit(low)).cast("double") / F.lit(width))).cast("int")
+    start, stop = F.get(F.lit(starts), cell), F.get(F.lit(starts), cell + 1)
+    return start + F.size(F.filter(F.slice(F.lit(cuts), start + 1, stop - start), lambda c: c < x))
+
+
 def with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(_k, doc_id, text, next_k, edited) of each row: edited is the text with its last quarter (rounded down) of characters replaced by the first as many of the next row's text, in the order of ids; the first row follows the last.
 
     Rows are dealt to ranges of ids, so the order of all rows is never made in one task; each range hands on its first row.
     """
     source = keyed(docs, id_col, text_col).withColumn("text", F.coalesce("text", F.lit("")))
-    rows = source.agg(F.count("*")).first()[0]
+    rows, low, high = source.agg(F.count("*"), F.min("_k"), F.max("_k")).first()
     n = max(1, min(20_000, -(-rows // ROWS_PER_BUCKET)))
-    cuts = source.agg(F.percentile_approx("_k", [i / n for i in range(1, n)] or [0.5], 10_000 if n < 5_000 else 100_000)).first()[0] or []
-    cuts = sorted(set(cuts)) if n > 1 else []
-    bucket = F.lit(0)
-    if cuts:  # how many cuts are below: the search is within Spark's own ranges
-        bucket = F.size(F.filter(F.array(*[F.lit(c) for c in cuts]), lambda c: c < F.col("_k"))) if len(cuts) < 64 else F.expr(f"width_bucket(_k, array({', '.join(f'{c + 1}L' for c in cuts)}))")
+    cuts = source.agg(F.percentile_approx("_k", [i / n for i in range(1, n)], 100_000)).first()[0] if n > 1 else []
+    bucket = _cuts_below(F.col("_k"), sorted(set(cuts)), low, high)
     d = source.withColumn("bucket", bucket.cast("int"))
     w = Window.partitionBy("bucket").orderBy("_k")
     d = d.withColumn("next_k", F.lead("_k").over(w)).withColumn("next_text", F.lead("text").over(w))
@@ -113,7 +118,8 @@ def document_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str
     scratch = Scratch(docs.sparkSession)
     d = with_next(docs, id_col, text_col)
     both = d.select("_k", "doc_id", "next_k", F.char_length("text").cast("long").alias("n_chars"), F.sha2(F.encode("edited", "UTF-8"), 256).alias("sha"), F.explode(F.array(F.struct(F.lit(False).alias("is_edited"), "text"), F.struct(F.lit(True).alias("is_edited"), F.col("edited").alias("text")))).alias("x"))
-    prints = scratch.put(fingerprints(both.select("_k", "doc_id", "next_k", "n_chars", "sha", "x.is_edited", "x.text"), ["_k", "doc_id", "next_k", "n_chars", "sha", "is_edited"]))
+    keys = ["_k", "doc_id", "next_k", "n_chars", "sha", "is_edited"]
+    prints = scratch.put(fingerprints(both.select(*keys[:-1], "x.is_edited", "x.text"), keys))
     own = prints.filter("not is_edited").withColumnRenamed("fingerprint", "f")
     other = prints.filter("is_edited").select("_k", F.col("fingerprint").alias("e"))
     following = own.select(F.col("_k").alias("next_k"), F.col("f").alias("nf"))
