@@ -1,15 +1,17 @@
 """Language-model scores of texts by a probabilistic suffix tree over words.
 
-The root is the smoothed unigram distribution of all training tokens. A context of one or two words becomes a state of
-the tree if it is frequent (at least P_MIN of the training tokens), and if its next-word distribution diverges from that
-of its longest shorter state by more than its parameters cost: count times Kullback-Leibler divergence against GAIN for
-each transition. A state's frequent transitions have a discounted share of its count; what is left goes to all other
-words in proportion to the shorter state, so every state is a distribution over the known words and one unknown word.
-A token is scored by the longest state that ends its context.
-
-Counts of all training words stay a distributed table; what is frequent is at most 1 / P_MIN words, contexts or
-transitions, whatever the corpus, and only that is collected and broadcast. For scoring, documents are dealt to blocks;
-a block asks the table for its distinct words, once each.
+The root is the smoothed unigram distribution of all training tokens. A context of words becomes a state of the tree if
+its next-word distribution diverges from that of its longest shorter state by more than its parameters cost: count times
+Kullback-Leibler divergence against GAIN for each transition. Whatever occurs LEAST times is a transition, in a corpus
+of any size. A state's transitions have a discounted share of its count; what is left goes to all other words in
+proportion to the shorter state, so every state is a distribution over the known words and one unknown word. Depths are
+added until no context of a depth becomes a state. A token is scored by the longest state that ends its context.
+
+Counts, transitions and states are distributed tables; nothing of them is collected. Contexts that no longer one can
+diverge from aren't extended: a context's divergence is at most -log of the least probability of its shorter state, and
+its count at most that state's. Which keys are worth counting or asking for is broadcast as a table of BITS bits, which
+only ever lets too much through. For scoring, documents are dealt to blocks; a block asks the tables for its distinct
+words, contexts and transitions, once each.
 """
 
 from __future__ import annotations
@@ -18,14 +20,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.llm.common import Scratch, WordHasher, keyed, words_of
 
-P_MIN, DISCOUNT, GAIN = 2e-6, 0.5, 4.0
+LEAST, DISCOUNT, GAIN = 2, 0.5, 4.0
+BITS = 1 << 27
 BLOCK_TOKENS = 1_500_000
 END = np.uint64(0x5E4D0F7E87A6D1B3)  # stands for the end of a text
+CONTEXT = np.uint64(0x3C6EF372FE94F82B)  # tells contexts from transitions
+PRIMES = [np.uint64(x) for x in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5)]  # of xxhash
 
 
 def _tokens(texts: list[str | None], hasher: WordHasher) -> tuple[np.ndarray, np.ndarray]:
@@ -71,7 +76,7 @@ def _found(keys: np.ndarray, asked: np.ndarray) -> np.ndarray:
 
 
 class SuffixTree:
-    """Frequent words (sorted hashes), and the states of each depth with their transitions."""
+    """The first two depths of a tree in memory, of words (sorted hashes) and their transitions: what tests hold the distributed one against."""
 
     def __init__(self, words: np.ndarray, counts: np.ndarray, n: int, v: int):
         self.words, self.counts, self.n, self.v = words, counts, n, v
@@ -139,48 +144,139 @@ class SuffixTree:
         self.moves.append((keys[use], np.log10(p[use])))
 
 
-def _count_transitions(tree, depth: int):  # noqa: ANN001, ANN202  tree: a broadcast
+def _rotated(x: np.ndarray, by: int) -> np.ndarray:
+    return (x << np.uint64(by)) | (x >> np.uint64(64 - by))
+
+
+def _hashed(*columns: np.ndarray) -> np.ndarray:
+    """Spark's xxhash64 of columns of longs."""
+    h = np.uint64(42)
+    for x in columns:
+        h = (h + PRIMES[4] + np.uint64(8)) ^ (_rotated(x * PRIMES[1], 31) * PRIMES[0])
+        h = _rotated(h, 27) * PRIMES[0] + PRIMES[3]
+        h = (h ^ (h >> np.uint64(33))) * PRIMES[1]
+        h = (h ^ (h >> np.uint64(29))) * PRIMES[2]
+        h ^= h >> np.uint64(32)
+    return h
+
+
+def _depths(tokens: np.ndarray, begin: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Of each depth: places that have a context of so many words, the contexts' keys, and the shorter transitions' keys.
+
+    A transition's key is the hash of its context's and the shorter transition's, which at depth 1 is the word.
+    """
+    place = np.arange(len(tokens)) - np.repeat(begin[:-1], np.diff(begin))
+    at, shorter, depth = np.flatnonzero(place >= 1), tokens, 1
+    context, shorter = tokens[at - 1], tokens[at]
+    while True:
+        yield at, context, shorter
+        depth += 1
+        use = place[at] >= depth
+        at, shorter, context = at[use], _hashed(context[use], shorter[use]), context[use]
+        context = _hashed(context ^ CONTEXT, tokens[at - depth])
+
+
+def _in(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    slot = keys & np.uint64(64 * len(bits) - 1)
+    return (bits[(slot >> np.uint64(6)).astype(np.int64)] >> (slot & np.uint64(63))) & np.uint64(1) != 0
+
+
+def _bits(keys: DataFrame) -> np.ndarray:
+    """The table of the keys (k long): BITS bits for any number of them, or fewer for few."""
+    slot = F.col("k").bitwiseAND(F.lit(BITS - 1))
+    t = keys.select(F.shiftright(slot, 6).alias("at"), F.expr(f"shiftleft(1L, cast((k & {BITS - 1}) & 63 as int))").alias("bit")).groupBy("at").agg(F.bit_or("bit").alias("bits")).toArrow()
+    bits = np.zeros(BITS >> 6, np.uint64)
+    bits[t.column("at").to_numpy()] = t.column("bits").to_numpy().view(np.uint64)
+    held = int(np.bitwise_count(bits).sum())
+    while len(bits) > max(1 << 10, held >> 1):
+        bits = bits[: len(bits) // 2] | bits[len(bits) // 2 :]
+    return bits
+
+
+def _count_transitions(sent, depth: int):  # noqa: ANN001, ANN202  sent: a broadcast table of bits
+    """(c, s, n): context, shorter transition and count; s is 0 for the count of a context of over one word."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher, t = WordHasher(), tree.value
+        hasher, bits = WordHasher(), sent.value
         for texts in _sets(batches):
             tokens, begin = _tokens(texts, hasher)
-            ids = t.ids(tokens)
-            context = t.contexts(ids, begin, depth)
-            use = (context >= 0) & (ids >= 0)
-            yield _tally(context[use] * len(t.words) + ids[use], "w")
+            before = None
+            for d, (at, context, shorter) in enumerate(_depths(tokens, begin), 1):
+                if d == depth:
+                    break
+                before = np.zeros(len(tokens), bool)
+                before[at] = _in(bits, context)
+            use = _in(bits, context) if depth == 1 else before[at]
+            context, shorter = context[use], shorter[use]
+            held = _in(bits, shorter)
+            c, s = context[held], shorter[held]
+            _, first, n = np.unique(_hashed(c, s), return_index=True, return_counts=True)
+            c, s = c[first], s[first]
+            if depth > 1:
+                whole, total = np.unique(context, return_counts=True)
+                c, s, n = np.concatenate([c, whole]), np.concatenate([s, np.zeros(len(whole), np.uint64)]), np.concatenate([n, total])
+            by = np.argsort(c)  # equal contexts side by side compress
+            yield pa.RecordBatch.from_arrays([pa.array(x[by].view(np.int64)) for x in (c, s, n.astype(np.int64))], names=["c", "s", "n"])
 
     return run
 
 
-def _frequent(counted: DataFrame, least: float) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted keys and counts of what is frequent: at most 1 / P_MIN rows."""
-    t = counted.filter(F.col("n") >= least).toArrow()
-    k, n = t.column("w").to_numpy(), t.column("n").to_numpy()
-    by = np.argsort(k.view(np.uint64))
-    return k[by], n[by]
-
+def fit(texts: DataFrame, counts: DataFrame, scratch: Scratch) -> tuple[DataFrame, int, int, int]:
+    """The tree of the training texts, counts: (w, n) of their words; as (k, n, v), tokens, words and depth.
 
-def fit(texts: DataFrame, counts: DataFrame) -> SuffixTree:
-    """The tree of the training texts; counts: (w, n) of their words."""
+    Of words n is the count. v is a state's log10 share left for other words (of one word: in the word's row), or the
+    log10 probability of a state's transition.
+    """
     spark = texts.sparkSession
     n, v = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
-    least = max(2.0, P_MIN * n)
-    words, held = _frequent(counts, least)
-    tree = SuffixTree(words.view(np.uint64), held, n, v)
-    for depth in (1, 2):
-        sent = spark.sparkContext.broadcast(tree)
-        found = texts.mapInArrow(_count_transitions(sent, depth), "w long, n long").groupBy("w").agg(F.sum("n").alias("n"))
-        keys, n_of = _frequent(found, least)
-        tree.grow(keys, n_of)
-        if depth == 1:
-            word = tree.words[keys % len(words)] != END if len(words) else np.empty(0, bool)
-            tree.pairs, tree.pair_counts = keys[word], n_of[word]
-    return tree
+    often = counts.filter(F.col("n") >= LEAST)
+    shorter = often.select(F.col("w").alias("s"), F.log10((F.col("n") + 0.5) / (n + 0.5 * (v + 1))).alias("q"))
+    bits, depth, values, states = _bits(often.select(F.col("w").alias("k"))), 0, None, None
+    while True:
+        sent = spark.sparkContext.broadcast(bits)
+        found = scratch.put(texts.mapInArrow(_count_transitions(sent, depth + 1), "c long, s long, n long").groupBy("c", "s").agg(F.sum("n").alias("n")).filter(F.col("n") >= LEAST))
+        sent.destroy()
+        totals = found.filter("s = 0").select("c", F.col("n").alias("total")) if depth else often.filter(F.col("w") != int(END.view(np.int64))).select(F.col("w").alias("c"), F.col("n").alias("total"))
+        own = Window.partitionBy("c")
+        moves = found.filter("s <> 0").join(shorter, "s").join(totals, "c").withColumn("p", (F.col("n") - DISCOUNT) / F.col("total"))
+        q = F.pow(F.lit(10.0), "q")
+        sums = {"share": 1 - F.sum("p").over(own), "other": 1 - F.sum(q).over(own), "many": F.count("*").over(own), "diverged": F.sum(F.col("p") * F.log(F.col("p") / q)).over(own), "least_p": F.min("p").over(own), "least_q": F.min(q).over(own)}
+        kept = (F.col("share") > 1e-12) & (F.col("other") > 1e-9)
+        gain = F.col("total") * (F.col("diverged") + F.col("share") * F.log(F.col("share") / F.col("other")))
+        moves = moves.withColumns(sums).withColumn("kept", F.coalesce(F.when(kept, gain > GAIN * (F.col("many") + 1)), F.lit(False)))
+        # a longer context that isn't the state itself occurs less often
+        least = F.when(F.col("kept"), F.least("least_p", "share")).otherwise(F.least("least_q", "other"))
+        most = (F.col("total") - F.col("kept").cast("int")) * -F.log(F.greatest(least, F.lit(1e-300)))
+        grown = scratch.put(moves.select("c", F.xxhash64("c", "s").alias("k"), F.when(F.col("kept"), F.log10("p")).otherwise(F.col("q")).alias("q"), "kept", F.when(F.col("kept"), F.log10(F.col("share") / F.col("other"))).alias("left"), (most > 2 * GAIN * (1 - 1e-9)).alias("open")))
+        scratch.drop(found)
+        new = grown.filter("kept")
+        if new.isEmpty():
+            break
+        depth += 1
+        states = new.groupBy(F.col("c").alias("k")).agg(F.first("left").alias("v"))
+        states = counts.select(F.col("w").alias("k"), "n").join(states, "k", "left").select("k", "n", "v") if depth == 1 else states.select("k", F.lit(0).cast("long").alias("n"), "v")
+        rows = states.unionByName(new.select("k", F.lit(0).cast("long").alias("n"), F.col("q").alias("v")))
+        values = rows if values is None else values.unionByName(rows)
+        shorter = grown.filter("open").select(F.col("k").alias("s"), "q")
+        bits = _bits(shorter.select(F.col("s").alias("k")).union(grown.filter("open").select("c").distinct()))
+        if not bits.any():
+            break
+    if values is None:
+        values = counts.select(F.col("w").alias("k"), "n", F.lit(None).cast("double").alias("v"))
+    return values, n, v, depth
+
+
+def _ask(sent, depth: int):  # noqa: ANN001, ANN202  sent: a broadcast table of bits
+    def run(table: pa.Table) -> pa.Table:
+        tokens, begin = _tokens(table.column("text").to_pylist(), WordHasher())
+        asked = [np.unique(tokens)]
+        for d, (_, context, shorter) in zip(range(1, depth + 1), _depths(tokens, begin), strict=False):
+            for keys in (context, _hashed(context, shorter))[d == 1 :]:
+                asked.append(np.unique(keys[_in(sent.value, keys)]))
+        keys = np.concatenate(asked)
+        return pa.table({"block": pa.array(np.full(len(keys), table.column("block")[0].as_py()), pa.int64()), "k": pa.array(keys.view(np.int64))})
 
-
-def _ask(table: pa.Table) -> pa.Table:
-    tokens = np.unique(_tokens(table.column("text").to_pylist(), WordHasher())[0])
-    return pa.table({"block": pa.array(np.full(len(tokens), table.column("block")[0].as_py()), pa.int64()), "w": pa.array(tokens.view(np.int64))})
+    return run
 
 
 def score(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -195,24 +291,26 @@ def score(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str
     source = keyed(docs, id_col, text_col).withColumn("held_out", ~F.coalesce(train, F.lit(True)))
     texts = source.filter("not held_out").select("text")
     counts = scratch.put(texts.mapInArrow(_count_words, "w long, n long").groupBy("w").agg(F.sum("n").alias("n")))
-    tree = fit(texts, counts)
-    sent = spark.sparkContext.broadcast(tree)
-    blocks = max(1, round(tree.n * 1.25 / BLOCK_TOKENS))
+    values, of_all, distinct, depth = fit(texts, counts, scratch)
+    sent = spark.sparkContext.broadcast(_bits(values.filter("n = 0").select("k")))
+    blocks = max(1, round(of_all * 1.25 / BLOCK_TOKENS))
     dealt = source.withColumn("block", F.pmod(F.xxhash64("_k"), F.lit(blocks)))
-    asked = dealt.groupBy("block").applyInArrow(_ask, "block long, w long")
-    answers = asked.join(counts, "w").select("block", "w", "n")
+    asked = dealt.groupBy("block").applyInArrow(_ask(sent, depth), "block long, k long")
+    answers = asked.join(values, "k").select("block", "k", "n", "v")
     schema = "_k long, doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
     def scored(text: pa.Table, answer: pa.Table) -> pa.Table:
-        t = sent.value
         tokens, begin = _tokens(text.column("text").to_pylist(), WordHasher())
-        w, n = answer.column("w").to_numpy().view(np.uint64), answer.column("n").to_numpy()
-        by = np.argsort(w)
-        at = _found(w[by], tokens)
-        known = np.where(at >= 0, n[by][at] if len(n) else 0, 0)
-        base = t.unigram(known)
-        full = t.log_probabilities(t.ids(tokens), begin, base)
+        k, n, v = (answer.column(x).to_numpy() for x in ("k", "n", "v"))
+        by = np.argsort(k.view(np.uint64))
+        k, n, v = k.view(np.uint64)[by], np.append(n[by], 0), np.append(v[by], np.nan)
+        known = n[_found(k, tokens)]  # the last is the answer to what is absent
+        base = np.log10((known + 0.5) / (of_all + 0.5 * (distinct + 1)))
+        full = base.copy()
+        for _, (at, context, shorter) in zip(range(depth), _depths(tokens, begin), strict=False):
+            left, p = v[_found(k, context)], v[_found(k, _hashed(context, shorter))]
+            full[at] = np.where(np.isnan(p), full[at] + np.nan_to_num(left), p)
         total = lambda x: np.add.reduceat(x, begin[:-1]) if len(begin) > 1 else np.empty(0)
-        return pa.table({"_k": text.column("_k"), "doc_id": text.column("doc_id"), "held_out": text.column("held_out"), "n_tokens": pa.array(np.diff(begin)), "n_known": pa.array(total((known > 0).astype(np.int64)).astype(np.int64)), "train_tokens": pa.array(np.full(len(begin) - 1, t.n, np.int64)), "base_score": pa.array(total(base).astype(float)), "score": pa.array(total(full).astype(float))})
+        return pa.table({"_k": text.column("_k"), "doc_id": text.column("doc_id"), "held_out": text.column("held_out"), "n_tokens": pa.array(np.diff(begin)), "n_known": pa.array(total((known > 0).astype(np.int64)).astype(np.int64)), "train_tokens": pa.array(np.full(len(begin) - 1, of_all, np.int64)), "base_score": pa.array(total(base).astype(float)), "score": pa.array(total(full).astype(float))})
 
     return dealt.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(scored, schema)

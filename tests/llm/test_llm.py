@@ -391,3 +391,69 @@ def test_items_without_any_hit(spark):
     d = spark.createDataFrame([(1, "zzz yyy"), (2, "")], "doc_id long, text string")
     b = spark.createDataFrame([(1, "an item of some length that is nowhere")], "item_id long, text string")
     assert all(not r.matches for r in decontaminate.find_items(d, b).collect())
+
+
+def brute_scores(train, texts):
+    """log10 probabilities summed over each text, by a tree in dictionaries."""
+    runs = [[*t.encode().lower().split(), None] for t in train]
+    c = Counter(w for r in runs for w in r)
+    n, v = sum(c.values()), len(c)
+    states = {}
+
+    def p(context, w, depth):
+        for d in range(min(depth, len(context)), 0, -1):
+            s = states.get(context[-d:])
+            if s and w in s[0]:
+                return s[0][w]
+            if s:
+                return s[1] * p(context, w, d - 1)
+        return (c[w] + 0.5) / (n + 0.5 * (v + 1))
+
+    depth = 0
+    while True:
+        depth += 1
+        seen = {}
+        for r in runs:
+            for i in range(depth, len(r)):
+                seen.setdefault(tuple(r[i - depth : i]), Counter())[r[i]] += 1
+        new = {}
+        for context, follow in seen.items():
+            total, moves = sum(follow.values()), {w: k for w, k in follow.items() if k >= lm_score.LEAST}
+            ps, qs = {w: (k - lm_score.DISCOUNT) / total for w, k in moves.items()}, {w: p(context, w, depth - 1) for w in moves}
+            share, other = 1 - sum(ps.values()), 1 - sum(qs.values())
+            if moves and share > 1e-12 and other > 1e-9 and total * (sum(x * math.log(x / qs[w]) for w, x in ps.items()) + share * math.log(share / other)) > lm_score.GAIN * (len(moves) + 1):
+                new[context] = ps, share / other
+        if not new:
+            return depth - 1, [sum(math.log10(p(tuple(r[:i]), r[i], depth)) for i in range(len(r))) for r in ([*t.encode().lower().split(), None] for t in texts)]
+        states |= new
+
+
+def test_lm_score_keeps_rare_transitions_and_long_contexts(spark):
+    rng = random.Random(3)
+    # three words decide the next one, most often
+    after, texts = [rng.choice("abcd") for _ in range(64)], []
+    for _ in range(60):
+        run = [rng.choice("abcd") for _ in range(3)]
+        for _ in range(60):
+            run.append(after[sum("abcd".index(x) * y for x, y in zip(run[-3:], (1, 4, 16)))] if rng.random() < 0.8 else rng.choice("abcd"))
+        texts.append(" ".join(run))
+    texts += [f"{a} same long run of words that differ {a} {a}{a}" for a in ("up", "down", "left", "right") for _ in range(6)]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = keyed_rows(lm_score.score(rows, F.col("doc_id") % 5 != 1))
+    depth, want = brute_scores([t for i, t in enumerate(texts) if i % 5 != 1], texts)
+    assert depth >= 3
+    assert all(math.isclose(r.score, x, rel_tol=1e-9) for r, x in zip(got, want, strict=True))
+
+
+def test_lm_score_is_alike_at_every_size(spark):
+    # a pair seen 50 times is a transition whatever else the corpus holds (2e-6 of 60 million would be 120)
+    pair, rest = [(i, "rare pair") for i in range(50)], [(100 + i, " ".join(f"w{j}" for j in range(i * 7, i * 7 + 400))) for i in range(40)]
+    counts = spark.createDataFrame([*pair, *rest], "doc_id long, text string")
+    texts = counts.select("text")
+    from tessera.llm.common import Scratch
+
+    scratch = Scratch(spark)
+    words = scratch.put(texts.mapInArrow(lm_score._count_words, "w long, n long").groupBy("w").agg(F.sum("n").alias("n")))
+    larger = scratch.put(words.union(spark.createDataFrame([(7, 60_000_000)], "w long, n long")))
+    small, large = (lm_score.fit(texts, w, scratch)[0].filter("v is not null").select("k").distinct() for w in (words, larger))
+    assert small.count() and small.exceptAll(large).isEmpty()
