@@ -1,6 +1,6 @@
 """Benchmark items in documents, up to edits.
 
-An item is found where a window that starts at a word is within RATE times the item's length of edits of it, both
+An item is found where a window, which may start at any character, is within RATE times the item's length of edits of it, both
 lower-cased with white space as one blank. Windows of an item's size are embedded by CGK random walks, under which
 strings a few edits apart fall in step again and differ in few places. Each of several walks is sampled at a few
 places, several times, and windows that agree with an item in AGREE whole samples are verified by exact edit distance
@@ -136,6 +136,7 @@ class ItemIndex:
         """Of each normalised text: (item, start, stop, distance) of the best match of each item found."""
         found: list[dict[int, tuple[int, int, int]]] = [{} for _ in texts]
         at, width = 0, self.steps + 1
+        most = min(8_192, max(64, 8 * BLOCK // width))  # windows at once
         held: list[tuple[np.ndarray, ...]] = []
         while at < len(texts) and self.items:
             to, n = at, 0
@@ -146,12 +147,15 @@ class ItemIndex:
             start, size = self._candidates(codes)
             begin = np.flatnonzero(codes == 0)[: to - at] + 1
             doc = np.searchsorted(begin, start, side="right") - 1
-            held.append((codes[start[:, None] + np.arange(width)], size, doc + at, start - begin[doc]))
+            for a in range(0, len(start), most):
+                own = slice(a, a + most)
+                held.append((codes[start[own, None] + np.arange(width)], size[own], doc[own] + at, (start - begin[doc])[own]))
+                if sum(len(h[1]) for h in held) >= most:
+                    self._match([np.concatenate(x) for x in zip(*held, strict=True)], texts, found)
+                    held = []
             at = to
-            if sum(len(h[1]) for h in held) >= 8_192 or at == len(texts):
-                for a in range(0, max(len(h[1]) for h in held), 8_192):
-                    self._match([np.concatenate([h[j][a : a + 8_192] for h in held]) for j in range(4)], texts, found)
-                held = []
+        if held:
+            self._match([np.concatenate(x) for x in zip(*held, strict=True)], texts, found)
         return [[(self.items[i][0], s, e, d) for i, (d, s, e) in sorted(f.items())] for f in found]
 
     def _candidates(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -169,13 +173,19 @@ class ItemIndex:
         last = np.minimum(np.arange(len(key)) + needed - 1, len(key) - 1)
         ok = (np.arange(len(key)) + needed <= len(key)) & (key[last] <= key + 2 * edits)
         first, final, edits, item = (key % far - (1 << 20))[ok], (key % far - (1 << 20))[last][ok], edits[ok], item[ok]
-        gap = (codes == 32) | (codes == 0)
-        words = np.flatnonzero(gap[:-1] & ~gap[1:]) + 1
-        a, b = np.searchsorted(words, final - edits), np.searchsorted(words, first + edits, side="right")
-        n = np.maximum(b - a, 0)
-        word = words[np.repeat(a, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)]
-        pairs = np.unique(word * 4096 + self.size_of[np.repeat(item, n)])
-        return pairs // 4096, pairs % 4096
+        # the ranges of starts, overlapping ones of a class of lengths as one
+        low, high = np.maximum(final - edits, 1), np.minimum(first + edits, len(codes) - self.steps - 2)
+        use = low <= high
+        size = self.size_of[item[use]] * far
+        by = np.argsort(size + low[use], kind="stable")
+        low, high = (size + low[use])[by], np.maximum.accumulate((size + high[use])[by])
+        new = np.flatnonzero(np.append(True, low[1:] > high[:-1])[: len(low)])
+        low, high = low[new], high[np.append(new[1:], len(high)) - 1] if len(new) else high
+        n = high - low + 1
+        start = np.repeat(low, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        start, size = start % far, start // far
+        use = codes[start] != 0
+        return start[use], size[use]
 
     def _match(self, windows: list[np.ndarray], texts: list[str], found: list[dict]) -> None:
         codes, size, doc, start = windows

@@ -457,3 +457,15 @@ def test_lm_score_is_alike_at_every_size(spark):
     larger = scratch.put(words.union(spark.createDataFrame([(7, 60_000_000)], "w long, n long")))
     small, large = (lm_score.fit(texts, w, scratch)[0].filter("v is not null").select("k").distinct() for w in (words, larger))
     assert small.count() and small.exceptAll(large).isEmpty()
+
+
+def test_items_without_white_space_before_them(spark):
+    rng = random.Random(2)
+    chinese = ["".join(chr(rng.randrange(0x4E00, 0x5E00)) for _ in range(n)) for n in (300, 60, 300)]
+    latin, around = prose(rng, 20), "".join(rng.choice("abcdefgh") for _ in range(400))
+    items = [(1, chinese[1]), (2, latin)]
+    texts = ["".join(chinese), f"{around}{latin}{around}", f"https://x.org/?q={latin}", f"question:{edited(rng, latin, 4)}", around, chinese[0], latin[3:]]
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: [(m.item_id, m.distance) for m in r.matches] for r in decontaminate.find_items(d, spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert got[0] == [(1, 0)] and got[1] == got[2] == [(2, 0)] and got[4] == got[5] == []
+    assert [i for i, _ in got[3]] == [2] and got[3][0][1] <= 4 and got[6] == [(2, 3)]
