@@ -2,8 +2,11 @@
 
 Each line of a text, normalised to lower-case words of letters and digits, is compared with licence templates by the
 Dice coefficient of their sets of word bigrams: twice the common ones over the sum of both sizes. A set too small or too
-large to reach the threshold with a template isn't compared with it. Templates are constants of the query's expressions,
-so documents aren't joined with anything and never shuffled.
+large to reach the threshold with a template isn't compared with it. Notices that are wrapped over lines or share a line
+with other text are found by windows of consecutive words of the whole text: a window begins and ends with a bigram of
+the template, since shorter ones are more alike otherwise. Only texts that hold enough of a template's bigrams are
+searched so. Templates are constants of the query's expressions, so documents aren't joined with anything and never
+shuffled.
 """
 
 from __future__ import annotations
@@ -58,16 +61,77 @@ def _best(line: Column, templates: list[tuple[str, str]], threshold: float) -> C
     return F.element_at(F.transform(F.array(words), lambda w: F.when(F.size(w) > 1, F.element_at(F.transform(F.array(bigrams(w)), of), 1))), 1)
 
 
+def _let(value: Column, f) -> Column:  # noqa: ANN001
+    """f of a value that is worked out once."""
+    return F.element_at(F.transform(F.array(value), f), 1)
+
+
+def _pairs(w: Column) -> Column:
+    return F.zip_with(F.slice(w, 1, F.greatest(F.size(w) - 1, F.lit(0))), F.slice(w, 2, F.greatest(F.size(w) - 1, F.lit(0))), lambda x, y: F.concat(x, F.lit(" "), y))
+
+
+def _windows(text: Column, templates: list[tuple[str, str]], threshold: float) -> Column:
+    """(start, dice, order, stop, license) of the windows of words like a template, the most alike of overlapping ones; bigrams from 0."""
+    grams = [template_bigrams(t) for _, t in templates]
+    every = F.array(*map(F.lit, sorted({g for t in grams for g in t})))
+
+    def of(b: Column, common: Column, i: int) -> Column:
+        t = F.array(*map(F.lit, grams[i]))
+        size, least = len(grams[i]), math.ceil(threshold / (2 - threshold) * len(grams[i]))
+        # of bigrams with repeats: a set of the largest size may hold each twice
+        span = 2 * math.floor((2 - threshold) / threshold * size)
+
+        def like(start: Column, stop: Column) -> Column:
+            return _let(F.array_distinct(F.slice(b, start + 1, stop - start + 1)), lambda w: F.struct((F.size(F.array_intersect(w, t)) * F.lit(2.0) / (F.size(w) + size)).alias("dice"), (-stop).alias("back")))
+
+        def best(hits: Column) -> Column:
+            def of_start(start: Column, k: Column) -> Column:
+                stops = F.filter(F.slice(hits, k + 1, span), lambda stop: (stop - start + 1).between(least, span))
+                return _let(F.array_max(F.transform(stops, lambda stop: like(start, stop))), lambda x: F.struct(start.alias("start"), x["dice"].alias("dice"), F.lit(-i).alias("order"), (-x["back"]).alias("stop"), F.lit(templates[i][0]).alias("license")))
+
+            return F.filter(F.transform(hits, of_start), lambda x: x["dice"] >= threshold)
+
+        hits = F.filter(F.transform(b, lambda x, at: F.when(F.array_contains(t, x), at)), lambda at: at.isNotNull())
+        return F.when(F.size(F.array_intersect(common, t)) >= least, _let(hits, best))
+
+    def merged(acc: Column, x: Column) -> Column:
+        last = F.element_at(acc, -1)
+        better = F.struct(x["dice"], x["order"]) > F.struct(last["dice"], last["order"])
+        overlapping = F.when(better, F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(x))).otherwise(acc)
+        return F.when(F.size(acc) == 0, F.array(x)).when(x["start"] <= last["stop"], overlapping).otherwise(F.concat(acc, F.array(x)))
+
+    def of_text(b: Column) -> Column:
+        found = _let(F.array_intersect(b, every), lambda common: F.flatten(F.filter(F.array(*(of(b, common, i) for i in range(len(grams)))), lambda x: x.isNotNull())))
+        return _let(F.array_sort(found), lambda x: F.aggregate(x, F.slice(x, 1, 0), merged))
+
+    return _let(_pairs(F.filter(F.split(text, "[ \n]+"), lambda w: w != "")), of_text)
+
+
 def scan_licenses(docs: DataFrame, text_col: str = "text", out_col: str = "licenses", templates: list[tuple[str, str]] = TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
-    """docs with an array of (line, license, dice): the lines (from 1) like a template, with the most like one.
+    """docs with an array of (line, license, dice): the lines (from 1) like a template, with the most like one, and the windows like one.
 
-    Null, empty and one-word lines are like none. Equal likeness goes to the earlier template. Repeated rows are scanned
-    alike; an empty table gives an empty result. An added column replaces one of the same name.
+    A window has the line of its first word; it is left out where a line that it lies in, or one at least as like that
+    it spans, is found itself; otherwise it takes the place of the lines it spans with the same licence. Null, empty and one-word lines are like none. Equal likeness goes to the earlier
+    template. Repeated rows are scanned alike; an empty table gives an empty result. An added column replaces one of
+    the same name.
     """
     text = F.regexp_replace(F.lower(F.coalesce(F.col(text_col), F.lit(""))), r"[^\p{L}\p{N}\n]+", " ")
-    lines = F.transform(F.split(text, "\n"), lambda line, i: F.struct((i + 1).cast("long").alias("line"), _best(line, templates, threshold).alias("best")))
-    hits = F.filter(lines, lambda x: x["best"].isNotNull())
-    return docs.withColumn(out_col, F.transform(hits, lambda x: F.struct(x["line"].alias("line"), x["best"]["license"].alias("license"), x["best"]["dice"].alias("dice"))))
+
+    def scanned(text: Column) -> Column:
+        lines = F.transform(F.split(text, "\n"), lambda line, i: F.struct((i + 1).cast("long").alias("line"), _best(line, templates, threshold).alias("best")))
+        hits = F.transform(F.filter(lines, lambda x: x["best"].isNotNull()), lambda x: F.struct(x["line"].alias("line"), x["best"]["license"].alias("license"), x["best"]["dice"].alias("dice")))
+        # the line of each word
+        numbers = F.flatten(F.transform(F.split(text, "\n"), lambda line, i: F.transform(F.filter(F.split(line, " "), lambda w: w != ""), lambda w: (i + 1).cast("long"))))
+
+        def both(hits: Column, windows: Column, number: Column) -> Column:
+            placed = F.transform(windows, lambda x: F.struct(F.element_at(number, x["start"] + 1).alias("line"), F.element_at(number, x["stop"] + 2).alias("last"), x["license"].alias("license"), x["dice"].alias("dice")))
+            new = F.filter(placed, lambda x: ~F.exists(hits, lambda h: h["line"].between(x["line"], x["last"]) & ((x["line"] == x["last"]) | (h["dice"] >= x["dice"]))))
+            old = F.filter(hits, lambda h: ~F.exists(new, lambda x: (x["license"] == h["license"]) & h["line"].between(x["line"], x["last"])))
+            return F.array_sort(F.concat(old, F.transform(new, lambda x: F.struct(x["line"].alias("line"), x["license"].alias("license"), x["dice"].alias("dice")))))
+
+        return _let(hits, lambda h: _let(_windows(text, templates, threshold), lambda w: F.when(F.size(w) == 0, h).otherwise(_let(numbers, lambda n: both(h, w, n)))))
+
+    return docs.withColumn(out_col, _let(text, scanned))
 
 
 def best_license(found: DataFrame, id_col: str = "doc_id", licenses_col: str = "licenses") -> DataFrame:

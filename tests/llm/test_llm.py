@@ -469,3 +469,16 @@ def test_items_without_white_space_before_them(spark):
     got = {r.doc_id: [(m.item_id, m.distance) for m in r.matches] for r in decontaminate.find_items(d, spark.createDataFrame(items, "item_id long, text string")).collect()}
     assert got[0] == [(1, 0)] and got[1] == got[2] == [(2, 0)] and got[4] == got[5] == []
     assert [i for i, _ in got[3]] == [2] and got[3][0][1] <= 4 and got[6] == [(2, 3)]
+
+
+def test_license_windows(spark):
+    text = dict(license_scan.TEMPLATES)
+    wrap = lambda t, n: "\n * ".join(" ".join(t.split()[i : i + n]) for i in range(0, len(t.split()), n))
+    mit = text["mit-permission"][:-1] + ", including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:"
+    rows = [
+        (1, "Intro\n\n" + wrap(text["gpl-notice"], 11) + "\nmore text"), (2, wrap(text["isc"], 9)), (3, wrap(mit, 8)), (4, mit),
+        (5, "This module came from elsewhere and was moved here some years ago. Released under the MIT License."), (6, " ".join(text["gpl-notice"].split()[:12])),
+        (7, "x y\n" + wrap(text["isc"], 9) + "\nand then\nReleased under the MIT\nLicense."), (8, "Released under the MIT License."), (9, None), (10, "word"),
+    ]
+    got = {r.doc_id: [(m.line, m.license) for m in r.licenses] for r in license_scan.scan_licenses(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: [(3, "gpl-notice")], 2: [(1, "isc")], 3: [(1, "mit-permission")], 4: [(1, "mit-permission")], 5: [(1, "mit")], 6: [], 7: [(2, "isc"), (7, "mit")], 8: [(1, "mit")], 9: [], 10: []}
