@@ -8,6 +8,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from tessera.llm import chat_format, decontaminate, language_id, license_scan, lm_score, minhash_dedup, packing, simhash, suffix_dedup, url_filter
@@ -41,7 +42,13 @@ def clean(spark):
 
 
 def ordered(df):
-    return sorted(((r.doc_id, r.text) for r in df.collect()), key=lambda r: (r[0] is not None, r[0] or 0, r[1] is not None, r[1] or ""))
+    """(id, text) in the order of ids (null first) and of the texts' hashes."""
+
+    def key(r):
+        h = 42 if r.text is None else xxhash.xxh64_intdigest(r.text.encode(), 42)
+        return r.doc_id is not None, r.doc_id or 0, h - (1 << 64) if h >> 63 else h
+
+    return [(r.doc_id, r.text) for r in sorted(df.collect(), key=key)]
 
 
 def keyed_rows(df):
@@ -326,7 +333,7 @@ def edited(rng, text, n):
 
 def test_decontaminate(spark):
     rng = random.Random(11)
-    items = [(i, prose(rng, rng.randint(12, 40))) for i in range(25)] + [(90, None), (91, " "), (92, "tiny")]
+    items = [(i, prose(rng, rng.randint(12, 40))) for i in range(25)] + [(90, None), (91, " "), (92, "qqtiny")]
     docs, want = [], {}
     for i, t in items[:25]:
         most = int(decontaminate.RATE * len(decontaminate.normalised(t)))
@@ -482,3 +489,31 @@ def test_license_windows(spark):
     ]
     got = {r.doc_id: [(m.line, m.license) for m in r.licenses] for r in license_scan.scan_licenses(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == {1: [(3, "gpl-notice")], 2: [(1, "isc")], 3: [(1, "mit-permission")], 4: [(1, "mit-permission")], 5: [(1, "mit")], 6: [], 7: [(2, "isc"), (7, "mit")], 8: [(1, "mit")], 9: [], 10: []}
+
+
+@pytest.mark.parametrize(("low", "high"), [(1, 9), (10, 12), (13, 15), (16, 19), (20, 29), (30, 39), (40, 99), (100, 199), (200, 400)])
+def test_recall_of_items_against_exact_search(low, high):
+    rng = random.Random(low)
+    letters = "abcdefghijklmnopqrstuvwxyz "
+    run = lambda n: "".join(rng.choice(letters) for _ in range(n))
+    items = list({t: None for t in (decontaminate.normalised(run(rng.randint(low, high))) for _ in range(60)) if t and low <= len(t)})
+    plan = [(i, n, decontaminate.normalised(run(30) + "." + edited(rng, t, n) + "." + run(30))) for i, t in enumerate(items) for n in {0, int(decontaminate.RATE * len(t))} if len(t) > 1 or not n]
+    got = decontaminate.ItemIndex(list(enumerate(items))).search([text for _, _, text in plan])
+    hits = []
+    for (i, n, text), found in zip(plan, got, strict=True):
+        most = int(decontaminate.RATE * len(items[i]))
+        if n == 0:
+            assert any(x[0] == i and x[3] == 0 for x in found)
+        elif any(decontaminate.bounded_distance(items[i], text[s : s + len(items[i]) + most], most) for s in range(len(text))):
+            hits.append(any(x[0] == i for x in found))
+        assert all(text[s:e] and x <= decontaminate.RATE * len(items[j]) and distance(items[j], text[s:e])[-1] == x for j, s, e, x in found[:2])
+    assert not hits or sum(hits) >= 0.95 * len(hits)
+
+
+def test_several_passes_over_documents(spark, monkeypatch):
+    monkeypatch.setattr(decontaminate, "ITEM_CHARS", 100)
+    rng = random.Random(12)
+    items = [(i, prose(rng, 15)) for i in range(8)] + [(8, "ab"), (9, "short one")]
+    d = spark.createDataFrame([(i, f"{prose(rng, 3)} {t} {prose(rng, 3)}") for i, t in items] + [(99, "nothing"), (98, None)], "doc_id long, text string")
+    got = {r.doc_id: {m.item_id for m in r.matches} for r in decontaminate.find_items(d, spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert all(i in got[i] for i, _ in items) and not got[99] and not got[98]
