@@ -6,8 +6,9 @@ a text is described by its kernel values with the landmarks, whitened by the lan
 one-versus-rest kernel ridge regression is fitted in that space. Scoring is two matrix products for each batch of texts:
 presence by landmarks, then landmarks by languages.
 
-The model is fitted on at most PER_LANGUAGE texts of each language (the least hashes of the id), of at most
-SAMPLE_CHARS characters; the landmarks are a part of them. Every text is scored, whole.
+The model is fitted on at most PER_LANGUAGE whole texts of each language (the least hashes of the id); the landmarks
+are a part of them. Their n-grams are taken on the executors and only those are sent to the driver. Every text is
+scored, whole.
 """
 
 from __future__ import annotations
@@ -19,8 +20,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.llm.common import kernel
+
 LENGTHS = (1, 2, 3)
-PER_LANGUAGE, LANDMARKS, SAMPLE_CHARS, RIDGE = 300, 32, 20_000, 1e-2
+PER_LANGUAGE, LANDMARKS, RIDGE = 300, 32, 1e-2
 SHARP = 8.0  # of the soft maximum that turns regression outputs into a score
 UNDETERMINED = "und"
 _MULTIPLIER = np.uint32(0x9E3779B1)
@@ -28,7 +31,7 @@ _MULTIPLIER = np.uint32(0x9E3779B1)
 
 def grams(text: str) -> np.ndarray:
     """Sorted distinct 32-bit hashes of the n-grams of the lower-cased text, white space as one blank."""
-    a = np.frombuffer(" ".join(["", *text.lower().split(), ""]).encode("utf-32-le", "surrogatepass"), np.uint32)+ np.uint32(1)
+    a = np.frombuffer(" ".join(["", *text.lower().split(), ""]).encode("utf-32-le", "surrogatepass"), np.uint32) + np.uint32(1)
     out, h = [], np.zeros(len(a), np.uint32)
     for n in range(1, max(LENGTHS) + 1):
         if len(a) < n:
@@ -46,9 +49,8 @@ def grams(text: str) -> np.ndarray:
 class KernelModel:
     """Landmarks, their n-grams, and the weights of each language."""
 
-    def __init__(self, texts: list[str], langs: list[str], landmarks: int = LANDMARKS, ridge: float = RIDGE):
+    def __init__(self, sets: list[np.ndarray], langs: list[str], landmarks: int = LANDMARKS, ridge: float = RIDGE):
         self.langs = sorted(set(langs))
-        sets = [grams(t) for t in texts]
         chosen = [i for lang in self.langs for i in [j for j, x in enumerate(langs) if x == lang][:landmarks]]
         self.vocabulary = np.unique(np.concatenate([sets[i] for i in chosen]))
         self.marks = np.zeros((len(self.vocabulary), len(chosen)), np.float32)
@@ -78,48 +80,71 @@ class KernelModel:
             out[at : at + 64] = (presence @ self.marks) / np.sqrt([[len(s)] for s in part])
         return out
 
-    def predict(self, texts: list[str]) -> tuple[list[str], list[float]]:
+    def predict(self, texts: list[str]) -> tuple[list[str], list[float], list[float]]:
+        """Languages, scores, and the languages' own regression outputs: 1 for a typical text, -1 for one of another language."""
         out = self.kernel([grams(t) for t in texts]) @ self.weights + self.bias
         e = np.exp(SHARP * (out - out.max(1, keepdims=True)))
-        return [self.langs[i] for i in out.argmax(1).tolist()], (1 / e.sum(1)).astype(float).tolist()
+        return [self.langs[i] for i in out.argmax(1).tolist()], (1 / e.sum(1)).astype(float).tolist(), out.max(1).astype(float).tolist()
 
 
 def has_letter(text: str) -> bool:
     return any(c.isalpha() for c in text[:200]) or any(map(str.isalpha, text[200:]))
 
 
-def fit(examples: DataFrame, id_col: str, text_col: str, lang_col: str) -> KernelModel | None:
-    """Of the labelled rows, at most PER_LANGUAGE of each language."""
-    d = examples.filter(F.col(lang_col).isNotNull() & F.col(text_col).rlike(r"\p{L}") & (F.length(text_col) <= SAMPLE_CHARS))
-    d = d.select(F.col(text_col).alias("t"), F.col(lang_col).alias("l"), F.xxhash64(F.col(id_col).cast("string")).alias("h"))
-    rank = F.row_number().over(Window.partitionBy("l").orderBy("h", "t"))
-    rows = d.withColumn("r", rank).filter(F.col("r") <= PER_LANGUAGE).orderBy("l", "r").collect()  # PER_LANGUAGE rows a language at most
-    return KernelModel([r.t for r in rows], [r.l for r in rows]) if rows else None
+def _gram_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        sets = [grams(t).tobytes() for t in b.column("t").to_pylist()]
+        yield pa.RecordBatch.from_arrays([b.column("l"), b.column("h"), pa.array(sets, pa.binary())], names=["l", "h", "grams"])
 
 
-def identify(docs: DataFrame, model: KernelModel | None, text_col: str = "text", lang_col: str = "lang_pred", score_col: str = "score") -> DataFrame:
-    """docs with the predicted language and a score in 0 to 1.
+def fit(examples: DataFrame, id_col: str, text_col: str, lang_col: str) -> KernelModel | None:
+    """Of the labelled rows with a letter, at most PER_LANGUAGE of each language.
+
+    Rows are chosen by hashes alone: counts give each language a bound that far more than PER_LANGUAGE hashes stay
+    under, and the least of those few are ranked. Null languages and texts are no examples; rows that repeat an id have equal hashes and
+    are ranked by their text's. Texts are as long as they are; a text's n-grams, not its length, go to the driver.
+    """
+    d = examples.filter(F.col(lang_col).isNotNull() & F.col(text_col).rlike(r"\p{L}"))
+    d = d.select(F.col(text_col).alias("t"), F.col(lang_col).alias("l"), F.xxhash64(F.col(id_col).cast("string")).alias("h"), F.xxhash64(text_col).alias("g"))
+    share = d.groupBy("l").agg(F.count("*").alias("n")).select("l", (4.0 * PER_LANGUAGE / F.col("n")).alias("share"))
+    near = d.select("l", "h", "g").join(share, "l").filter((F.col("h").cast("double") / 2.0**64 + 0.5) < F.col("share"))
+    rank = F.row_number().over(Window.partitionBy("l").orderBy("h", "g"))
+    last = near.withColumn("r", rank).filter(F.col("r") <= PER_LANGUAGE).groupBy("l").agg(F.max(F.struct("h", "g")).alias("last"))
+    chosen = kernel(d.join(last, "l").filter(F.struct("h", "g") <= F.col("last")), _gram_sets, "l string, h long, grams binary")
+    per, rows = {}, []
+    for r in chosen.collect():  # PER_LANGUAGE sets of n-grams a language, and those of rows that repeat the last one
+        per.setdefault(r.l, []).append((r.h, r.grams))
+    for lang in sorted(per):
+        rows += [(lang, np.frombuffer(g, np.uint32)) for _, g in sorted(per[lang])[:PER_LANGUAGE]]
+    return KernelModel([g for _, g in rows], [lang for lang, _ in rows]) if rows else None
+
+
+def identify(docs: DataFrame, model: KernelModel | None, text_col: str = "text", lang_col: str = "lang_pred", score_col: str = "score", output_col: str | None = None) -> DataFrame:
+    """docs with the predicted language and a score in 0 to 1; output_col: also the language's own regression output (-1 for `und`).
 
     A text that is null or has no letter is `und` with score 0, and so is every text without a model (no labelled rows).
-    Repeated rows are scored alike; an empty table gives an empty result. Added columns replace those of the same name.
+    Very long texts are scored whole, like others. Repeated rows are scored alike; an empty table gives an empty result.
+    Added columns replace those of the same name.
     """
     held = docs.sparkSession.sparkContext.broadcast(model)
     place = docs.columns.index(text_col)
-    kept = [(i, c) for i, c in enumerate(docs.columns) if c not in (lang_col, score_col)]
-    names = [c for _, c in kept] + [lang_col, score_col]
+    added = [lang_col, score_col, *([output_col] if output_col else [])]
+    kept = [(i, c) for i, c in enumerate(docs.columns) if c not in added]
+    names = [c for _, c in kept] + added
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = held.value
         for b in batches:
             texts = b.column(place).to_pylist()
             real = [i for i, t in enumerate(texts) if m is not None and t and has_letter(t)]
-            langs, scores = [UNDETERMINED] * len(texts), [0.0] * len(texts)
+            langs, scores, outputs = [UNDETERMINED] * len(texts), [0.0] * len(texts), [-1.0] * len(texts)
             for at in range(0, len(real), 64):
                 part = real[at : at + 64]
-                for i, lang, s in zip(part, *m.predict([texts[i] for i in part]), strict=True):
-                    langs[i], scores[i] = lang, s
-            yield pa.RecordBatch.from_arrays([*(b.column(i) for i, _ in kept), pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=names)
+                for i, lang, s, o in zip(part, *m.predict([texts[i] for i in part]), strict=True):
+                    langs[i], scores[i], outputs[i] = lang, s, o
+            new = [pa.array(langs, pa.string()), pa.array(scores, pa.float64()), pa.array(outputs, pa.float64())]
+            yield pa.RecordBatch.from_arrays([*(b.column(i) for i, _ in kept), *new[: len(added)]], names=names)
 
     fields = [docs.schema.fields[i] for i, _ in kept]
     schema = type(docs.schema)(fields).add(lang_col, "string").add(score_col, "double")
-    return docs.mapInArrow(run, schema)
+    return kernel(docs, run, schema.add(output_col, "double") if output_col else schema)
