@@ -1,73 +1,71 @@
-"""What the corpus operators share: document keys, scratch tables, hash kernels, components."""
+"""What the corpus operators share: document keys, Arrow kernels, hash kernels, components."""
 
 from __future__ import annotations
 
-import atexit
-import tempfile
-import uuid
+import ctypes
+import gc
+from collections.abc import Callable, Iterator
 
 import numpy as np
+import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.storage import Scratch
+
 #: Odd multipliers for mixing 64-bit hashes.
 MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)]
+BATCH_BYTES = "4m"  # of rows that a kernel gets at once; a longer row comes alone
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def release() -> None:
+    """Gives back what a finished kernel held: workers are reused, and the memory of one operator would stay through the next."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
+def kernel(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: object) -> DataFrame:
+    """mapInArrow with batches of bounded bytes; the worker's memory is given back at the end of each task."""
+    conf = df.sparkSession.conf
+    if conf.get(_BATCH) == "67108864b":  # Spark's default; another value is the user's or this one
+        conf.set(_BATCH, BATCH_BYTES)
+
+    def released(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        release()
 
+    return df.mapInArrow(released, schema)
 
-def scratch_root(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one where that is unset (tests)."""
-    sc = spark.sparkContext
-    root = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = "file://" + tempfile.mkdtemp(prefix="tessera-")
-        sc._jsc.sc().conf().set("spark.checkpoint.dir", root)
-        sc.setCheckpointDir(root)
-        spark.conf.set("spark.checkpoint.dir", root)
-    return root
-
-
-class Scratch:
-    """Tables of one run of an operator in the shared folder; they cut lineage and survive lost executors."""
-
-    def __init__(self, spark: SparkSession):
-        self.spark, self.root = spark, f"{scratch_root(spark).rstrip('/')}/tessera/{uuid.uuid4().hex}"
-        self.made = 0
-        atexit.register(self.drop)
-
-    def put(self, df: DataFrame) -> DataFrame:
-        self.made += 1
-        path = f"{self.root}/{self.made}"
-        df.write.option("compression", "zstd").parquet(path)
-        out = self.spark.read.schema(df.schema).parquet(path)
-        out.scratch_path = path
-        return out
-
-    def drop(self, *tables: DataFrame) -> None:
-        """Deletes these tables, or all."""
-        try:
-            jvm = self.spark.sparkContext._jvm
-            for p in [t.scratch_path for t in tables] or [self.root]:
-                path = jvm.org.apache.hadoop.fs.Path(p)
-                path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
-        except Exception:  # noqa: BLE001  the session has ended; the folder goes with it
-            if tables:
-                raise
+
+def repeats_ids(d: DataFrame, id_col: str) -> bool:
+    return d.groupBy(F.col(id_col).cast("long").alias("i")).agg(F.count("*").alias("n")).filter("n > 1 or i is null").limit(1).count() > 0
+
+
+def with_key(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", key: str = "_k") -> DataFrame:
+    """docs with a unique key in front, which sorts rows by id (null first), then by the hash of the text.
+
+    It is the id itself where ids are unique and not null. Otherwise it is a rank, from a sort by ranges of id, hash
+    and a number of the row, so rows with one id, null or not, are dealt over as many ranges as their share calls for.
+    """
+    i = F.col(id_col).cast("long")
+    rest = [c for c in docs.columns if c != key]
+    if not repeats_ids(docs, id_col):
+        return docs.select(i.alias(key), *rest)
+    order = [i.asc_nulls_first(), F.xxhash64(F.col(text_col).cast("string")), F.col("_row")]
+    ranked = docs.withColumn("_row", F.monotonically_increasing_id()).repartitionByRange(*order).sortWithinPartitions(*order)
+    return Scratch(docs.sparkSession).put(ranked.select(F.monotonically_increasing_id().alias(key), *rest))
 
 
 def keyed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(_k long, doc_id, text): _k is unique and sorts rows by id (null first), then text. It is the id itself if ids are unique and not null, else a rank."""
-    d = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    odd = d.select("doc_id").groupBy("doc_id").count().filter("count > 1 or doc_id is null").limit(1).count()
-    if not odd:
-        return d.select(F.col("doc_id").alias("_k"), "doc_id", "text")
-    scratch = Scratch(docs.sparkSession)
-    ranked = d.repartitionByRange("doc_id", F.xxhash64("text")).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), F.col("text").asc_nulls_first())
-    # equal ids may straddle a range edge only with other hashes of text; the rank of text within an id is taken exactly
-    w = Window.partitionBy("doc_id").orderBy(F.col("text").asc_nulls_first(), "_m")
-    ids = scratch.put(ranked.select(F.monotonically_increasing_id().alias("_m"), "doc_id", "text").withColumn("_r", F.row_number().over(w)))
-    first = ids.groupBy(F.col("doc_id").alias("_d")).agg(F.min("_m").alias("_f"))
-    return ids.join(first, F.col("doc_id").eqNullSafe(F.col("_d"))).select((F.col("_f") + F.col("_r") - 1).alias("_k"), "doc_id", "text")
+    """(_k long, doc_id, text) of with_key."""
+    d = with_key(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")))
+    return d.select("_k", "doc_id", "text")
 
 
 class _Memo(dict):
@@ -79,7 +77,7 @@ class _Memo(dict):
 class WordHasher:
     """64-bit hashes of words, remembered up to a number of words."""
 
-    def __init__(self, limit: int = 400_000):
+    def __init__(self, limit: int = 200_000):
         self.memo, self.limit = _Memo(), limit
 
     def __call__(self, words: list[bytes]) -> np.ndarray:
@@ -109,7 +107,11 @@ def shingles(words: list[bytes], hasher: WordHasher, size: int = 5) -> np.ndarra
 
 
 def connected_components(edges: DataFrame, scratch: Scratch) -> DataFrame:
-    """(node, root) for each node of the undirected edges (a, b), root the smallest node that it reaches: large-star and small-star rounds until nothing changes. Minima combine before the shuffle, so a hub doesn't gather its neighbours in one task."""
+    """(node, root) for each node of the undirected edges (a, b), root the smallest node that it reaches: large-star and small-star rounds until nothing changes.
+
+    Minima combine before the shuffle and are written, so that both sides of the joins that follow are plain shuffles,
+    whose large partitions Spark splits: a hub's edges are spread over tasks.
+    """
     e = scratch.put(edges.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
     was = None
     while True:
@@ -118,9 +120,9 @@ def connected_components(edges: DataFrame, scratch: Scratch) -> DataFrame:
             return e.select(F.col("u").alias("node"), F.col("v").alias("root"))
         was = mark
         both = e.union(e.select("v", "u"))
-        least = both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m"))
-        large = both.join(least, "u").filter("v > u and v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        down = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(down, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").union(down.select("u", F.col("m").alias("v"))).distinct()
+        least = scratch.put(both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m")))
+        large = scratch.put(both.join(least.hint("merge"), "u").filter("v > u and v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct())
+        down = scratch.put(large.groupBy("u").agg(F.min("v").alias("m")))
+        small = large.join(down.hint("merge"), "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").union(down.select("u", F.col("m").alias("v"))).distinct()
         old, e = e, scratch.put(small)
-        scratch.drop(old)
+        scratch.drop(old, least, large, down)

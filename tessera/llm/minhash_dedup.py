@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import Scratch, WordHasher, connected_components, keyed, shingles, words_of
+from tessera.llm.common import Scratch, WordHasher, connected_components, kernel, keyed, shingles, words_of
 
 SKETCH, INDEX, MIN_SHARED, BLOCK = 64, 16, 4, 256
 PERCENT = 75  # links need 100 * intersection >= PERCENT * union
@@ -192,7 +192,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     spark, scratch = docs.sparkSession, Scratch(docs.sparkSession)
     source = keyed(docs, id_col, text_col)
-    base = scratch.put(source.mapInArrow(_sketches, "_k long, doc_id long, n long, hi long, lo long, sketch array<long>"))
+    base = scratch.put(kernel(source, _sketches, "_k long, doc_id long, n long, hi long, lo long, sketch array<long>"))
     classes = base.filter("n > 0").groupBy("n", "hi", "lo").agg(F.min("_k").alias("rep"))
     reps = base.select(F.col("_k").alias("rep"), "n", "sketch").join(classes.select("rep"), "rep", "left_semi")
     reps = scratch.put(reps)
@@ -205,13 +205,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     blocks = F.ceil(F.col("df") / BLOCK).cast("int")
     postings = postings.withColumn("b", F.pmod(F.xxhash64("rep"), blocks).cast("int")).select("*", F.explode(F.sequence(F.lit(0), blocks - 1)).alias("o"))
     postings = postings.select("v", F.least("b", "o").alias("bi"), F.greatest("b", "o").alias("bj"), (F.col("b") < F.col("o")).alias("side"), "rep", "n", "sketch", "earlier")
-    tasks = postings.repartition("v", "bi", "bj").sortWithinPartitions("v", "bi", "bj").mapInArrow(_propose, "v long, bi int, bj int, members array<long>, pairs binary")
+    tasks = kernel(postings.repartition("v", "bi", "bj").sortWithinPartitions("v", "bi", "bj"), _propose, "v long, bi int, bj int, members array<long>, pairs binary")
     tasks = scratch.put(tasks)
     scratch.drop(reps)
     members = tasks.select("v", "bi", "bj", F.posexplode("members").alias("pos", "rep"), "pairs").withColumn("pairs", F.when(F.col("pos") == 0, F.col("pairs")))
     wanted = source.join(members.select(F.col("rep").alias("_k")).distinct(), "_k", "left_semi")
-    sets = scratch.put(wanted.select("_k", "text").mapInArrow(_sets, "rep long, hashes binary"))
-    checked = members.join(sets, "rep").repartition("v", "bi", "bj").sortWithinPartitions("v", "bi", "bj").mapInArrow(_verify, "a long, b long")
+    sets = scratch.put(kernel(wanted.select("_k", "text"), _sets, "rep long, hashes binary"))
+    checked = kernel(members.join(sets, "rep").repartition("v", "bi", "bj").sortWithinPartitions("v", "bi", "bj"), _verify, "a long, b long")
     links = scratch.put(checked)
     scratch.drop(tasks, sets)
     found = connected_components(links, scratch)

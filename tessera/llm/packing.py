@@ -21,9 +21,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import Scratch, keyed
+from tessera.llm.common import Scratch, kernel, keyed
 
 SEQUENCE, END = 2048, 0
+PER_GROUP = 2_500  # pieces of a group, if all had one length
 
 
 class ChunkTokenizer:
@@ -39,7 +40,7 @@ class ChunkTokenizer:
     PLAIN = re.compile("[!-~\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+")
     SPACES = str.maketrans(dict.fromkeys("\t\n\r\x0b\x0c", " "))
     KEPT = re.compile("[\x1c-\x1f]")
-    LIMIT = 400_000
+    LIMIT = 150_000
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -169,10 +170,10 @@ def best_fit(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col:
     """
     spark, scratch = docs.sparkSession, Scratch(docs.sparkSession)
     schema = "_k long, doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids binary" * keep_ids
-    pieces = scratch.put(keyed(docs, id_col, text_col).mapInArrow(_pieces(tokenizer, size, keep_ids), schema))
+    pieces = scratch.put(kernel(keyed(docs, id_col, text_col), _pieces(tokenizer, size, keep_ids), schema))
     counts = {r.length: r.n for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}  # one row a length, `size` at most
     total = sum(counts.values())
-    groups = max(1, total // 50_000)
+    groups = max(1, total // PER_GROUP)
     pieces = pieces.withColumn("group", F.pmod(F.xxhash64("_k", "piece"), F.lit(groups)))
     before = pieces.groupBy("length", "group").agg(F.count("*").alias("n"))
     before = before.select("length", "group", (F.sum("n").over(Window.partitionBy("length").orderBy("group")) - F.col("n")).alias("before"))

@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -26,18 +27,18 @@ import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import MIX, keyed
+from tessera.llm.common import MIX, Scratch, kernel, keyed
 
 LENGTH, GRAM = 100, 32
 SPAN = LENGTH - GRAM + 1  # GRAM-byte strings in a window
 SYMBOL = 4
 PIECE = 1 << 20  # bytes hashed at once
+LOT = 1 << 20  # contexts of a task collapsed at once
 BLOCK = 4 << 20  # bytes of contexts in one transform
 HOT = 50_000  # contexts of one anchor string from which on its windows are dealt out one by one
 
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
-_powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
 def _mixed(h: np.ndarray) -> np.ndarray:
@@ -46,15 +47,11 @@ def _mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(32))
 
 
-def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
-    size = PIECE + LENGTH
-    while size < n:
-        size *= 2
-    if size not in _powers:
-        up, down = np.full(size, _BASE), np.full(size, _INVERSE)
-        up[0] = down[0] = 1
-        _powers[size] = np.cumprod(up, dtype=np.uint64), np.cumprod(down, dtype=np.uint64)
-    return _powers[size]
+@cache
+def _power_tables() -> tuple[np.ndarray, np.ndarray]:
+    up, down = np.full(2 * PIECE + LENGTH, _BASE), np.full(2 * PIECE + LENGTH, _INVERSE)  # a piece is shorter than this
+    up[0] = down[0] = 1
+    return np.cumprod(up, dtype=np.uint64), np.cumprod(down, dtype=np.uint64)
 
 
 def _anchors(a: np.ndarray, valid: np.ndarray) -> tuple[np.ndarray, ...]:
@@ -82,7 +79,7 @@ def _anchors(a: np.ndarray, valid: np.ndarray) -> tuple[np.ndarray, ...]:
     first = np.flatnonzero(new)
     count = np.diff(np.append(first, len(starts)))
     s, at = starts[first], at[first]
-    up, down = _power_tables(len(a))
+    up, down = _power_tables()
     total = np.zeros(len(a) + 1, np.uint64)
     np.cumsum((a.astype(np.uint64) + np.uint64(1)) * up[: len(a)], dtype=np.uint64, out=total[1:])
     c = (total[s + count + LENGTH - 1] - total[s]) * down[s]
@@ -107,7 +104,7 @@ def _pieces(keys: list[int], texts: list[bytes]) -> Iterator[tuple[np.ndarray, n
         for at in range(0, max(0, windows), PIECE):
             n = min(PIECE, windows - at)
             held.append((k, at, t[at : at + n + LENGTH - 1], n))
-            size += n
+            size += n + LENGTH - 1
             if size >= PIECE:
                 yield done()
                 held, size = [], 0
@@ -132,32 +129,38 @@ def _encoded(batch: pa.RecordBatch) -> list[bytes]:
 
 
 def _anchor_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """k, c, doc, place. The first of a context in a batch (state 0; 1 if its anchor string repeats in the batch) goes under the hash of its anchor string, the others (2, surely repeated) anywhere. The low bits of place hold the state. 48 bits of each hash are shuffled: a chance match of anchor strings only adds a context to compare, and contexts must match in both."""
+    """k, c, doc, place. Of LOT contexts at a time, the first of equal ones (state 0; 1 if its anchor string repeats in the lot) goes under the hash of its anchor string, the others (2, surely repeated) anywhere. The low bits of place hold the state. Contexts are equal if both 64-bit hashes are; a chance match of anchor strings alone only adds a context to compare."""
+    parts: list[tuple[np.ndarray, ...]] = []
+
+    def lot() -> pa.RecordBatch:
+        h, c, doc, place = (np.concatenate(x) for x in zip(*parts, strict=True))
+        parts.clear()
+        by = np.lexsort((place, doc, c, h))
+        h, c, doc, place = h[by], c[by], doc[by], place[by]
+        again, more = np.zeros(len(h), bool), np.zeros(len(h), bool)
+        same = h[1:] == h[:-1]
+        again[1:] = same & (c[1:] == c[:-1])
+        more[1:] |= same
+        more[:-1] |= same
+        state = np.where(again, 2, more.astype(np.int8)).astype(np.int8)
+        k, c = np.where(again, doc, h.view(np.int64)), np.where(again, 0, c.view(np.int64))
+        return pa.RecordBatch.from_arrays([pa.array(k), pa.array(c), pa.array(doc), pa.array(place << 2 | state)], names=["k", "c", "doc", "place"])
+
+    held = 0
     for b in batches:
         keys, texts = b.column("_k").to_pylist(), _encoded(b)
         order = sorted(range(len(keys)), key=keys.__getitem__)
-        parts = []
         for a, valid, begin, of in _pieces([keys[i] for i in order], [texts[i] for i in order]):
             s, count, at, h, c = _anchors(a, valid)
             d = np.searchsorted(begin, s, side="right") - 1
             place = (s - begin[d] + of[d, 1]) << 16 | (count - 1) << 8 | (at - s)
             parts.append((h, c, of[d, 0], place))
-        if not parts:
-            continue
-        h, c, doc, place = (np.concatenate(x) for x in zip(*parts, strict=True))
-        both = _mixed(h * MIX[0] + c)
-        by = np.argsort(both, kind="stable")
-        again = np.zeros(len(h), bool)
-        again[by[1:]] = both[by[1:]] == both[by[:-1]]
-        by = np.argsort(h, kind="stable")
-        more = np.zeros(len(h), bool)
-        same = h[by[1:]] == h[by[:-1]]
-        more[by[1:]] |= same
-        more[by[:-1]] |= same
-        state = np.where(again, 2, more.astype(np.int8)).astype(np.int8)
-        k = np.where(again, doc, (h >> np.uint64(16)).astype(np.int64))
-        c = np.where(again, 0, (c >> np.uint64(16)).astype(np.int64))
-        yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(c), pa.array(doc), pa.array(place << 2 | state)], names=["k", "c", "doc", "place"])
+            held += len(h)
+            if held >= LOT:
+                yield lot()
+                held = 0
+    if held:
+        yield lot()
 
 
 _CONTEXT = "g long, doc long, start long, stop long, anchor int, context binary"
@@ -369,16 +372,18 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     Rows that repeat an id are documents of their own, ordered by text; a null id sorts first. An empty table gives an
     empty result. Other columns of docs play no part. Anchor strings with over `hot` contexts are dealt out by window.
     """
-    source = keyed(docs, id_col, text_col)
-    anchors = source.select("_k", "text").mapInArrow(_anchor_rows, "k long, c long, doc long, place long").repartition("k")
+    source, scratch = keyed(docs, id_col, text_col), Scratch(docs.sparkSession)
+    anchors = kernel(source.select("_k", "text"), _anchor_rows, "k long, c long, doc long, place long").repartition("k")
     state = F.col("place").bitwiseAND(F.lit(3))
     met = anchors.withColumn("turn", F.row_number().over(Window.partitionBy("k", "c").orderBy("doc", "place"))).withColumn("met", F.sum(F.when(state < 2, 1).otherwise(0)).over(Window.partitionBy("k")))
     kind = F.when((state == 2) | (F.col("turn") > 1), 0).when(F.col("met") > hot, 2).otherwise(1)
     mark = F.shiftright("place", 2) * 4 + kind
     marks = met.filter((state > 0) | (F.col("met") > 1)).select("doc", mark.alias("mark")).groupBy("doc").agg(F.collect_list("mark").alias("marks"))
-    text = source.mapInArrow(_packed, "_k long, doc_id long, packed binary")  # both joins read one shuffle of it
-    contexts = text.join(marks, F.col("_k") == F.col("doc")).select("_k", "doc_id", "packed", "marks").mapInArrow(_context_rows, _CONTEXT)
-    ranges = contexts.repartition("g").sortWithinPartitions("g", "doc", "start").mapInArrow(_repeats, "doc long, start long, stop long")
-    ranges = ranges.groupBy("doc").agg(F.collect_list("start").alias("starts"), F.collect_list("stop").alias("stops"))
+    marks = scratch.put(marks)
+    text = kernel(source, _packed, "_k long, doc_id long, packed binary")
+    contexts = kernel(text.join(marks, F.col("_k") == F.col("doc")).select("_k", "doc_id", "packed", "marks"), _context_rows, _CONTEXT)
+    ranges = kernel(contexts.repartition("g").sortWithinPartitions("g", "doc", "start"), _repeats, "doc long, start long, stop long")
+    ranges = scratch.put(ranges.groupBy("doc").agg(F.collect_list("start").alias("starts"), F.collect_list("stop").alias("stops")))
+    scratch.drop(marks)
     out = text.join(ranges, F.col("_k") == F.col("doc"), "left").select("_k", "doc_id", "packed", "starts", "stops")
-    return out.mapInArrow(_cut, "_k long, doc_id long, n_bytes long, n_removed long, spans array<struct<start:long,stop:long>>, kept binary, kept_sha256 string")
+    return kernel(out, _cut, "_k long, doc_id long, n_bytes long, n_removed long, spans array<struct<start:long,stop:long>>, kept binary, kept_sha256 string")
