@@ -11,24 +11,26 @@ from pyspark.sql import functions as F
 
 from tessera.llm import decontaminate, language_id, minhash_dedup, packing, suffix_dedup
 from tessera.llm.catalogue import table, tokenizer_path
-from tessera.llm.common import Scratch
+from tessera.llm.common import kernel, with_key
+from tessera.storage import Scratch
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
-LEAST_SCORE = 0.3  # of a language; with four languages a text that fits none scores about a quarter
+LEAST_OUTPUT = -0.5  # of a language's own regression, which is 1 for its typical text and -1 for another's
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with a language: those without letters, or that fit no language, go. The label of the others becomes the prediction where it is null."""
+    """Documents with a language: those without letters, or that no language's classifier takes for its own, go. The label of the others becomes the prediction where it is null."""
     model = language_id.fit(docs, "doc_id", "text", "lang")
-    found = language_id.identify(docs, model, lang_col="lang_pred", score_col="lang_score")
-    kept = found.filter((F.col("lang_pred") != language_id.UNDETERMINED) & (F.col("lang_score") >= LEAST_SCORE))
+    found = language_id.identify(docs, model, lang_col="lang_pred", score_col="lang_score", output_col="lang_output")
+    kept = found.filter((F.col("lang_pred") != language_id.UNDETERMINED) & (F.col("lang_output") >= LEAST_OUTPUT))
     return kept.withColumn("lang", F.coalesce("lang", "lang_pred")).select(COLUMNS)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates, the one with the smallest id. Rows that repeat an id stay or go together."""
-    kept = minhash_dedup.near_duplicates(docs).filter("kept").select(F.col("doc_id").alias("id"))
-    return docs.join(kept, docs.doc_id.eqNullSafe(kept.id), "left_semi").select(COLUMNS)
+    """One row of each group of near duplicates, the one with the smallest id; of rows that repeat an id, each is a document of its own."""
+    d = with_key(docs.select(COLUMNS))
+    kept = minhash_dedup.near_duplicates(d, id_col="_k").filter("kept").select("_k")
+    return d.join(kept, "_k", "left_semi").select(COLUMNS)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -39,11 +41,11 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
         for b in batches:
             texts = [k.decode("utf-8", "ignore") for k in b.column("kept").to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(texts), pa.array([len(t) for t in texts], pa.int64())], names=["doc_id", "text", "n_chars"])
+            yield pa.RecordBatch.from_arrays([b.column("_k"), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["_k", "text", "n_chars"])
 
-    rest = suffix_dedup.remove_repeats(docs).filter("n_bytes = 0 or n_removed < n_bytes").select("doc_id", "kept").mapInArrow(text, "doc_id long, text string, n_chars long")
-    others = docs.select(F.col("doc_id").alias("id"), "lang", "source").dropDuplicates(["id"])
-    return rest.join(others, rest.doc_id.eqNullSafe(others.id)).select(COLUMNS)
+    d = with_key(docs.select(COLUMNS))
+    rest = suffix_dedup.remove_repeats(d, id_col="_k").filter("n_bytes = 0 or n_removed < n_bytes").select("_k", "kept")
+    return kernel(rest, text, "_k long, text string, n_chars long").join(d.drop("text", "n_chars"), "_k").select(COLUMNS)
 
 
 def benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -66,5 +68,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, scratch = table(spark, sf_dir, "documents"), Scratch(spark)
     for i, (_, stage) in enumerate(STAGES):
         done = stage(spark, docs, sf_dir)
-        docs = scratch.put(done) if i + 1 < len(STAGES) else done
+        before, docs = docs, scratch.put(done) if i + 1 < len(STAGES) else done
+        if i and i + 1 < len(STAGES):
+            scratch.drop(before)
     return docs
