@@ -23,6 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, LongType, StructField, StructType
 
 from tessera.llm.common import MIX, kernel
 
@@ -241,7 +242,7 @@ class ItemIndex:
                 found[d][i] = (got[0], s, s + got[1])
 
 
-MATCH = "array<struct<item_id:long,start:long,stop:long,distance:long>>"
+MATCH = ArrayType(StructType([StructField(n, LongType()) for n in ("item_id", "start", "stop", "distance")]))
 
 
 def find_items(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text", matches_col: str = "matches") -> DataFrame:
@@ -264,7 +265,7 @@ def find_items(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", it
         place = out.columns.index(text_col)
         old = out.columns.index(matches_col) if p else None
         names = [c for c in out.columns if c != matches_col]
-        schema = type(out.schema)([f for f in out.schema.fields if f.name != matches_col]).add(matches_col, spark.createDataFrame([], f"m {MATCH}").schema["m"].dataType)
+        schema = type(out.schema)([f for f in out.schema.fields if f.name != matches_col]).add(matches_col, MATCH)
         kind = pa.list_(pa.struct([(n, pa.int64()) for n in ("item_id", "start", "stop", "distance")]))
 
         def run(batches: Iterator[pa.RecordBatch], index=index, place=place, old=old, names=names, kind=kind) -> Iterator[pa.RecordBatch]:

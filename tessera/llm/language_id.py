@@ -17,7 +17,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.llm.common import kernel
@@ -106,11 +106,18 @@ def fit(examples: DataFrame, id_col: str, text_col: str, lang_col: str) -> Kerne
     """
     d = examples.filter(F.col(lang_col).isNotNull() & F.col(text_col).rlike(r"\p{L}"))
     d = d.select(F.col(text_col).alias("t"), F.col(lang_col).alias("l"), F.xxhash64(F.col(id_col).cast("string")).alias("h"), F.xxhash64(text_col).alias("g"))
-    share = d.groupBy("l").agg(F.count("*").alias("n")).select("l", (4.0 * PER_LANGUAGE / F.col("n")).alias("share"))
-    near = d.select("l", "h", "g").join(share, "l").filter((F.col("h").cast("double") / 2.0**64 + 0.5) < F.col("share"))
+    counts = {r.l: r.n for r in d.groupBy("l").agg(F.count("*").alias("n")).collect()}  # one row a language, as the model has a column for each
+    if not counts:
+        return None
+
+    def of(values: dict[str, Column]) -> Column:
+        return F.try_element_at(F.create_map(*[x for lang, v in values.items() for x in (F.lit(lang), v)]), F.col("l"))
+
+    near = d.select("l", "h", "g").filter((F.col("h").cast("double") / 2.0**64 + 0.5) < of({lang: F.lit(4.0 * PER_LANGUAGE / n) for lang, n in counts.items()}))
     rank = F.row_number().over(Window.partitionBy("l").orderBy("h", "g"))
-    last = near.withColumn("r", rank).filter(F.col("r") <= PER_LANGUAGE).groupBy("l").agg(F.max(F.struct("h", "g")).alias("last"))
-    chosen = kernel(d.join(last, "l").filter(F.struct("h", "g") <= F.col("last")), _gram_sets, "l string, h long, grams binary")
+    last = {r.l: (r.last.h, r.last.g) for r in near.withColumn("r", rank).filter(F.col("r") <= PER_LANGUAGE).groupBy("l").agg(F.max(F.struct("h", "g")).alias("last")).collect()}
+    upto = of({lang: F.struct(F.lit(h).cast("long").alias("h"), F.lit(g).cast("long").alias("g")) for lang, (h, g) in last.items()}) if last else F.lit(None)
+    chosen = kernel(d.filter(F.struct("h", "g") <= upto).select("l", "h", "t"), _gram_sets, "l string, h long, grams binary") if last else d.limit(0).select("l", "h", F.lit(b"").alias("grams"))
     per, rows = {}, []
     for r in chosen.collect():  # PER_LANGUAGE sets of n-grams a language, and those of rows that repeat the last one
         per.setdefault(r.l, []).append((r.h, r.grams))

@@ -40,7 +40,7 @@ class ChunkTokenizer:
     PLAIN = re.compile("[!-~\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+")
     SPACES = str.maketrans(dict.fromkeys("\t\n\r\x0b\x0c", " "))
     KEPT = re.compile("[\x1c-\x1f]")
-    LIMIT = 150_000
+    LIMIT = 250_000
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -82,7 +82,7 @@ class ChunkTokenizer:
     def _part(self, part: str) -> bytes:
         got = self.parts.get(part)
         if got is None:
-            if len(self.parts) > 2 * self.LIMIT:
+            if len(self.parts) > self.LIMIT:
                 self.parts.clear()
             word = part if part.isascii() else "".join(map(self.letters.__getitem__, part.encode()))
             got = self.parts[part] = struct.pack(f"<{len(ids := [t.id for t in self.model.tokenize(word)])}I", *ids)
@@ -181,7 +181,8 @@ def best_fit(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col:
     ranked = pieces.withColumn("within", within).join(before, ["length", "group"]).withColumn("rank", F.col("before") + F.col("within") - 1)
     slots = plan(counts, size)
     # a few runs for each length: their number is bounded by `size` and not by the data
-    table = spark.createDataFrame(slots or [(0,) * 6], "length long, first_rank long, ranks long, first_sequence long, each long, at long")
+    names = ["length", "first_rank", "ranks", "first_sequence", "each", "at"]
+    table = spark.createDataFrame(pa.table({n: pa.array(c, pa.int64()) for n, c in zip(names, zip(*(slots or [(0,) * 6]), strict=True), strict=True)}))  # Arrow: rows would start workers
     joined = ranked.join(F.broadcast(table), "length").filter("rank >= first_rank and rank < first_rank + ranks")
     inside = F.col("rank") - F.col("first_rank")
     return joined.select("_k", "doc_id", "piece", "start", "length", "ids_crc32", (F.col("first_sequence") + F.expr("(rank - first_rank) div each")).alias("sequence_id"), (F.col("at") + inside % F.col("each") * F.col("length")).alias("offset"), *["ids"] * keep_ids)

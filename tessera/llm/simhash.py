@@ -17,6 +17,7 @@ from functools import reduce
 from itertools import combinations
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -99,7 +100,7 @@ def with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     d = d.withColumn("next_k", F.lead("_k").over(w)).withColumn("next_text", F.lead("text").over(w))
     heads = source.withColumn("bucket", bucket.cast("int")).groupBy("bucket").agg(F.min("_k").alias("head"))
     firsts = [(r.bucket, r.head) for r in heads.orderBy("bucket").collect()]  # one row a range
-    after = docs.sparkSession.createDataFrame([(b, firsts[(i + 1) % len(firsts)][1]) for i, (b, _) in enumerate(firsts)], "bucket int, head long")
+    after = docs.sparkSession.createDataFrame(pa.table({"bucket": pa.array([b for b, _ in firsts], pa.int32()), "head": pa.array([k for _, k in firsts[1:] + firsts[:1]], pa.int64())}))
     first_texts = source.select(F.col("_k").alias("head"), F.col("text").alias("head_text")).join(F.broadcast(after), "head")
     d = d.join(first_texts, "bucket", "left")
     d = d.withColumn("next_text", F.coalesce("next_text", "head_text")).withColumn("next_k", F.coalesce("next_k", "head"))

@@ -18,7 +18,6 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
-from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -32,9 +31,9 @@ from tessera.llm.common import MIX, Scratch, kernel, keyed
 LENGTH, GRAM = 100, 32
 SPAN = LENGTH - GRAM + 1  # GRAM-byte strings in a window
 SYMBOL = 4
-PIECE = 1 << 20  # bytes hashed at once
-LOT = 1 << 20  # contexts of a task collapsed at once
-BLOCK = 4 << 20  # bytes of contexts in one transform
+PIECE = 1 << 19  # bytes hashed at once
+LOT = 1 << 18  # contexts of a task collapsed at once
+BLOCK = 2 << 20  # bytes of contexts in one transform
 HOT = 50_000  # contexts of one anchor string from which on its windows are dealt out one by one
 
 _BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -47,14 +46,13 @@ def _mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(32))
 
 
-@cache
 def _power_tables() -> tuple[np.ndarray, np.ndarray]:
     up, down = np.full(2 * PIECE + LENGTH, _BASE), np.full(2 * PIECE + LENGTH, _INVERSE)  # a piece is shorter than this
     up[0] = down[0] = 1
     return np.cumprod(up, dtype=np.uint64), np.cumprod(down, dtype=np.uint64)
 
 
-def _anchors(a: np.ndarray, valid: np.ndarray) -> tuple[np.ndarray, ...]:
+def _anchors(a: np.ndarray, valid: np.ndarray, up: np.ndarray, down: np.ndarray) -> tuple[np.ndarray, ...]:
     """Runs of windows with one anchor: first window, number of windows, anchor, its hash, the context's hash. valid: which places of a start a window."""
     h = a.astype(np.uint64) + np.uint64(1)
     m, p = 1, int(_BASE)
@@ -79,7 +77,6 @@ def _anchors(a: np.ndarray, valid: np.ndarray) -> tuple[np.ndarray, ...]:
     first = np.flatnonzero(new)
     count = np.diff(np.append(first, len(starts)))
     s, at = starts[first], at[first]
-    up, down = _power_tables()
     total = np.zeros(len(a) + 1, np.uint64)
     np.cumsum((a.astype(np.uint64) + np.uint64(1)) * up[: len(a)], dtype=np.uint64, out=total[1:])
     c = (total[s + count + LENGTH - 1] - total[s]) * down[s]
@@ -146,12 +143,12 @@ def _anchor_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         k, c = np.where(again, doc, h.view(np.int64)), np.where(again, 0, c.view(np.int64))
         return pa.RecordBatch.from_arrays([pa.array(k), pa.array(c), pa.array(doc), pa.array(place << 2 | state)], names=["k", "c", "doc", "place"])
 
-    held = 0
+    held, powers = 0, _power_tables()
     for b in batches:
         keys, texts = b.column("_k").to_pylist(), _encoded(b)
         order = sorted(range(len(keys)), key=keys.__getitem__)
         for a, valid, begin, of in _pieces([keys[i] for i in order], [texts[i] for i in order]):
-            s, count, at, h, c = _anchors(a, valid)
+            s, count, at, h, c = _anchors(a, valid, *powers)
             d = np.searchsorted(begin, s, side="right") - 1
             place = (s - begin[d] + of[d, 1]) << 16 | (count - 1) << 8 | (at - s)
             parts.append((h, c, of[d, 0], place))
