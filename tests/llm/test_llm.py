@@ -517,3 +517,33 @@ def test_several_passes_over_documents(spark, monkeypatch):
     d = spark.createDataFrame([(i, f"{prose(rng, 3)} {t} {prose(rng, 3)}") for i, t in items] + [(99, "nothing"), (98, None)], "doc_id long, text string")
     got = {r.doc_id: {m.item_id for m in r.matches} for r in decontaminate.find_items(d, spark.createDataFrame(items, "item_id long, text string")).collect()}
     assert all(i in got[i] for i, _ in items) and not got[99] and not got[98]
+
+
+def test_whole_licenses(spark):
+    """Against windows tried one by one, in Python."""
+    text = dict(license_scan.TEMPLATES)
+    rng = random.Random(4)
+    wrap = lambda t, n: "\n// ".join(" ".join(t.split()[i : i + n]) for i in range(0, len(t.split()), n))
+    worn = lambda t, share: " ".join(w if rng.random() > share else "worn" for w in t.split())
+    rows = ["int x;\n// " + wrap(text["mit-text"], 9) + "\nint y;", "a\n" + wrap(worn(text["bsd-2-clause"], 0.03), 12), worn(text["zlib"], 0.3), text["isc-text"] + "\n" + text["mit-text"], "of the " * 40, "Released under the MIT License.\n" * 30]
+    rows += [worn(wrap(text[n], 10), 0.05) for n in text]
+    found = license_scan.scan_licenses(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")).collect()
+    for r in found:
+        words = [(w, i) for i, line in enumerate("".join(c if c.isalnum() or c == "\n" else " " for c in r.text.lower()).split("\n"), 1) for w in line.split()]
+        b, windows = [f"{x} {y}" for (x, _), (y, _) in zip(words, words[1:])], []
+        for t, (name, source) in enumerate(license_scan.TEMPLATES):
+            grams = set(license_scan.template_bigrams(source))
+            least, span = license_scan.size_bounds(len(grams))
+            runs = [i for i, x in enumerate(b) if x in grams]
+            starts, stops = [i for i in runs if not i or b[i - 1] not in grams], [i for i in runs if i + 1 == len(b) or b[i + 1] not in grams]
+            for i in starts:
+                for j in stops:
+                    if i <= j < i + span and len(own := set(b[i : j + 1]) & grams) >= least and (d := 2.0 * len(own) / (len(set(b[i : j + 1])) + len(grams))) >= license_scan.THRESHOLD:
+                        windows.append((-d, t, i, j, name))
+        kept = []
+        for w in sorted(windows):
+            if not any(x[2] <= w[3] and w[2] <= x[3] for x in kept):
+                kept.append(w)
+        assert [(m.line, m.license, m.dice) for m in r.licenses] == sorted((words[w[2]][1], w[4], -w[0]) for w in kept)
+    names = {r.doc_id: [m.license for m in r.licenses] for r in found}
+    assert names[0] == ["mit-text"] and names[1][0] in ("bsd-2-clause", "bsd-redistribution") and names[3] == ["isc-text", "mit-text"] and names[4] == [] and names[5] == ["mit"] * 30
