@@ -16,8 +16,8 @@ from tessera.settings import DEFAULTS, LEGAL_SUFFIXES
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
-CAP, TOP_K, THRESHOLD = 8, 10, 0.5
-TOY = replace(DEFAULTS, max_iter=5, max_depth=4, top_k=5)
+CAP, ADDRESS_CAP, TOP_K, THRESHOLD = 8, 12, 10, 0.5
+TOY = replace(DEFAULTS, max_iter=5, max_depth=4)  # few trees: their number costs time and changes no other step
 
 
 def query(oracle: str | None = None) -> Callable:
@@ -131,7 +131,7 @@ def _topk(k: int, right: str = "n2", tag: str = "") -> str:
 gb{tag} AS (SELECT name_norm AS b, gram, count(*) AS tb FROM ({_GRAMS} FROM (SELECT DISTINCT name_norm FROM {right} WHERE name_norm<>'')) GROUP BY ALL),
 na{tag} AS (SELECT a, sum(ta*ta) AS na FROM ga{tag} GROUP BY a), nb{tag} AS (SELECT b, sum(tb*tb) AS nb FROM gb{tag} GROUP BY b),
 dot{tag} AS (SELECT a, b, sum(ta*tb) AS dot FROM ga{tag} JOIN gb{tag} USING (gram) WHERE substr(a,1,2)=substr(b,1,2) GROUP BY a, b),
-cos{tag} AS (SELECT a, b, CAST(dot AS DOUBLE)/sqrt(CAST(na*nb AS DOUBLE)) AS cos FROM dot{tag} JOIN na{tag} USING (a) JOIN nb{tag} USING (b)),
+cos{tag} AS (SELECT a, b, round(CAST(dot AS DOUBLE)/sqrt(CAST(na*nb AS DOUBLE)),12) AS cos FROM dot{tag} JOIN na{tag} USING (a) JOIN nb{tag} USING (b)),
 top{tag} AS (SELECT * FROM (SELECT x.entity_id AS source1_entity_id, y.entity_id AS candidate_entity_id, cos, row_number() OVER (PARTITION BY x.entity_id ORDER BY cos DESC, y.entity_id) AS rank
   FROM cos{tag} JOIN n1 x ON x.name_norm=a JOIN {right} y ON y.name_norm=b) WHERE rank<={k})"""
 
@@ -150,9 +150,9 @@ def block_name_country(spark, d):
     return blocking.name_country(norm(spark, d, "d1"), norm(spark, d, "d2"))
 
 
-@query(_address_block(CAP))
+@query(_address_block(ADDRESS_CAP))
 def block_address_token(spark, d):
-    return blocking.address_token(norm(spark, d, "d1"), norm(spark, d, "d2"), cap=CAP)
+    return blocking.address_token(norm(spark, d, "d1"), norm(spark, d, "d2"), cap=ADDRESS_CAP)
 
 
 @query(f", {_topk(TOP_K)} SELECT source1_entity_id, candidate_entity_id, round(cos,6) AS cos, rank FROM top")
