@@ -7,64 +7,115 @@ of any size. A state's transitions have a discounted share of its count; what is
 proportion to the shorter state, so every state is a distribution over the known words and one unknown word. Depths are
 added until no context of a depth becomes a state. A token is scored by the longest state that ends its context.
 
-Counts, transitions and states are distributed tables; nothing of them is collected. Contexts that no longer one can
-diverge from aren't extended: a context's divergence is at most -log of the least probability of its shorter state, and
-its count at most that state's. Which keys are worth counting or asking for is broadcast as a table of BITS bits, which
-only ever lets too much through. For scoring, documents are dealt to blocks; a block asks the tables for its distinct
-words, contexts and transitions, once each.
+A run of words has one 64-bit key, made of the keys of its first and of its last words, so a context's key, that of a
+transition and that of the shorter transition are keys of runs that end one word apart. Texts are tokenised once, into
+blocks of about LOT tokens. All tables are dealt to shards by key and held as sorted arrays; what blocks and shards ask
+of each other goes through shuffles as packed arrays, each key once from each block. A context's transitions meet in
+one shard; those of contexts with over HOT occurrences are dealt by transition, and their sums are combined. Nothing of
+the tables is collected but two tables of bits, of a bounded size, which tell blocks what isn't worth asking for; they
+only ever let too much through.
+
+A context that no longer one can diverge from isn't extended: a longer context's divergence is at most -log of the least
+probability of the shorter one's transitions, and its count at most that one's.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import struct
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+import zstandard
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import Scratch, WordHasher, keyed, words_of
+from tessera.llm.common import MIX, Scratch, WordHasher, kernel, keyed, release, words_of
 
 LEAST, DISCOUNT, GAIN = 2, 0.5, 4.0
-BITS = 1 << 27
-BLOCK_TOKENS = 1_500_000
+LOT = 1_500_000  # tokens of a block; a longer text is a block of its own
+SHARD = 2_000_000  # training tokens for each shard
+HOT = 1 << 22  # occurrences of a context from which on its transitions are dealt over all shards
+BITS, SLICES = 1 << 27, 64  # of a table of bits, and the parts that it is made in
 END = np.uint64(0x5E4D0F7E87A6D1B3)  # stands for the end of a text
-CONTEXT = np.uint64(0x3C6EF372FE94F82B)  # tells contexts from transitions
-PRIMES = [np.uint64(x) for x in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5)]  # of xxhash
+ROUTED = "to long, frm long, data binary"
+TABLE = "shard long, data binary, size long, total long"
 
 
-def _tokens(texts: list[str | None], hasher: WordHasher) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all tokens, and each text's first place (and the end)."""
-    parts, begin = [], [0]
-    for t in texts:
-        w = words_of(t)
-        parts += [hasher(w), np.array([END])]
-        begin.append(begin[-1] + len(w) + 1)
-    return (np.concatenate(parts) if parts else np.empty(0, np.uint64)), np.array(begin, np.int64)
+# --- arrays in rows ---------------------------------------------------------
 
+def _pack(*arrays: np.ndarray) -> bytes:
+    head = struct.pack(f"<q{len(arrays)}q", len(arrays), *(a.nbytes for a in arrays)) + "".join(a.dtype.str.ljust(4) for a in arrays).encode()
+    return zstandard.ZstdCompressor(level=1).compress(head + b"".join(np.ascontiguousarray(a).tobytes() for a in arrays))
 
-def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[list[str | None]]:
-    """Texts in lots of bounded size."""
-    for b in batches:
-        texts, at, n = b.column("text").to_pylist(), 0, 0
-        for i, t in enumerate(texts):
-            n += len(t or "")
-            if n > 4_000_000:
-                yield texts[at : i + 1]
-                at, n = i + 1, 0
-        if at < len(texts):
-            yield texts[at:]
 
+def _unpack(data: bytes) -> list[np.ndarray]:
+    raw = zstandard.ZstdDecompressor().decompress(data)
+    n = struct.unpack_from("<q", raw)[0]
+    sizes, at, out = struct.unpack_from(f"<{n}q", raw, 8), 8 + 8 * n + 4 * n, []
+    for i, size in enumerate(sizes):
+        kind = np.dtype(raw[8 + 8 * n + 4 * i : 12 + 8 * n + 4 * i].decode().strip())
+        out.append(np.frombuffer(raw, kind, size // kind.itemsize, at))
+        at += size
+    return out
 
-def _tally(keys: np.ndarray, name: str) -> pa.RecordBatch:
-    k, n = np.unique(keys, return_counts=True)
-    return pa.RecordBatch.from_arrays([pa.array(k.view(np.int64)), pa.array(n.astype(np.int64))], names=[name, "n"])
 
+def _joined(rows: list[list[np.ndarray]], kinds: str) -> list[np.ndarray]:
+    """The arrays of several rows, one after the other; empty ones of these kinds if there is no row."""
+    return [np.concatenate(x) for x in zip(*rows, strict=True)] if rows else [np.empty(0, k) for k in kinds.split()]
 
-def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    hasher = WordHasher()
-    for texts in _sets(batches):
-        yield _tally(_tokens(texts, hasher)[0], "w")
+
+def _shard(keys: np.ndarray, shards: int) -> np.ndarray:
+    return ((keys >> np.uint64(20)) % np.uint64(shards)).astype(np.int64)
+
+
+def _dealt(to: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """Each shard with the places that go there, in order."""
+    by = np.argsort(to, kind="stable")
+    edges = np.flatnonzero(np.diff(to[by])) + 1
+    for part in np.split(by, edges):
+        if len(part):
+            yield int(to[part[0]]), part
+
+
+def _rows(rows: list[tuple], names: str) -> pa.RecordBatch:
+    names = names.split()
+    columns = zip(*rows, strict=True) if rows else [()] * len(names)
+    return pa.RecordBatch.from_arrays([pa.array(c, pa.binary() if n == "data" else pa.int64()) for c, n in zip(columns, names, strict=True)], names=names)
+
+
+def _each(df: DataFrame, f: Callable[..., list[tuple]], names: str, schema: str) -> DataFrame:
+    """f of each row, which gives rows."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for row in zip(*(b.column(i).to_pylist() for i in range(b.num_columns)), strict=True):
+                yield _rows(f(*row), names)
+
+    return kernel(df, run, schema)
+
+
+def _gathered(routed: DataFrame, f: Callable[[int, list[tuple[int, list[np.ndarray]]]], list[tuple]], names: str = "shard data size total", schema: str = TABLE) -> DataFrame:
+    """f of all that is routed to one place: (from, arrays)."""
+
+    def run(t: pa.Table) -> pa.Table:
+        out = pa.Table.from_batches([_rows(f(t.column("to")[0].as_py(), [(x, _unpack(d)) for x, d in zip(t.column("frm").to_pylist(), t.column("data").to_pylist(), strict=True)]), names)])
+        release()
+        return out
+
+    return routed.groupBy("to").applyInArrow(run, schema)
+
+
+def _met(table: DataFrame, key: str, routed: DataFrame, f: Callable[[int, list[dict], list[tuple[int, list[np.ndarray]]]], pa.Table], schema: str) -> DataFrame:
+    """f of a table's rows with one key and what is routed there."""
+
+    def run(rows: pa.Table, sent: pa.Table) -> pa.Table:
+        place = (rows.column(key) if rows.num_rows else sent.column("to"))[0].as_py()
+        out = f(place, rows.to_pylist(), [(x, _unpack(d)) for x, d in zip(sent.column("frm").to_pylist(), sent.column("data").to_pylist(), strict=True)])
+        release()
+        return out
+
+    return table.groupBy(key).cogroup(routed.groupBy("to")).applyInArrow(run, schema)
 
 
 def _found(keys: np.ndarray, asked: np.ndarray) -> np.ndarray:
@@ -75,208 +126,361 @@ def _found(keys: np.ndarray, asked: np.ndarray) -> np.ndarray:
     return np.where(keys[at] == asked, at, -1)
 
 
-class SuffixTree:
-    """The first two depths of a tree in memory, of words (sorted hashes) and their transitions: what tests hold the distributed one against."""
+# --- keys and tables of bits ------------------------------------------------
 
-    def __init__(self, words: np.ndarray, counts: np.ndarray, n: int, v: int):
-        self.words, self.counts, self.n, self.v = words, counts, n, v
-        self.states: list[tuple[np.ndarray, np.ndarray]] = []  # of each depth: sorted keys, log10 share left for other words
-        self.moves: list[tuple[np.ndarray, np.ndarray]] = []  # sorted keys of transitions, their log10 probabilities
-        self.pairs = np.empty(0, np.int64)  # frequent pairs of words: the possible contexts of depth 2
-        self.pair_counts = np.empty(0, np.int64)
+def _run_key(first: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """The key of a run of words, of the keys of all but its last and all but its first."""
+    h = first * MIX[0] + ((last * MIX[1]) >> np.uint64(29)) + last
+    h = (h ^ (h >> np.uint64(32))) * MIX[2]
+    h = (h ^ (h >> np.uint64(29))) * MIX[3]
+    return h ^ (h >> np.uint64(32))
 
-    def unigram(self, counts: np.ndarray) -> np.ndarray:
-        return np.log10((counts + 0.5) / (self.n + 0.5 * (self.v + 1)))
 
-    def ids(self, tokens: np.ndarray) -> np.ndarray:
-        return _found(self.words, tokens)
+def _in(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    slot = keys & np.uint64(64 * len(bits) - 1)
+    return (bits[(slot >> np.uint64(6)).astype(np.int64)] >> (slot & np.uint64(63))) & np.uint64(1) != 0
 
-    def _before(self, ids: np.ndarray, begin: np.ndarray, back: int) -> np.ndarray:
-        """The ids of the tokens so many places before, -1 before the start of a text."""
-        out = np.full(len(ids), -1, np.int64)
-        out[back:] = ids[:-back]
-        for j in range(back):
-            first = begin[:-1] + j
-            out[first[first < begin[1:]]] = -1
-        return out
 
-    def contexts(self, ids: np.ndarray, begin: np.ndarray, depth: int) -> np.ndarray:
-        """The key of each token's context of this depth, -1 if it isn't frequent."""
-        one = self._before(ids, begin, 1)
-        if depth == 1:
-            return one
-        two = self._before(ids, begin, 2)
-        return np.where((one >= 0) & (two >= 0), _found(self.pairs, two * len(self.words) + one), -1)
-
-    def log_probabilities(self, ids: np.ndarray, begin: np.ndarray, unigrams: np.ndarray, depth: int | None = None) -> np.ndarray:
-        out = unigrams
-        for d, ((keys, left), (move, p)) in enumerate(zip(self.states[:depth], self.moves, strict=False), 1):
-            context = self.contexts(ids, begin, d)
-            state = _found(keys, context)
-            at = _found(move, np.where((state >= 0) & (ids >= 0), context * len(self.words) + ids, -1))
-            out = np.where(at >= 0, p[at] if len(p) else 0.0, np.where(state >= 0, out + (left[state] if len(left) else 0.0), out))
-        return out
+def _bits(keys: DataFrame, size: int) -> np.ndarray:
+    """A table of `size` bits of the keys in the rows' first arrays; its parts are made by tasks of their own."""
+    part = size // SLICES
+
+    def sent(data: bytes) -> list[tuple]:
+        slot = np.unique((_unpack(data)[0] & np.uint64(size - 1)).astype(np.int64))
+        return [(to, 0, _pack((slot[own] % part).astype(np.uint32))) for to, own in _dealt(slot // part)]
+
+    def made(to: int, rows: list[tuple[int, list[np.ndarray]]]) -> list[tuple]:
+        bits = np.zeros(part, np.uint8)
+        for _, (slot,) in rows:
+            bits[slot] = 1
+        return [(to, 0, _pack(np.packbits(bits, bitorder="little")))]
+
+    out = np.zeros(size // 8, np.uint8)
+    for r in _gathered(_each(keys.select("data"), sent, "to frm data", ROUTED), made, "to frm data", ROUTED).collect():  # SLICES rows, `size` bits in all
+        out[r.to * part // 8 : (r.to + 1) * part // 8] = _unpack(r.data)[0]
+    return out.view(np.uint64)
 
-    def grow(self, keys: np.ndarray, counts: np.ndarray) -> None:
-        """Adds the states of the next depth, of the frequent transitions (context * words + word, sorted)."""
-        depth, words = len(self.states) + 1, len(self.words)
-        context, word = keys // words, keys % words
-        total = self.counts if depth == 1 else self.pair_counts
-        # the shorter states' probabilities of the same words
-        base = self.unigram(self.counts[word])
-        if depth == 2:
-            last = self.pairs[context] % words
-            begin = np.arange(len(keys) + 1) * 2
-            flat = np.stack([last, word], 1).ravel()
-            base = self.log_probabilities(flat, begin, self.unigram(self.counts[flat]), 1)[1::2]
-        p, q = (counts - DISCOUNT) / total[context], 10.0**base
-        size = len(total)
-        share = 1 - np.bincount(context, p, size)
-        other = 1 - np.bincount(context, q, size)
-        ok = (share > 1e-12) & (other > 1e-9)
-        rest = np.where(ok, share * np.log(np.where(ok, share, 1) / np.where(ok, other, 1)), 0)
-        gain = total * (np.bincount(context, p * np.log(p / q), size) + rest)
-        many = np.bincount(context, minlength=size)
-        kept = ok & (many > 0) & (gain > GAIN * (many + 1))
-        state = np.flatnonzero(kept)
-        self.states.append((state, np.log10(share[state] / other[state])))
-        use = kept[context]
-        self.moves.append((keys[use], np.log10(p[use])))
-
-
-def _rotated(x: np.ndarray, by: int) -> np.ndarray:
-    return (x << np.uint64(by)) | (x >> np.uint64(64 - by))
-
-
-def _hashed(*columns: np.ndarray) -> np.ndarray:
-    """Spark's xxhash64 of columns of longs."""
-    h = np.uint64(42)
-    for x in columns:
-        h = (h + PRIMES[4] + np.uint64(8)) ^ (_rotated(x * PRIMES[1], 31) * PRIMES[0])
-        h = _rotated(h, 27) * PRIMES[0] + PRIMES[3]
-        h = (h ^ (h >> np.uint64(33))) * PRIMES[1]
-        h = (h ^ (h >> np.uint64(29))) * PRIMES[2]
-        h ^= h >> np.uint64(32)
-    return h
-
-
-def _depths(tokens: np.ndarray, begin: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """Of each depth: places that have a context of so many words, the contexts' keys, and the shorter transitions' keys.
-
-    A transition's key is the hash of its context's and the shorter transition's, which at depth 1 is the word.
+
+def _runs(tokens: np.ndarray, place: np.ndarray, known: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """Of each depth: places with a context of so many words, the contexts' keys, the shorter transitions' keys, the shorter contexts' key arrays by place.
+
+    known: a table of bits of all runs of words that may matter; a run both of whose parts are there is looked at.
     """
-    place = np.arange(len(tokens)) - np.repeat(begin[:-1], np.diff(begin))
-    at, shorter, depth = np.flatnonzero(place >= 1), tokens, 1
-    context, shorter = tokens[at - 1], tokens[at]
+    runs, held, depth, shorter = tokens, _in(known, tokens), 1, tokens
     while True:
-        yield at, context, shorter
+        at = np.flatnonzero(held[1:] & held[:-1] & (place[1:] >= depth)) + 1
+        context, last = runs[at - 1], runs[at]
+        yield at, context, last, shorter
+        shorter, runs, held = runs, np.zeros(len(tokens), np.uint64), np.zeros(len(tokens), bool)
+        runs[at] = _run_key(context, last)
+        held[at] = _in(known, runs[at])
         depth += 1
-        use = place[at] >= depth
-        at, shorter, context = at[use], _hashed(context[use], shorter[use]), context[use]
-        context = _hashed(context ^ CONTEXT, tokens[at - depth])
+        if not len(at):
+            return
 
 
-def _in(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
-    slot = keys & np.uint64(64 * len(bits) - 1)
-    return (bits[(slot >> np.uint64(6)).astype(np.int64)] >> (slot & np.uint64(63))) & np.uint64(1) != 0
+# --- blocks -----------------------------------------------------------------
 
+BLOCKS = "block long, docs binary, tokens binary, n long"
 
-def _bits(keys: DataFrame) -> np.ndarray:
-    """The table of the keys (k long): BITS bits for any number of them, or fewer for few."""
-    slot = F.col("k").bitwiseAND(F.lit(BITS - 1))
-    t = keys.select(F.shiftright(slot, 6).alias("at"), F.expr(f"shiftleft(1L, cast((k & {BITS - 1}) & 63 as int))").alias("bit")).groupBy("at").agg(F.bit_or("bit").alias("bits")).toArrow()
-    bits = np.zeros(BITS >> 6, np.uint64)
-    bits[t.column("at").to_numpy()] = t.column("bits").to_numpy().view(np.uint64)
-    held = int(np.bitwise_count(bits).sum())
-    while len(bits) > max(1 << 10, held >> 1):
-        bits = bits[: len(bits) // 2] | bits[len(bits) // 2 :]
-    return bits
 
+def _blocks(batches: Iterator[pa.RecordBatch], lot: int) -> Iterator[pa.RecordBatch]:
+    """Rows of about `lot` tokens, training texts first: the texts' keys, ids, held_out and sizes; the distinct words, and which of them each token is."""
+    hasher = WordHasher()
+    held: list[tuple[bool, int, int | None, np.ndarray]] = []
+    size = 0
 
-def _count_transitions(sent, depth: int):  # noqa: ANN001, ANN202  sent: a broadcast table of bits
-    """(c, s, n): context, shorter transition and count; s is 0 for the count of a context of over one word."""
+    def block() -> pa.RecordBatch:
+        rows = sorted(held, key=lambda x: x[0])
+        tokens = np.concatenate([x[3] for x in rows])
+        words, ids = np.unique(tokens, return_inverse=True)
+        docs = _pack(np.array([x[1] for x in rows], np.int64), np.array([x[2] or 0 for x in rows], np.int64), np.array([x[2] is None for x in rows], np.uint8), np.array([x[0] for x in rows], np.uint8), np.array([len(x[3]) for x in rows], np.int64))
+        n = sum(len(x[3]) for x in rows if not x[0])
+        return pa.RecordBatch.from_arrays([pa.array([rows[0][1]], pa.int64()), pa.array([docs], pa.binary()), pa.array([_pack(words, ids.astype(np.uint32))], pa.binary()), pa.array([n], pa.int64())], names=["block", "docs", "tokens", "n"])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher, bits = WordHasher(), sent.value
-        for texts in _sets(batches):
-            tokens, begin = _tokens(texts, hasher)
-            before = None
-            for d, (at, context, shorter) in enumerate(_depths(tokens, begin), 1):
-                if d == depth:
-                    break
-                before = np.zeros(len(tokens), bool)
-                before[at] = _in(bits, context)
-            use = _in(bits, context) if depth == 1 else before[at]
-            context, shorter = context[use], shorter[use]
-            held = _in(bits, shorter)
-            c, s = context[held], shorter[held]
-            _, first, n = np.unique(_hashed(c, s), return_index=True, return_counts=True)
-            c, s = c[first], s[first]
-            if depth > 1:
-                whole, total = np.unique(context, return_counts=True)
-                c, s, n = np.concatenate([c, whole]), np.concatenate([s, np.zeros(len(whole), np.uint64)]), np.concatenate([n, total])
-            by = np.argsort(c)  # equal contexts side by side compress
-            yield pa.RecordBatch.from_arrays([pa.array(x[by].view(np.int64)) for x in (c, s, n.astype(np.int64))], names=["c", "s", "n"])
-
-    return run
-
-
-def fit(texts: DataFrame, counts: DataFrame, scratch: Scratch) -> tuple[DataFrame, int, int, int]:
-    """The tree of the training texts, counts: (w, n) of their words; as (k, n, v), tokens, words and depth.
-
-    Of words n is the count. v is a state's log10 share left for other words (of one word: in the word's row), or the
-    log10 probability of a state's transition.
-    """
-    spark = texts.sparkSession
-    n, v = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
-    often = counts.filter(F.col("n") >= LEAST)
-    shorter = often.select(F.col("w").alias("s"), F.log10((F.col("n") + 0.5) / (n + 0.5 * (v + 1))).alias("q"))
-    bits, depth, values, states = _bits(often.select(F.col("w").alias("k"))), 0, None, None
-    while True:
-        sent = spark.sparkContext.broadcast(bits)
-        found = scratch.put(texts.mapInArrow(_count_transitions(sent, depth + 1), "c long, s long, n long").groupBy("c", "s").agg(F.sum("n").alias("n")).filter(F.col("n") >= LEAST))
-        sent.destroy()
-        totals = found.filter("s = 0").select("c", F.col("n").alias("total")) if depth else often.filter(F.col("w") != int(END.view(np.int64))).select(F.col("w").alias("c"), F.col("n").alias("total"))
-        own = Window.partitionBy("c")
-        moves = found.filter("s <> 0").join(shorter, "s").join(totals, "c").withColumn("p", (F.col("n") - DISCOUNT) / F.col("total"))
-        q = F.pow(F.lit(10.0), "q")
-        sums = {"share": 1 - F.sum("p").over(own), "other": 1 - F.sum(q).over(own), "many": F.count("*").over(own), "diverged": F.sum(F.col("p") * F.log(F.col("p") / q)).over(own), "least_p": F.min("p").over(own), "least_q": F.min(q).over(own)}
-        kept = (F.col("share") > 1e-12) & (F.col("other") > 1e-9)
-        gain = F.col("total") * (F.col("diverged") + F.col("share") * F.log(F.col("share") / F.col("other")))
-        moves = moves.withColumns(sums).withColumn("kept", F.coalesce(F.when(kept, gain > GAIN * (F.col("many") + 1)), F.lit(False)))
-        # a longer context that isn't the state itself occurs less often
-        least = F.when(F.col("kept"), F.least("least_p", "share")).otherwise(F.least("least_q", "other"))
-        most = (F.col("total") - F.col("kept").cast("int")) * -F.log(F.greatest(least, F.lit(1e-300)))
-        grown = scratch.put(moves.select("c", F.xxhash64("c", "s").alias("k"), F.when(F.col("kept"), F.log10("p")).otherwise(F.col("q")).alias("q"), "kept", F.when(F.col("kept"), F.log10(F.col("share") / F.col("other"))).alias("left"), (most > 2 * GAIN * (1 - 1e-9)).alias("open")))
-        scratch.drop(found)
-        new = grown.filter("kept")
-        if new.isEmpty():
-            break
-        depth += 1
-        states = new.groupBy(F.col("c").alias("k")).agg(F.first("left").alias("v"))
-        states = counts.select(F.col("w").alias("k"), "n").join(states, "k", "left").select("k", "n", "v") if depth == 1 else states.select("k", F.lit(0).cast("long").alias("n"), "v")
-        rows = states.unionByName(new.select("k", F.lit(0).cast("long").alias("n"), F.col("q").alias("v")))
-        values = rows if values is None else values.unionByName(rows)
-        shorter = grown.filter("open").select(F.col("k").alias("s"), "q")
-        bits = _bits(shorter.select(F.col("s").alias("k")).union(grown.filter("open").select("c").distinct()))
-        if not bits.any():
-            break
-    if values is None:
-        values = counts.select(F.col("w").alias("k"), "n", F.lit(None).cast("double").alias("v"))
-    return values, n, v, depth
-
-
-def _ask(sent, depth: int):  # noqa: ANN001, ANN202  sent: a broadcast table of bits
-    def run(table: pa.Table) -> pa.Table:
-        tokens, begin = _tokens(table.column("text").to_pylist(), WordHasher())
-        asked = [np.unique(tokens)]
-        for d, (_, context, shorter) in zip(range(1, depth + 1), _depths(tokens, begin), strict=False):
-            for keys in (context, _hashed(context, shorter))[d == 1 :]:
-                asked.append(np.unique(keys[_in(sent.value, keys)]))
-        keys = np.concatenate(asked)
-        return pa.table({"block": pa.array(np.full(len(keys), table.column("block")[0].as_py()), pa.int64()), "k": pa.array(keys.view(np.int64))})
-
-    return run
+    for b in batches:
+        for k, d, t, h in zip(*(b.column(c).to_pylist() for c in ("_k", "doc_id", "text", "held_out")), strict=True):
+            held.append((h, k, d, np.append(hasher(words_of(t)), END)))
+            size += len(held[-1][3])
+            if size >= lot:
+                yield block()
+                held, size = [], 0
+    if held:
+        yield block()
+
+
+def _trained(docs: bytes, tokens: bytes, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The training tokens of a block, and each one's place in its text."""
+    (words, ids), sizes = _unpack(tokens), _unpack(docs)[4]
+    return words[ids[:n]], _places(sizes)[:n]
+
+
+def _places(sizes: np.ndarray) -> np.ndarray:
+    return np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+
+
+# --- the tree ---------------------------------------------------------------
+
+def _sums(p: np.ndarray, q: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, ...]:
+    add = lambda x: np.add.reduceat(x, first)
+    return add(p), add(q), add(np.ones(len(p))), add(p * np.log(p / q)), np.minimum.reduceat(p, first), np.minimum.reduceat(q, first)
+
+
+def _verdict(total: np.ndarray, p: np.ndarray, q: np.ndarray, many: np.ndarray, diverged: np.ndarray, least_p: np.ndarray, least_q: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of contexts, from the sums over their transitions: whether they are states, the log10 share left for other words, and whether longer ones may be states."""
+    share, other = 1 - p, 1 - q
+    fit = (share > 1e-12) & (other > 1e-9)
+    ratio = np.where(fit, share, 1) / np.where(fit, other, 1)
+    kept = fit & (total * (diverged + np.where(fit, share, 0) * np.log(ratio)) > GAIN * (many + 1))
+    # a longer context that isn't the state itself occurs less often
+    least = np.where(kept, np.minimum(least_p, share), np.minimum(least_q, other))
+    live = (total - kept) * -np.log(np.maximum(least, 1e-300)) > 2 * GAIN * (1 - 1e-9)
+    return kept, np.log10(ratio), live
+
+
+def _grown(c: np.ndarray, s: np.ndarray, n: np.ndarray, total: np.ndarray, q: np.ndarray, own: tuple[np.ndarray, ...]) -> list[np.ndarray]:
+    """Runs one word longer (key, count, log10 probability by the longest state, open), transitions of states (key, log10 probability), states (key, log10 share left), live contexts; own: the verdict on each row's context."""
+    kept, left, live = own
+    k, p = _run_key(c, s), np.log10((n - DISCOUNT) / total)
+    _, first = np.unique(c[kept], return_index=True)
+    return [k, n, np.where(kept, p, q), live, k[kept], p[kept], c[kept][first], left[kept][first], np.unique(c[live])]
+
+
+GROWN = "u8 i8 f8 ?  u8 f8 u8 f8 u8"
+
+
+def _grow(blocks: DataFrame, table: DataFrame, hot: np.ndarray, bits: tuple[np.ndarray, np.ndarray], depth: int, shards: int, scratch: Scratch) -> DataFrame:
+    """The packed arrays of _grown for the contexts of `depth` words, from the table of runs of so many words."""
+    spark, limit = blocks.sparkSession, HOT
+    sent = spark.sparkContext.broadcast((*bits, hot))
+
+    def counted(docs: bytes, tokens: bytes, n: int) -> list[tuple]:
+        known, live, hot = sent.value
+        for d, (at, c, s, shorter) in enumerate(_runs(*_trained(docs, tokens, n), known), 1):
+            if d == depth:
+                break
+        else:
+            return []
+        if depth > 1:  # one of both contexts that are a word shorter is live: for a transition, or for the count of a longer context
+            use = _in(live, shorter[at - 1]) | _in(live, shorter[at])
+            c, s = c[use], s[use]
+        by = np.lexsort((s, c))
+        c, s = c[by], s[by]
+        first = np.flatnonzero(np.append(True, (c[1:] != c[:-1]) | (s[1:] != s[:-1]))) if len(c) else np.empty(0, np.int64)
+        c, s, n = c[first], s[first], np.diff(np.append(first, len(c))).astype(np.uint32)
+        to = _shard(np.where(_in(hot, c), _run_key(c, s), c), shards)
+        return [(t, 0, _pack(c[own], s[own], n[own])) for t, own in _dealt(to)]
+
+    def summed(to: int, rows: list[tuple[int, list[np.ndarray]]]) -> list[tuple]:
+        c, s, n = _joined([x for _, x in rows], "u8 u8 u4")
+        by = np.lexsort((s, c))
+        c, s, n = c[by], s[by], n[by].astype(np.int64)
+        first = np.flatnonzero(np.append(True, (c[1:] != c[:-1]) | (s[1:] != s[:-1])))
+        n = np.add.reduceat(n, first)
+        use = n >= LEAST
+        return [(to, _pack(c[first][use], s[first][use], n[use]), int(use.sum()), 0)] if use.any() else []
+
+    moves = scratch.put(_gathered(_each(blocks.select("docs", "tokens", "n"), counted, "to frm data", ROUTED), summed))
+    sent.unpersist()
+
+    def asked(shard: int, data: bytes) -> list[tuple]:
+        c, s, _ = _unpack(data)
+        keys = np.union1d(c, s)
+        return [(to, shard, _pack(keys[own])) for to, own in _dealt(_shard(keys, shards))]
+
+    def answered(_: int, rows: list[dict], sent: list[tuple[int, list[np.ndarray]]]) -> pa.Table:
+        keys, n, q, is_open = _unpack(rows[0]["data"]) if rows else _joined([], "u8 i8 f8 ?")
+        out = []
+        for frm, (wanted,) in sent:
+            at = _found(keys, wanted)
+            at = at[at >= 0]
+            out.append((frm, 0, _pack(keys[at], n[at], q[at], is_open[at])))
+        return pa.Table.from_batches([_rows(out, "to frm data")])
+
+    def resolved(_: int, rows: list[dict], answers: list[tuple[int, list[np.ndarray]]]) -> pa.Table:
+        if not rows:
+            return pa.Table.from_batches([_rows([], "shard data size total")])
+        c, s, n = _unpack(rows[0]["data"])
+        keys, count, q, is_open = _joined([x for _, x in answers], "u8 i8 f8 ?")
+        by = np.argsort(keys)
+        keys, count, q, is_open = keys[by], count[by], q[by], is_open[by]
+        context, shorter = _found(keys, c), _found(keys, s)
+        use = (context >= 0) & (shorter >= 0)  # bits that are shared let runs through that nothing needs
+        c, s, n, total, q, moving = c[use], s[use], n[use], count[context[use]], q[shorter[use]], is_open[shorter[use]]
+        is_hot = total > limit
+        own = moving & ~is_hot
+        out = [(0, _pack(*_decided(c[own], s[own], n[own], total[own], q[own])), 0, 0)]
+        none = np.zeros((~moving).sum(), bool)  # runs that are only counted, for longer contexts
+        out.append((0, _pack(*_grown(c[~moving], s[~moving], n[~moving], total[~moving], q[~moving], (none, none * 0.0, none))), 0, 0))
+        own = moving & is_hot
+        if own.any():
+            out.append((1, _pack(c[own], s[own], n[own], total[own], q[own]), 0, 0))
+        return pa.Table.from_batches([_rows(out, "shard data size total")])
+
+    asks = _each(moves.select("shard", "data"), asked, "to frm data", ROUTED)
+    answers = _met(table, "shard", asks, answered, ROUTED)
+    found = scratch.put(_met(moves, "shard", answers, resolved, TABLE))
+    scratch.drop(moves)
+    waiting = found.filter("shard = 1").select("data")
+    if waiting.isEmpty():
+        return found
+    return scratch.put(found.filter("shard = 0").unionByName(_of_hot(waiting)))
+
+
+def _decided(c: np.ndarray, s: np.ndarray, n: np.ndarray, total: np.ndarray, q: np.ndarray) -> list[np.ndarray]:
+    """_grown for contexts, sorted, all of whose transitions are here."""
+    if not len(c):
+        return _grown(c, s, n, total, q, (np.zeros(0, bool), np.zeros(0), np.zeros(0, bool)))
+    first = np.flatnonzero(np.append(True, c[1:] != c[:-1]))
+    own = _verdict(total[first].astype(float), *_sums((n - DISCOUNT) / total, 10.0**q, first))
+    size = np.diff(np.append(first, len(c)))
+    return _grown(c, s, n, total, q, tuple(np.repeat(x, size) for x in own))
+
+
+def _of_hot(waiting: DataFrame) -> DataFrame:
+    """_grown for contexts whose transitions are in many shards: sums of each shard are added up, and joined to the transitions."""
+    row = "c long, s long, n long, total long, q double"
+
+    def flat(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for data in b.column(0).to_pylist():
+                c, s, n, total, q = _unpack(data)
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (c.view(np.int64), s.view(np.int64), n, total, q)], names=["c", "s", "n", "total", "q"])
+
+    moves = kernel(waiting, flat, row).withColumn("p", (F.col("n") - DISCOUNT) / F.col("total"))
+    q = F.pow(F.lit(10.0), "q")
+    sums = moves.groupBy("c").agg(F.sum("p").alias("sp"), F.sum(q).alias("sq"), F.count("*").cast("double").alias("many"), F.sum(F.col("p") * F.log(F.col("p") / q)).alias("diverged"), F.min("p").alias("lp"), F.min(q).alias("lq"))
+
+    def done(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                x = {n: b.column(n).to_numpy() for n in b.schema.names}
+                own = _verdict(x["total"].astype(float), *(x[n] for n in ("sp", "sq", "many", "diverged", "lp", "lq")))
+                yield _rows([(0, _pack(*_grown(x["c"].view(np.uint64), x["s"].view(np.uint64), x["n"], x["total"], x["q"], own)), 0, 0)], "shard data size total")
+
+    return kernel(moves.drop("p").join(sums.hint("merge"), "c"), done, TABLE)
+
+
+def _table(found: DataFrame, shards: int) -> DataFrame:
+    """The runs of _grown as a table: keys (sorted), counts, log10 probabilities, open."""
+
+    def sent(data: bytes) -> list[tuple]:
+        k, *rest = _unpack(data)[:4]
+        return [(to, 0, _pack(k[own], *(x[own] for x in rest))) for to, own in _dealt(_shard(k, shards))]
+
+    def merged(to: int, rows: list[tuple[int, list[np.ndarray]]]) -> list[tuple]:
+        k, *rest = _joined([x for _, x in rows], "u8 i8 f8 ?")
+        by = np.argsort(k)
+        return [(to, _pack(k[by], *(x[by] for x in rest)), len(k), 0)]
+
+    return _gathered(_each(found.select("data"), sent, "to frm data", ROUTED), merged)
+
+
+def _values(found: DataFrame, shards: int) -> DataFrame:
+    """What scoring needs of _grown, routed by key: transitions (from 1) and states (from 2)."""
+
+    def sent(data: bytes) -> list[tuple]:
+        k, p, c, left = _unpack(data)[4:8]
+        moves = [(to, 1, _pack(k[own], p[own])) for to, own in _dealt(_shard(k, shards))]
+        return moves + [(to, 2, _pack(c[own], left[own])) for to, own in _dealt(_shard(c, shards))]
+
+    return _each(found.select("data"), sent, "to frm data", ROUTED)
+
+
+def _part(df: DataFrame, index: int) -> DataFrame:
+    return _each(df.select("data"), lambda data: [(0, 0, _pack(_unpack(data)[index]))], "to frm data", ROUTED)
+
+
+class Tree:
+    """The tree as a table of (keys, counts, log10 probabilities, log10 shares left) dealt to shards, and tables of bits of the runs that may matter and of the table's own."""
+
+    def __init__(self, blocks: DataFrame, scratch: Scratch):
+        self.shards = shards = max(1, (blocks.agg(F.sum("n")).first()[0] or 0) // SHARD)
+        words = scratch.put(_gathered(_each(blocks.select("docs", "tokens", "n"), lambda docs, tokens, n: _word_counts(docs, tokens, n, shards), "to frm data", ROUTED), _word_table))
+        total = words.agg(F.coalesce(F.sum("total"), F.lit(0)), F.coalesce(F.sum("size"), F.lit(0))).first()
+        self.tokens, self.distinct, self.depth = total[0], total[1], 0
+        n_all, kinds, limit = self.tokens, self.distinct, HOT
+
+        def often(to: int, data: bytes) -> list[tuple]:
+            k, n = _unpack(data)
+            use = n >= LEAST
+            return [(to, _pack(k[use], n[use], np.log10((n[use] + 0.5) / (n_all + 0.5 * (kinds + 1))), np.ones(use.sum(), bool)), 0, 0)]
+
+        size = max(1 << 14, min(BITS, 1 << (16 * n_all).bit_length()))
+        table = scratch.put(_each(words.select("shard", "data"), often, "shard data size total", TABLE))
+        known, live, empty = _bits(table, size), np.zeros(size >> 6, np.uint64), np.zeros(16, np.uint64)
+        values = [_each(words.select("shard", "data"), lambda to, data: [(to, 0, data)], "to frm data", ROUTED)]
+        while True:
+            hot = _bits(_each(table.select("data"), lambda data: _heavy(data, limit), "to frm data", ROUTED), size) if n_all > limit else empty
+            found = _grow(blocks, table, hot, (known, live), self.depth + 1, shards, scratch)
+            if not _any(_part(found, 6).select("data")):
+                scratch.drop(found)
+                break
+            self.depth += 1
+            values.append(scratch.put(_values(found, shards)))
+            scratch.drop(table)
+            table = scratch.put(_table(found, shards))
+            known, live = known | _bits(table, size), live | _bits(_part(found, 8), size)
+            scratch.drop(found)
+        merged = values[0]
+        for v in values[1:]:
+            merged = merged.unionByName(v)
+        self.known, self.table = known, scratch.put(_gathered(merged, _value_table))
+        scratch.drop(words, table, *values[1:])
+        self.own = _bits(_each(self.table.select("data"), _runs_only, "to frm data", ROUTED), size)
+
+
+def _any(packed: DataFrame) -> bool:
+    return not _each(packed, lambda data: [(len(x), 0, b"") for x in _unpack(data) if len(x)], "to frm data", ROUTED).isEmpty()
+
+
+def _heavy(data: bytes, limit: int) -> list[tuple]:
+    k, n = _unpack(data)[:2]
+    return [(0, 0, _pack(k[n > limit]))]
+
+
+def _word_counts(docs: bytes, tokens: bytes, n: int, shards: int) -> list[tuple]:
+    words, ids = _unpack(tokens)
+    count = np.bincount(ids[:n], minlength=len(words))
+    words, count = words[count > 0], count[count > 0]
+    return [(to, 0, _pack(words[own], count[own])) for to, own in _dealt(_shard(words, shards))]
+
+
+def _word_table(to: int, rows: list[tuple[int, list[np.ndarray]]]) -> list[tuple]:
+    k, n = _joined([x for _, x in rows], "u8 i8")
+    words, which = np.unique(k, return_inverse=True)
+    n = np.bincount(which, n, len(words)).astype(np.int64)
+    return [(to, _pack(words, n), len(words), int(n.sum()))]
+
+
+def _value_table(to: int, rows: list[tuple[int, list[np.ndarray]]]) -> list[tuple]:
+    """Of words (0), transitions (1) and states (2): one row for each key."""
+    keys = np.unique(np.concatenate([x[0] for _, x in rows]))
+    n, p, left = np.zeros(len(keys), np.int64), np.full(len(keys), np.nan), np.full(len(keys), np.nan)
+    for kind, (k, v) in rows:
+        (n, p, left)[kind][np.searchsorted(keys, k)] = v
+    return [(to, _pack(keys, n, p, left), len(keys), 0)]
+
+
+def _runs_only(data: bytes) -> list[tuple]:
+    keys, n, p, left = _unpack(data)
+    return [(0, 0, _pack(keys[(n == 0) | ~np.isnan(left)]))]
+
+
+# --- scores -----------------------------------------------------------------
+
+def _wanted(tokens: np.ndarray, place: np.ndarray, known: np.ndarray, own: np.ndarray, depth: int) -> tuple[np.ndarray, list[tuple[np.ndarray, np.ndarray]]]:
+    """The distinct keys of a block's runs that the tree may have, and of each depth the places with runs and the runs' keys."""
+    levels, keys = [], []
+    for _, (at, c, s, _) in zip(range(depth), _runs(tokens, place, known), strict=False):
+        k = _run_key(c, s)
+        use = _in(own, k)
+        levels.append((at[use], k[use]))
+        keys.append(k[use])
+    return np.unique(np.concatenate([np.empty(0, np.uint64), *keys])), levels
+
+
+SCORES = "_k long, doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
 
 def score(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -284,33 +488,73 @@ def score(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str
 
     train: a condition on doc_id; null counts as true. Tokens are the words between ASCII white space, A-Z lower-cased,
     and an end. base_score sums the log10 of the root's probabilities, score those of the longest states. Null and
-    empty texts are their end. Rows that repeat an id are documents of their own; without training rows every token
-    has the root's probability of one unknown word. An empty table gives an empty result. Other columns play no part.
+    empty texts are their end; a text of over LOT tokens is scored in a block of its own. Rows that repeat an id are
+    documents of their own; without training rows every token has the root's probability of one unknown word. An empty
+    table gives an empty result. Other columns play no part.
     """
     spark, scratch = docs.sparkSession, Scratch(docs.sparkSession)
     source = keyed(docs, id_col, text_col).withColumn("held_out", ~F.coalesce(train, F.lit(True)))
-    texts = source.filter("not held_out").select("text")
-    counts = scratch.put(texts.mapInArrow(_count_words, "w long, n long").groupBy("w").agg(F.sum("n").alias("n")))
-    values, of_all, distinct, depth = fit(texts, counts, scratch)
-    sent = spark.sparkContext.broadcast(_bits(values.filter("n = 0").select("k")))
-    blocks = max(1, round(of_all * 1.25 / BLOCK_TOKENS))
-    dealt = source.withColumn("block", F.pmod(F.xxhash64("_k"), F.lit(blocks)))
-    asked = dealt.groupBy("block").applyInArrow(_ask(sent, depth), "block long, k long")
-    answers = asked.join(values, "k").select("block", "k", "n", "v")
-    schema = "_k long, doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-
-    def scored(text: pa.Table, answer: pa.Table) -> pa.Table:
-        tokens, begin = _tokens(text.column("text").to_pylist(), WordHasher())
-        k, n, v = (answer.column(x).to_numpy() for x in ("k", "n", "v"))
-        by = np.argsort(k.view(np.uint64))
-        k, n, v = k.view(np.uint64)[by], np.append(n[by], 0), np.append(v[by], np.nan)
-        known = n[_found(k, tokens)]  # the last is the answer to what is absent
-        base = np.log10((known + 0.5) / (of_all + 0.5 * (distinct + 1)))
-        full = base.copy()
-        for _, (at, context, shorter) in zip(range(depth), _depths(tokens, begin), strict=False):
-            left, p = v[_found(k, context)], v[_found(k, _hashed(context, shorter))]
-            full[at] = np.where(np.isnan(p), full[at] + np.nan_to_num(left), p)
-        total = lambda x: np.add.reduceat(x, begin[:-1]) if len(begin) > 1 else np.empty(0)
-        return pa.table({"_k": text.column("_k"), "doc_id": text.column("doc_id"), "held_out": text.column("held_out"), "n_tokens": pa.array(np.diff(begin)), "n_known": pa.array(total((known > 0).astype(np.int64)).astype(np.int64)), "train_tokens": pa.array(np.full(len(begin) - 1, of_all, np.int64)), "base_score": pa.array(total(base).astype(float)), "score": pa.array(total(full).astype(float))})
-
-    return dealt.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(scored, schema)
+    lot = LOT  # what closures hold goes to the workers
+    blocks = scratch.put(kernel(source.select("_k", "doc_id", "text", "held_out"), lambda batches: _blocks(batches, lot), BLOCKS))
+    tree = Tree(blocks, scratch)
+    sent, shards, depth = spark.sparkContext.broadcast((tree.known, tree.own)), tree.shards, tree.depth
+    of_all, distinct = tree.tokens, tree.distinct
+
+    def asked(block: int, docs: bytes, tokens: bytes) -> list[tuple]:
+        words, ids = _unpack(tokens)
+        runs, _ = _wanted(words[ids], _places(_unpack(docs)[4]), *sent.value, depth)
+        wanted = {to: [words[own], runs[:0]] for to, own in _dealt(_shard(words, shards))}
+        for to, own in _dealt(_shard(runs, shards)):
+            wanted.setdefault(to, [words[:0], runs[:0]])[1] = runs[own]
+        return [(to, block, _pack(*x)) for to, x in wanted.items()]
+
+    def answered(to: int, rows: list[dict], asks: list[tuple[int, list[np.ndarray]]]) -> pa.Table:
+        keys, n, p, left = _unpack(rows[0]["data"]) if rows else _joined([], "u8 i8 f8 f8")
+        n, p, left = np.append(n, 0), np.append(p, np.nan), np.append(left, np.nan)  # the last is the answer to what is absent
+        out = []
+        for block, (words, runs) in asks:
+            w, r = _found(keys, words), _found(keys, runs)
+            out.append((block, to, _pack(n[w], *_sparse(left[w]), *_sparse(p[r]), *_sparse(left[r]))))
+        return pa.Table.from_batches([_rows(out, "to frm data")])
+
+    def scored(_: int, rows: list[dict], answers: list[tuple[int, list[np.ndarray]]]) -> pa.Table:
+        k, doc, null, held, sizes = _unpack(rows[0]["docs"])
+        words, ids = _unpack(rows[0]["tokens"])
+        place = _places(sizes)
+        runs, levels = _wanted(words[ids], place, *sent.value, depth)
+        count, word_left = np.zeros(len(words), np.int64), np.full(len(words), np.nan)
+        p, left = np.full(len(runs), np.nan), np.full(len(runs), np.nan)
+        by_word, by_run = dict(_dealt(_shard(words, shards))), dict(_dealt(_shard(runs, shards)))
+        for shard, (n, at, v, p_at, p_v, l_at, l_v) in answers:
+            own, own_run = by_word.get(shard), by_run.get(shard)
+            if own is not None:
+                count[own] = n
+                word_left[own[at]] = v
+            if own_run is not None:
+                p[own_run[p_at]], left[own_run[l_at]] = p_v, l_v
+        known = count[ids]
+        base = np.log10((count + 0.5) / (of_all + 0.5 * (distinct + 1)))[ids]
+        full, before = base.copy(), word_left[ids]  # before: of each place, the share that the run which ends there leaves
+        for d, (at, keys) in enumerate(levels, 1):
+            run = np.searchsorted(runs, keys)
+            to_next = np.full(len(ids), np.nan)
+            to_next[1:] = before[:-1]
+            to_next[place < d] = np.nan
+            chance = np.full(len(ids), np.nan)
+            chance[at] = p[run]
+            full = np.where(np.isnan(chance), full + np.nan_to_num(to_next), chance)
+            before = np.full(len(ids), np.nan)
+            before[at] = left[run]
+        first = np.cumsum(sizes) - sizes
+        total = lambda x: np.add.reduceat(x, first)
+        columns = [pa.array(k), pa.array(doc, mask=null.astype(bool)), pa.array(held.astype(bool)), pa.array(sizes), pa.array(total((known > 0).astype(np.int64))), pa.array(np.full(len(k), of_all, np.int64)), pa.array(total(base)), pa.array(total(full))]
+        return pa.table(dict(zip([x.split()[0] for x in SCORES.split(", ")], columns, strict=True)))
+
+    answers = scratch.put(_met(tree.table, "shard", _each(blocks.select("block", "docs", "tokens"), asked, "to frm data", ROUTED), answered, ROUTED))
+    scratch.drop(tree.table)
+    return _met(blocks, "block", answers, scored, SCORES)
+
+
+def _sparse(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    at = np.flatnonzero(~np.isnan(x))
+    return at.astype(np.uint32), x[at]

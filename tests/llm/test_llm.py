@@ -273,31 +273,6 @@ def test_lm_score(docs):
     assert lm_score.score(docs.limit(0), train).count() == 0
 
 
-def test_suffix_tree_states_are_distributions():
-    rng = random.Random(7)
-    words = np.sort(np.array([rng.getrandbits(63) for _ in range(12)], np.uint64))
-    ids = [rng.choice([0, 1, 2, 3]) if i % 3 else rng.randrange(12) for i in range(3_000)]
-    for i in range(0, 2_990, 5):
-        ids[i : i + 3] = [0, 1, 2]
-    ids = np.array(ids)
-    tree = lm_score.SuffixTree(words, np.bincount(ids, minlength=12), len(ids), 12)
-    begin = np.array([0, len(ids)])
-    for depth in (1, 2):
-        context = tree.contexts(ids, begin, depth)
-        k, m = np.unique((context * 12 + ids)[context >= 0], return_counts=True)
-        keep = m >= 3
-        tree.grow(k[keep], m[keep])
-        if depth == 1:
-            tree.pairs, tree.pair_counts = k[keep], m[keep]
-    assert len(tree.states[0][0]) and len(tree.states[1][0])
-    unknown = 10 ** tree.unigram(np.array([0.0]))[0]
-    for a, b in [(0, 1), (1, 2), (3, 0), (2, 2)]:
-        text = np.stack([np.full(13, a), np.full(13, b), np.append(np.arange(12), -1)], 1).ravel()
-        base = np.where(text >= 0, tree.unigram(tree.counts[text]), math.log10(unknown))
-        p = tree.log_probabilities(text, np.arange(14) * 3, base)[2::3]
-        assert math.isclose((10**p).sum(), 1, rel_tol=1e-9)
-
-
 def distance(a, b):
     row = list(range(len(b) + 1))
     for i, x in enumerate(a, 1):
@@ -452,18 +427,24 @@ def test_lm_score_keeps_rare_transitions_and_long_contexts(spark):
     assert all(math.isclose(r.score, x, rel_tol=1e-9) for r, x in zip(got, want, strict=True))
 
 
-def test_lm_score_is_alike_at_every_size(spark):
-    # a pair seen 50 times is a transition whatever else the corpus holds (2e-6 of 60 million would be 120)
-    pair, rest = [(i, "rare pair") for i in range(50)], [(100 + i, " ".join(f"w{j}" for j in range(i * 7, i * 7 + 400))) for i in range(40)]
-    counts = spark.createDataFrame([*pair, *rest], "doc_id long, text string")
-    texts = counts.select("text")
-    from tessera.llm.common import Scratch
+@pytest.mark.parametrize(("lot", "shard", "hot"), [(1_000, 700, 1 << 22), (200, 300, 60)])
+def test_lm_score_in_blocks_and_shards(spark, monkeypatch, lot, shard, hot):
+    """Many blocks and shards, and contexts whose transitions are dealt over shards, give what one of each gives."""
+    rng = random.Random(6)
+    for name, value in (("LOT", lot), ("SHARD", shard), ("HOT", hot)):
+        monkeypatch.setattr(lm_score, name, value)
+    texts = [" ".join(rng.choice("the of and red blue moon star shop".split()) if rng.random() < 0.6 else f"w{rng.randint(0, 60)}" for _ in range(rng.choice([0, 3, 40, 90]))) for _ in range(60)]
+    texts += texts[:9] + ["the very same words come twice here and nowhere else", "the very same words come twice here and nowhere else"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = keyed_rows(lm_score.score(rows, F.col("doc_id") % 5 != 1))
+    _, want = brute_scores([t for i, t in enumerate(texts) if i % 5 != 1], texts)
+    assert all(math.isclose(r.score, x, rel_tol=1e-9) for r, x in zip(got, want, strict=True))
+
 
-    scratch = Scratch(spark)
-    words = scratch.put(texts.mapInArrow(lm_score._count_words, "w long, n long").groupBy("w").agg(F.sum("n").alias("n")))
-    larger = scratch.put(words.union(spark.createDataFrame([(7, 60_000_000)], "w long, n long")))
-    small, large = (lm_score.fit(texts, w, scratch)[0].filter("v is not null").select("k").distinct() for w in (words, larger))
-    assert small.count() and small.exceptAll(large).isEmpty()
+def test_lm_score_without_training_rows(spark):
+    rows = spark.createDataFrame([(1, "a b"), (2, None), (2, "c")], "doc_id long, text string")
+    got = lm_score.score(rows, F.lit(False)).collect()
+    assert sorted((r.doc_id, r.n_tokens, r.n_known, r.train_tokens, r.base_score, r.score) for r in got) == [(1, 3, 0, 0, 0, 0), (2, 1, 0, 0, 0, 0), (2, 2, 0, 0, 0, 0)]
 
 
 def test_items_without_white_space_before_them(spark):
