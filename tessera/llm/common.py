@@ -3,8 +3,8 @@
 from __future__ import annotations
 
 import ctypes
-import gc
 from collections.abc import Callable, Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -20,14 +20,21 @@ BATCH_BYTES = "4m"  # of rows that a kernel gets at once; a longer row comes alo
 _BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
+@cache
+def _libc() -> ctypes.CDLL | None:
+    try:
+        lib = ctypes.CDLL("libc.so.6")
+        lib.malloc_trim  # noqa: B018  another C library lacks it
+    except (OSError, AttributeError):
+        return None
+    return lib
+
+
 def release() -> None:
     """Gives back what a finished kernel held: workers are reused, and the memory of one operator would stay through the next."""
-    gc.collect()
     pa.default_memory_pool().release_unused()
-    try:
-        ctypes.CDLL("libc.so.6").malloc_trim(0)
-    except (OSError, AttributeError):  # another C library
-        pass
+    if lib := _libc():
+        lib.malloc_trim(0)
 
 
 def kernel(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: object) -> DataFrame:

@@ -5,7 +5,7 @@ its next-word distribution diverges from that of its longest shorter state by mo
 Kullback-Leibler divergence against GAIN for each transition. Whatever occurs LEAST times is a transition, in a corpus
 of any size. A state's transitions have a discounted share of its count; what is left goes to all other words in
 proportion to the shorter state, so every state is a distribution over the known words and one unknown word. Depths are
-added until no context of a depth becomes a state. A token is scored by the longest state that ends its context.
+added up to DEPTH words, or until no context of a depth becomes a state. A token is scored by the longest state that ends its context.
 
 A run of words has one 64-bit key, made of the keys of its first and of its last words, so a context's key, that of a
 transition and that of the shorter transition are keys of runs that end one word apart. Texts are tokenised once, into
@@ -26,17 +26,19 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import MIX, Scratch, WordHasher, kernel, keyed, release, words_of
+from tessera.llm.common import MIX, Scratch, kernel, keyed, words_of
 
 LEAST, DISCOUNT, GAIN = 2, 0.5, 4.0
 LOT = 1_500_000  # tokens of a block; a longer text is a block of its own
 SHARD = 2_000_000  # training tokens for each shard
 HOT = 1 << 22  # occurrences of a context from which on its transitions are dealt over all shards
-BITS, SLICES = 1 << 27, 64  # of a table of bits, and the parts that it is made in
+BITS, HOT_BITS, SLICES = 1 << 27, 1 << 20, 64  # of tables of bits, and the parts that they are made in
+DEPTH = 3  # words of context at most; None: until no context of a depth becomes a state
 END = np.uint64(0x5E4D0F7E87A6D1B3)  # stands for the end of a text
 ROUTED = "to long, frm long, data binary"
 TABLE = "shard long, data binary, size long, total long"
@@ -99,9 +101,7 @@ def _gathered(routed: DataFrame, f: Callable[[int, list[tuple[int, list[np.ndarr
     """f of all that is routed to one place: (from, arrays)."""
 
     def run(t: pa.Table) -> pa.Table:
-        out = pa.Table.from_batches([_rows(f(t.column("to")[0].as_py(), [(x, _unpack(d)) for x, d in zip(t.column("frm").to_pylist(), t.column("data").to_pylist(), strict=True)]), names)])
-        release()
-        return out
+        return pa.Table.from_batches([_rows(f(t.column("to")[0].as_py(), [(x, _unpack(d)) for x, d in zip(t.column("frm").to_pylist(), t.column("data").to_pylist(), strict=True)]), names)])
 
     return routed.groupBy("to").applyInArrow(run, schema)
 
@@ -111,9 +111,7 @@ def _met(table: DataFrame, key: str, routed: DataFrame, f: Callable[[int, list[d
 
     def run(rows: pa.Table, sent: pa.Table) -> pa.Table:
         place = (rows.column(key) if rows.num_rows else sent.column("to"))[0].as_py()
-        out = f(place, rows.to_pylist(), [(x, _unpack(d)) for x, d in zip(sent.column("frm").to_pylist(), sent.column("data").to_pylist(), strict=True)])
-        release()
-        return out
+        return f(place, rows.to_pylist(), [(x, _unpack(d)) for x, d in zip(sent.column("frm").to_pylist(), sent.column("data").to_pylist(), strict=True)])
 
     return table.groupBy(key).cogroup(routed.groupBy("to")).applyInArrow(run, schema)
 
@@ -141,13 +139,13 @@ def _in(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
     return (bits[(slot >> np.uint64(6)).astype(np.int64)] >> (slot & np.uint64(63))) & np.uint64(1) != 0
 
 
-def _bits(keys: DataFrame, size: int) -> np.ndarray:
-    """A table of `size` bits of the keys in the rows' first arrays; its parts are made by tasks of their own."""
+def _bits(keys: DataFrame, size: int, tables: int = 1) -> list[np.ndarray]:
+    """Tables of `size` bits of the keys in the rows' first arrays, for the table at `to`; their parts are made by tasks of their own."""
     part = size // SLICES
 
-    def sent(data: bytes) -> list[tuple]:
+    def sent(table: int, data: bytes) -> list[tuple]:
         slot = np.unique((_unpack(data)[0] & np.uint64(size - 1)).astype(np.int64))
-        return [(to, 0, _pack((slot[own] % part).astype(np.uint32))) for to, own in _dealt(slot // part)]
+        return [(table * SLICES + to, 0, _pack((slot[own] % part).astype(np.uint32))) for to, own in _dealt(slot // part)]
 
     def made(to: int, rows: list[tuple[int, list[np.ndarray]]]) -> list[tuple]:
         bits = np.zeros(part, np.uint8)
@@ -155,10 +153,11 @@ def _bits(keys: DataFrame, size: int) -> np.ndarray:
             bits[slot] = 1
         return [(to, 0, _pack(np.packbits(bits, bitorder="little")))]
 
-    out = np.zeros(size // 8, np.uint8)
-    for r in _gathered(_each(keys.select("data"), sent, "to frm data", ROUTED), made, "to frm data", ROUTED).collect():  # SLICES rows, `size` bits in all
-        out[r.to * part // 8 : (r.to + 1) * part // 8] = _unpack(r.data)[0]
-    return out.view(np.uint64)
+    out = np.zeros((tables, size // 8), np.uint8)
+    for r in _gathered(_each(keys.select("to", "data"), sent, "to frm data", ROUTED), made, "to frm data", ROUTED).collect():  # SLICES rows a table, `size` bits in all
+        at = r.to % SLICES * part // 8
+        out[r.to // SLICES, at : at + part // 8] = _unpack(r.data)[0]
+    return list(out.view(np.uint64))
 
 
 def _runs(tokens: np.ndarray, place: np.ndarray, known: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
@@ -181,30 +180,41 @@ def _runs(tokens: np.ndarray, place: np.ndarray, known: np.ndarray) -> Iterator[
 
 # --- blocks -----------------------------------------------------------------
 
+class _Numbered(dict):
+    """Words with their numbers from 1 on, in the order in which they are asked for."""
+
+    def __missing__(self, word: bytes) -> int:
+        n = self[word] = len(self) + 1
+        return n
+
+
 BLOCKS = "block long, docs binary, tokens binary, n long"
 
 
 def _blocks(batches: Iterator[pa.RecordBatch], lot: int) -> Iterator[pa.RecordBatch]:
     """Rows of about `lot` tokens, training texts first: the texts' keys, ids, held_out and sizes; the distinct words, and which of them each token is."""
-    hasher = WordHasher()
     held: list[tuple[bool, int, int | None, np.ndarray]] = []
-    size = 0
+    size, seen = 0, _Numbered()
 
     def block() -> pa.RecordBatch:
         rows = sorted(held, key=lambda x: x[0])
-        tokens = np.concatenate([x[3] for x in rows])
-        words, ids = np.unique(tokens, return_inverse=True)
+        words = np.array([END, *map(xxhash.xxh3_64_intdigest, seen)], np.uint64)
+        by = np.argsort(words)
+        rank = np.empty(len(by), np.uint32)
+        rank[by] = np.arange(len(by))
+        ids = rank[np.concatenate([x[3] for x in rows])]
         docs = _pack(np.array([x[1] for x in rows], np.int64), np.array([x[2] or 0 for x in rows], np.int64), np.array([x[2] is None for x in rows], np.uint8), np.array([x[0] for x in rows], np.uint8), np.array([len(x[3]) for x in rows], np.int64))
         n = sum(len(x[3]) for x in rows if not x[0])
-        return pa.RecordBatch.from_arrays([pa.array([rows[0][1]], pa.int64()), pa.array([docs], pa.binary()), pa.array([_pack(words, ids.astype(np.uint32))], pa.binary()), pa.array([n], pa.int64())], names=["block", "docs", "tokens", "n"])
+        return pa.RecordBatch.from_arrays([pa.array([rows[0][1]], pa.int64()), pa.array([docs], pa.binary()), pa.array([_pack(words[by], ids)], pa.binary()), pa.array([n], pa.int64())], names=["block", "docs", "tokens", "n"])
 
     for b in batches:
         for k, d, t, h in zip(*(b.column(c).to_pylist() for c in ("_k", "doc_id", "text", "held_out")), strict=True):
-            held.append((h, k, d, np.append(hasher(words_of(t)), END)))
+            words = words_of(t)
+            held.append((h, k, d, np.append(np.fromiter(map(seen.__getitem__, words), np.int32, len(words)), np.int32(0))))
             size += len(held[-1][3])
             if size >= lot:
                 yield block()
-                held, size = [], 0
+                held, size, seen = [], 0, _Numbered()
     if held:
         yield block()
 
@@ -281,7 +291,7 @@ def _grow(blocks: DataFrame, table: DataFrame, hot: np.ndarray, bits: tuple[np.n
         return [(to, _pack(c[first][use], s[first][use], n[use]), int(use.sum()), 0)] if use.any() else []
 
     moves = scratch.put(_gathered(_each(blocks.select("docs", "tokens", "n"), counted, "to frm data", ROUTED), summed))
-    sent.unpersist()
+    sent.destroy()
 
     def asked(shard: int, data: bytes) -> list[tuple]:
         c, s, _ = _unpack(data)
@@ -309,7 +319,8 @@ def _grow(blocks: DataFrame, table: DataFrame, hot: np.ndarray, bits: tuple[np.n
         c, s, n, total, q, moving = c[use], s[use], n[use], count[context[use]], q[shorter[use]], is_open[shorter[use]]
         is_hot = total > limit
         own = moving & ~is_hot
-        out = [(0, _pack(*_decided(c[own], s[own], n[own], total[own], q[own])), 0, 0)]
+        grown = _decided(c[own], s[own], n[own], total[own], q[own])
+        out = [(0, _pack(*grown), len(grown[6]), 0)]
         none = np.zeros((~moving).sum(), bool)  # runs that are only counted, for longer contexts
         out.append((0, _pack(*_grown(c[~moving], s[~moving], n[~moving], total[~moving], q[~moving], (none, none * 0.0, none))), 0, 0))
         own = moving & is_hot
@@ -356,7 +367,8 @@ def _of_hot(waiting: DataFrame) -> DataFrame:
             if b.num_rows:
                 x = {n: b.column(n).to_numpy() for n in b.schema.names}
                 own = _verdict(x["total"].astype(float), *(x[n] for n in ("sp", "sq", "many", "diverged", "lp", "lq")))
-                yield _rows([(0, _pack(*_grown(x["c"].view(np.uint64), x["s"].view(np.uint64), x["n"], x["total"], x["q"], own)), 0, 0)], "shard data size total")
+                grown = _grown(x["c"].view(np.uint64), x["s"].view(np.uint64), x["n"], x["total"], x["q"], own)
+                yield _rows([(0, _pack(*grown), len(grown[6]), 0)], "shard data size total")
 
     return kernel(moves.drop("p").join(sums.hint("merge"), "c"), done, TABLE)
 
@@ -371,7 +383,7 @@ def _table(found: DataFrame, shards: int) -> DataFrame:
     def merged(to: int, rows: list[tuple[int, list[np.ndarray]]]) -> list[tuple]:
         k, *rest = _joined([x for _, x in rows], "u8 i8 f8 ?")
         by = np.argsort(k)
-        return [(to, _pack(k[by], *(x[by] for x in rest)), len(k), 0)]
+        return [(to, _pack(k[by], *(x[by] for x in rest)), len(k), int(rest[0].max(initial=0)))]
 
     return _gathered(_each(found.select("data"), sent, "to frm data", ROUTED), merged)
 
@@ -387,14 +399,15 @@ def _values(found: DataFrame, shards: int) -> DataFrame:
     return _each(found.select("data"), sent, "to frm data", ROUTED)
 
 
-def _part(df: DataFrame, index: int) -> DataFrame:
-    return _each(df.select("data"), lambda data: [(0, 0, _pack(_unpack(data)[index]))], "to frm data", ROUTED)
+def _part(df: DataFrame, *places: int) -> DataFrame:
+    """Some of the rows' arrays, numbered from 0."""
+    return _each(df.select("data"), lambda data: [(i, 0, _pack(x)) for i, x in enumerate(_unpack(data)[p] for p in places) if len(x)], "to frm data", ROUTED)
 
 
 class Tree:
     """The tree as a table of (keys, counts, log10 probabilities, log10 shares left) dealt to shards, and tables of bits of the runs that may matter and of the table's own."""
 
-    def __init__(self, blocks: DataFrame, scratch: Scratch):
+    def __init__(self, blocks: DataFrame, scratch: Scratch, depth: int | None):
         self.shards = shards = max(1, (blocks.agg(F.sum("n")).first()[0] or 0) // SHARD)
         words = scratch.put(_gathered(_each(blocks.select("docs", "tokens", "n"), lambda docs, tokens, n: _word_counts(docs, tokens, n, shards), "to frm data", ROUTED), _word_table))
         total = words.agg(F.coalesce(F.sum("total"), F.lit(0)), F.coalesce(F.sum("size"), F.lit(0))).first()
@@ -404,34 +417,33 @@ class Tree:
         def often(to: int, data: bytes) -> list[tuple]:
             k, n = _unpack(data)
             use = n >= LEAST
-            return [(to, _pack(k[use], n[use], np.log10((n[use] + 0.5) / (n_all + 0.5 * (kinds + 1))), np.ones(use.sum(), bool)), 0, 0)]
+            return [(to, _pack(k[use], n[use], np.log10((n[use] + 0.5) / (n_all + 0.5 * (kinds + 1))), np.ones(use.sum(), bool)), int(use.sum()), int(n.max(initial=0)))]
 
-        size = max(1 << 14, min(BITS, 1 << (16 * n_all).bit_length()))
+        size = max(1 << 14, min(BITS, 1 << (2 * n_all).bit_length()))
         table = scratch.put(_each(words.select("shard", "data"), often, "shard data size total", TABLE))
-        known, live, empty = _bits(table, size), np.zeros(size >> 6, np.uint64), np.zeros(16, np.uint64)
+        known, live = _bits(_part(table, 0), size)[0], np.zeros(size >> 6, np.uint64)
         values = [_each(words.select("shard", "data"), lambda to, data: [(to, 0, data)], "to frm data", ROUTED)]
-        while True:
-            hot = _bits(_each(table.select("data"), lambda data: _heavy(data, limit), "to frm data", ROUTED), size) if n_all > limit else empty
+        while depth is None or self.depth < depth:
+            heaviest = table.agg(F.max("total")).first()[0] or 0
+            hot = _bits(_each(table.select("data"), lambda data: _heavy(data, limit), "to frm data", ROUTED), HOT_BITS)[0] if heaviest > limit else np.zeros(16, np.uint64)
             found = _grow(blocks, table, hot, (known, live), self.depth + 1, shards, scratch)
-            if not _any(_part(found, 6).select("data")):
+            scratch.drop(table)
+            if not (found.agg(F.sum("size")).first()[0] or 0):
                 scratch.drop(found)
                 break
             self.depth += 1
             values.append(scratch.put(_values(found, shards)))
-            scratch.drop(table)
-            table = scratch.put(_table(found, shards))
-            known, live = known | _bits(table, size), live | _bits(_part(found, 8), size)
+            if self.depth != depth:
+                table = scratch.put(_table(found, shards))
+                new = _bits(_part(found, 0, 8), size, 2)
+                known, live = known | new[0], live | new[1]
             scratch.drop(found)
         merged = values[0]
         for v in values[1:]:
             merged = merged.unionByName(v)
         self.known, self.table = known, scratch.put(_gathered(merged, _value_table))
-        scratch.drop(words, table, *values[1:])
-        self.own = _bits(_each(self.table.select("data"), _runs_only, "to frm data", ROUTED), size)
-
-
-def _any(packed: DataFrame) -> bool:
-    return not _each(packed, lambda data: [(len(x), 0, b"") for x in _unpack(data) if len(x)], "to frm data", ROUTED).isEmpty()
+        scratch.drop(words, *values[1:])
+        self.own = _bits(_each(self.table.select("data"), _runs_only, "to frm data", ROUTED), size)[0]
 
 
 def _heavy(data: bytes, limit: int) -> list[tuple]:
@@ -483,10 +495,10 @@ def _wanted(tokens: np.ndarray, place: np.ndarray, known: np.ndarray, own: np.nd
 SCORES = "_k long, doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
 
-def score(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def score(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str = "text", depth: int | None = DEPTH) -> DataFrame:
     """(_k, doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) for each row of docs.
 
-    train: a condition on doc_id; null counts as true. Tokens are the words between ASCII white space, A-Z lower-cased,
+    train: a condition on doc_id; null counts as true. depth: words of a context at most, None for any number. Tokens are the words between ASCII white space, A-Z lower-cased,
     and an end. base_score sums the log10 of the root's probabilities, score those of the longest states. Null and
     empty texts are their end; a text of over LOT tokens is scored in a block of its own. Rows that repeat an id are
     documents of their own; without training rows every token has the root's probability of one unknown word. An empty
@@ -496,7 +508,7 @@ def score(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str
     source = keyed(docs, id_col, text_col).withColumn("held_out", ~F.coalesce(train, F.lit(True)))
     lot = LOT  # what closures hold goes to the workers
     blocks = scratch.put(kernel(source.select("_k", "doc_id", "text", "held_out"), lambda batches: _blocks(batches, lot), BLOCKS))
-    tree = Tree(blocks, scratch)
+    tree = Tree(blocks, scratch, depth)
     sent, shards, depth = spark.sparkContext.broadcast((tree.known, tree.own)), tree.shards, tree.depth
     of_all, distinct = tree.tokens, tree.distinct
 

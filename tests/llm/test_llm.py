@@ -375,7 +375,7 @@ def test_items_without_any_hit(spark):
     assert all(not r.matches for r in decontaminate.find_items(d, b).collect())
 
 
-def brute_scores(train, texts):
+def brute_scores(train, texts, most=99):
     """log10 probabilities summed over each text, by a tree in dictionaries."""
     runs = [[*t.encode().lower().split(), None] for t in train]
     c = Counter(w for r in runs for w in r)
@@ -394,6 +394,8 @@ def brute_scores(train, texts):
     depth = 0
     while True:
         depth += 1
+        if depth > most:
+            return most, [sum(math.log10(p(tuple(r[:i]), r[i], most)) for i in range(len(r))) for r in ([*t.encode().lower().split(), None] for t in texts)]
         seen = {}
         for r in runs:
             for i in range(depth, len(r)):
@@ -421,7 +423,7 @@ def test_lm_score_keeps_rare_transitions_and_long_contexts(spark):
         texts.append(" ".join(run))
     texts += [f"{a} same long run of words that differ {a} {a}{a}" for a in ("up", "down", "left", "right") for _ in range(6)]
     rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    got = keyed_rows(lm_score.score(rows, F.col("doc_id") % 5 != 1))
+    got = keyed_rows(lm_score.score(rows, F.col("doc_id") % 5 != 1, depth=None))
     depth, want = brute_scores([t for i, t in enumerate(texts) if i % 5 != 1], texts)
     assert depth >= 3
     assert all(math.isclose(r.score, x, rel_tol=1e-9) for r, x in zip(got, want, strict=True))
@@ -437,7 +439,7 @@ def test_lm_score_in_blocks_and_shards(spark, monkeypatch, lot, shard, hot):
     texts += texts[:9] + ["the very same words come twice here and nowhere else", "the very same words come twice here and nowhere else"]
     rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     got = keyed_rows(lm_score.score(rows, F.col("doc_id") % 5 != 1))
-    _, want = brute_scores([t for i, t in enumerate(texts) if i % 5 != 1], texts)
+    _, want = brute_scores([t for i, t in enumerate(texts) if i % 5 != 1], texts, lm_score.DEPTH)
     assert all(math.isclose(r.score, x, rel_tol=1e-9) for r, x in zip(got, want, strict=True))
 
 
