@@ -5,6 +5,8 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -26,6 +28,17 @@ def scratch_root(spark: SparkSession) -> str:
     return root
 
 
+@contextmanager
+def cleaned(spark: SparkSession) -> Iterator[None]:
+    """The shuffle files of what is run inside go when it ends; a DataFrame that is run again afterwards makes them again."""
+    before = spark.conf.get(_CLEANUP, "false")
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(_CLEANUP, before)
+
+
 class Scratch:
     """Tables of one run of an operator in the shared folder; they cut lineage and survive lost executors.
 
@@ -37,14 +50,11 @@ class Scratch:
         self.made = 0
         atexit.register(self.drop)
 
-    def put(self, df: DataFrame) -> DataFrame:
+    def put(self, df: DataFrame, compression: str = "zstd") -> DataFrame:
         self.made += 1
-        path, before = f"{self.root}/{self.made}", self.spark.conf.get(_CLEANUP, "false")
-        self.spark.conf.set(_CLEANUP, "true")
-        try:
-            df.write.option("compression", "zstd").parquet(path)
-        finally:
-            self.spark.conf.set(_CLEANUP, before)
+        path = f"{self.root}/{self.made}"
+        with cleaned(self.spark):
+            df.write.option("compression", compression).parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         out.scratch_path = path
         return out
