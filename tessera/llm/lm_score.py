@@ -32,6 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.common import MIX, Scratch, kernel, keyed, words_of
+from tessera.storage import cleaned
 
 LEAST, DISCOUNT, GAIN = 2, 0.5, 4.0
 LOT = 1_500_000  # tokens of a block; a longer text is a block of its own
@@ -73,7 +74,7 @@ def _shard(keys: np.ndarray, shards: int) -> np.ndarray:
 
 def _dealt(to: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
     """Each shard with the places that go there, in order."""
-    by = np.argsort(to, kind="stable")
+    by = np.argsort(to.astype(np.uint16) if len(to) and to.max() < 1 << 16 else to, kind="stable")  # 16 bits are sorted by radix
     edges = np.flatnonzero(np.diff(to[by])) + 1
     for part in np.split(by, edges):
         if len(part):
@@ -128,23 +129,42 @@ def _found(keys: np.ndarray, asked: np.ndarray) -> np.ndarray:
 
 def _run_key(first: np.ndarray, last: np.ndarray) -> np.ndarray:
     """The key of a run of words, of the keys of all but its last and all but its first."""
-    h = first * MIX[0] + ((last * MIX[1]) >> np.uint64(29)) + last
-    h = (h ^ (h >> np.uint64(32))) * MIX[2]
-    h = (h ^ (h >> np.uint64(29))) * MIX[3]
-    return h ^ (h >> np.uint64(32))
+    h = last * MIX[1]
+    h >>= np.uint64(29)
+    h += last
+    h += first * MIX[0]
+    for by, mix in ((np.uint64(32), MIX[2]), (np.uint64(29), MIX[3])):
+        h ^= h >> by
+        h *= mix
+    h ^= h >> np.uint64(32)
+    return h
+
+
+def _probe(bits: np.ndarray, slot: np.ndarray) -> np.ndarray:
+    slot &= np.uint32(8 * len(bits) - 1)
+    return ((bits[slot >> np.uint32(3)] >> slot.astype(np.uint8) % np.uint8(8)) & np.uint8(1)).view(bool)
 
 
 def _in(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
-    slot = keys & np.uint64(64 * len(bits) - 1)
-    return (bits[(slot >> np.uint64(6)).astype(np.int64)] >> (slot & np.uint64(63))) & np.uint64(1) != 0
+    return _probe(bits, keys.astype(np.uint32))
+
+
+def _in_both(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """Of a table that has two bits of each key."""
+    hit = _in(bits, keys)
+    at = np.flatnonzero(hit)
+    hit[at] = _probe(bits, (keys[at] >> np.uint64(32)).astype(np.uint32))
+    return hit
 
 
-def _bits(keys: DataFrame, size: int, tables: int = 1) -> list[np.ndarray]:
-    """Tables of `size` bits of the keys in the rows' first arrays, for the table at `to`; their parts are made by tasks of their own."""
+def _bits(keys: DataFrame, size: int, tables: int = 1, both: bool = False) -> list[np.ndarray]:
+    """Tables of `size` bits of the keys in the rows' first arrays, for the table at `to`, one bit or two of each key; their parts are made by tasks of their own."""
     part = size // SLICES
 
     def sent(table: int, data: bytes) -> list[tuple]:
-        slot = np.unique((_unpack(data)[0] & np.uint64(size - 1)).astype(np.int64))
+        k = _unpack(data)[0]
+        slot = (np.concatenate([k, k >> np.uint64(32)]) if both else k) & np.uint64(size - 1)
+        slot = slot.astype(np.int64)
         return [(table * SLICES + to, 0, _pack((slot[own] % part).astype(np.uint32))) for to, own in _dealt(slot // part)]
 
     def made(to: int, rows: list[tuple[int, list[np.ndarray]]]) -> list[tuple]:
@@ -154,25 +174,28 @@ def _bits(keys: DataFrame, size: int, tables: int = 1) -> list[np.ndarray]:
         return [(to, 0, _pack(np.packbits(bits, bitorder="little")))]
 
     out = np.zeros((tables, size // 8), np.uint8)
-    for r in _gathered(_each(keys.select("to", "data"), sent, "to frm data", ROUTED), made, "to frm data", ROUTED).collect():  # SLICES rows a table, `size` bits in all
+    with cleaned(keys.sparkSession):
+        rows = _gathered(_each(keys.select("to", "data"), sent, "to frm data", ROUTED), made, "to frm data", ROUTED).collect()  # SLICES rows a table, `size` bits in all
+    for r in rows:
         at = r.to % SLICES * part // 8
         out[r.to // SLICES, at : at + part // 8] = _unpack(r.data)[0]
-    return list(out.view(np.uint64))
+    return list(out)
 
 
-def _runs(tokens: np.ndarray, place: np.ndarray, known: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+def _runs(words: np.ndarray, ids: np.ndarray, place: np.ndarray, known: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
     """Of each depth: places with a context of so many words, the contexts' keys, the shorter transitions' keys, the shorter contexts' key arrays by place.
 
     known: a table of bits of all runs of words that may matter; a run both of whose parts are there is looked at.
     """
-    runs, held, depth, shorter = tokens, _in(known, tokens), 1, tokens
+    runs, held, depth = words[ids], _in(known, words)[ids], 1
+    shorter = runs
     while True:
         at = np.flatnonzero(held[1:] & held[:-1] & (place[1:] >= depth)) + 1
         context, last = runs[at - 1], runs[at]
         yield at, context, last, shorter
-        shorter, runs, held = runs, np.zeros(len(tokens), np.uint64), np.zeros(len(tokens), bool)
-        runs[at] = _run_key(context, last)
-        held[at] = _in(known, runs[at])
+        shorter, runs, held = runs, np.zeros(len(ids), np.uint64), np.zeros(len(ids), bool)
+        k = runs[at] = _run_key(context, last)
+        held[at] = _in(known, k)
         depth += 1
         if not len(at):
             return
@@ -219,10 +242,10 @@ def _blocks(batches: Iterator[pa.RecordBatch], lot: int) -> Iterator[pa.RecordBa
         yield block()
 
 
-def _trained(docs: bytes, tokens: bytes, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """The training tokens of a block, and each one's place in its text."""
+def _trained(docs: bytes, tokens: bytes, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """A block's words, and the training tokens' numbers of words and places in their texts."""
     (words, ids), sizes = _unpack(tokens), _unpack(docs)[4]
-    return words[ids[:n]], _places(sizes)[:n]
+    return words, ids[:n], _places(sizes)[:n]
 
 
 def _places(sizes: np.ndarray) -> np.ndarray:
@@ -266,14 +289,22 @@ def _grow(blocks: DataFrame, table: DataFrame, hot: np.ndarray, bits: tuple[np.n
 
     def counted(docs: bytes, tokens: bytes, n: int) -> list[tuple]:
         known, live, hot = sent.value
-        for d, (at, c, s, shorter) in enumerate(_runs(*_trained(docs, tokens, n), known), 1):
+        words, ids, place = _trained(docs, tokens, n)
+        for d, (at, c, s, shorter) in enumerate(_runs(words, ids, place, known), 1):
             if d == depth:
                 break
         else:
             return []
-        if depth > 1:  # one of both contexts that are a word shorter is live: for a transition, or for the count of a longer context
-            use = _in(live, shorter[at - 1]) | _in(live, shorter[at])
-            c, s = c[use], s[use]
+        if depth == 1:  # numbers of words sort faster than their keys
+            pair = np.sort(ids[at - 1].astype(np.int64) << 32 | ids[at])
+            first = np.flatnonzero(np.append(True, pair[1:] != pair[:-1])) if len(pair) else np.empty(0, np.int64)
+            n = np.diff(np.append(first, len(pair))).astype(np.uint32)
+            c, s = words[pair[first] >> 32], words[pair[first] & 0xFFFFFFFF]
+            to = _shard(np.where(_in(hot, c), _run_key(c, s), c), shards)
+            return [(t, 0, _pack(c[own], s[own], n[own])) for t, own in _dealt(to)]
+        # one of both contexts that are a word shorter is live: for a transition, or for the count of a longer context
+        use = _in(live, shorter[at - 1]) | _in(live, shorter[at])
+        c, s = c[use], s[use]
         by = np.lexsort((s, c))
         c, s = c[by], s[by]
         first = np.flatnonzero(np.append(True, (c[1:] != c[:-1]) | (s[1:] != s[:-1]))) if len(c) else np.empty(0, np.int64)
@@ -290,7 +321,7 @@ def _grow(blocks: DataFrame, table: DataFrame, hot: np.ndarray, bits: tuple[np.n
         use = n >= LEAST
         return [(to, _pack(c[first][use], s[first][use], n[use]), int(use.sum()), 0)] if use.any() else []
 
-    moves = scratch.put(_gathered(_each(blocks.select("docs", "tokens", "n"), counted, "to frm data", ROUTED), summed))
+    moves = scratch.put(_gathered(_each(blocks.select("docs", "tokens", "n"), counted, "to frm data", ROUTED), summed), "none")
     sent.destroy()
 
     def asked(shard: int, data: bytes) -> list[tuple]:
@@ -330,12 +361,12 @@ def _grow(blocks: DataFrame, table: DataFrame, hot: np.ndarray, bits: tuple[np.n
 
     asks = _each(moves.select("shard", "data"), asked, "to frm data", ROUTED)
     answers = _met(table, "shard", asks, answered, ROUTED)
-    found = scratch.put(_met(moves, "shard", answers, resolved, TABLE))
+    found = scratch.put(_met(moves, "shard", answers, resolved, TABLE), "none")
     scratch.drop(moves)
     waiting = found.filter("shard = 1").select("data")
     if waiting.isEmpty():
         return found
-    return scratch.put(found.filter("shard = 0").unionByName(_of_hot(waiting)))
+    return scratch.put(found.filter("shard = 0").unionByName(_of_hot(waiting)), "none")
 
 
 def _decided(c: np.ndarray, s: np.ndarray, n: np.ndarray, total: np.ndarray, q: np.ndarray) -> list[np.ndarray]:
@@ -409,7 +440,7 @@ class Tree:
 
     def __init__(self, blocks: DataFrame, scratch: Scratch, depth: int | None):
         self.shards = shards = max(1, (blocks.agg(F.sum("n")).first()[0] or 0) // SHARD)
-        words = scratch.put(_gathered(_each(blocks.select("docs", "tokens", "n"), lambda docs, tokens, n: _word_counts(docs, tokens, n, shards), "to frm data", ROUTED), _word_table))
+        words = scratch.put(_gathered(_each(blocks.select("docs", "tokens", "n"), lambda docs, tokens, n: _word_counts(docs, tokens, n, shards), "to frm data", ROUTED), _word_table), "none")
         total = words.agg(F.coalesce(F.sum("total"), F.lit(0)), F.coalesce(F.sum("size"), F.lit(0))).first()
         self.tokens, self.distinct, self.depth = total[0], total[1], 0
         n_all, kinds, limit = self.tokens, self.distinct, HOT
@@ -420,30 +451,30 @@ class Tree:
             return [(to, _pack(k[use], n[use], np.log10((n[use] + 0.5) / (n_all + 0.5 * (kinds + 1))), np.ones(use.sum(), bool)), int(use.sum()), int(n.max(initial=0)))]
 
         size = max(1 << 14, min(BITS, 1 << (2 * n_all).bit_length()))
-        table = scratch.put(_each(words.select("shard", "data"), often, "shard data size total", TABLE))
-        known, live = _bits(_part(table, 0), size)[0], np.zeros(size >> 6, np.uint64)
+        table = scratch.put(_each(words.select("shard", "data"), often, "shard data size total", TABLE), "none")
+        known, live = _bits(_part(table, 0), size)[0], np.zeros(size >> 3, np.uint8)
         values = [_each(words.select("shard", "data"), lambda to, data: [(to, 0, data)], "to frm data", ROUTED)]
         while depth is None or self.depth < depth:
             heaviest = table.agg(F.max("total")).first()[0] or 0
-            hot = _bits(_each(table.select("data"), lambda data: _heavy(data, limit), "to frm data", ROUTED), HOT_BITS)[0] if heaviest > limit else np.zeros(16, np.uint64)
+            hot = _bits(_each(table.select("data"), lambda data: _heavy(data, limit), "to frm data", ROUTED), HOT_BITS)[0] if heaviest > limit else np.zeros(16, np.uint8)
             found = _grow(blocks, table, hot, (known, live), self.depth + 1, shards, scratch)
             scratch.drop(table)
             if not (found.agg(F.sum("size")).first()[0] or 0):
                 scratch.drop(found)
                 break
             self.depth += 1
-            values.append(scratch.put(_values(found, shards)))
+            values.append(scratch.put(_values(found, shards), "none"))
             if self.depth != depth:
-                table = scratch.put(_table(found, shards))
+                table = scratch.put(_table(found, shards), "none")
                 new = _bits(_part(found, 0, 8), size, 2)
                 known, live = known | new[0], live | new[1]
             scratch.drop(found)
         merged = values[0]
         for v in values[1:]:
             merged = merged.unionByName(v)
-        self.known, self.table = known, scratch.put(_gathered(merged, _value_table))
+        self.table = scratch.put(_gathered(merged, _value_table), "none")
         scratch.drop(words, *values[1:])
-        self.own = _bits(_each(self.table.select("data"), _runs_only, "to frm data", ROUTED), size)[0]
+        self.own = _bits(_each(self.table.select("data"), _runs_only, "to frm data", ROUTED), size, both=True)[0]
 
 
 def _heavy(data: bytes, limit: int) -> list[tuple]:
@@ -481,15 +512,16 @@ def _runs_only(data: bytes) -> list[tuple]:
 
 # --- scores -----------------------------------------------------------------
 
-def _wanted(tokens: np.ndarray, place: np.ndarray, known: np.ndarray, own: np.ndarray, depth: int) -> tuple[np.ndarray, list[tuple[np.ndarray, np.ndarray]]]:
+def _wanted(words: np.ndarray, ids: np.ndarray, place: np.ndarray, own: np.ndarray, depth: int) -> tuple[np.ndarray, list[tuple[np.ndarray, np.ndarray]]]:
     """The distinct keys of a block's runs that the tree may have, and of each depth the places with runs and the runs' keys."""
-    levels, keys = [], []
-    for _, (at, c, s, _) in zip(range(depth), _runs(tokens, place, known), strict=False):
-        k = _run_key(c, s)
-        use = _in(own, k)
-        levels.append((at[use], k[use]))
-        keys.append(k[use])
-    return np.unique(np.concatenate([np.empty(0, np.uint64), *keys])), levels
+    levels, runs = [], words[ids]
+    for d in range(1, depth + 1):
+        k = np.zeros(len(ids), np.uint64)
+        k[1:] = _run_key(runs[:-1], runs[1:])
+        at = np.flatnonzero(_in_both(own, k) & (place >= d))
+        levels.append((at, k[at]))
+        runs = k
+    return np.unique(np.concatenate([np.empty(0, np.uint64), *(k for _, k in levels)])), levels
 
 
 SCORES = "_k long, doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
@@ -507,14 +539,14 @@ def score(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str
     spark, scratch = docs.sparkSession, Scratch(docs.sparkSession)
     source = keyed(docs, id_col, text_col).withColumn("held_out", ~F.coalesce(train, F.lit(True)))
     lot = LOT  # what closures hold goes to the workers
-    blocks = scratch.put(kernel(source.select("_k", "doc_id", "text", "held_out"), lambda batches: _blocks(batches, lot), BLOCKS))
+    blocks = scratch.put(kernel(source.select("_k", "doc_id", "text", "held_out"), lambda batches: _blocks(batches, lot), BLOCKS), "none")
     tree = Tree(blocks, scratch, depth)
-    sent, shards, depth = spark.sparkContext.broadcast((tree.known, tree.own)), tree.shards, tree.depth
+    sent, shards, depth = spark.sparkContext.broadcast(tree.own), tree.shards, tree.depth
     of_all, distinct = tree.tokens, tree.distinct
 
     def asked(block: int, docs: bytes, tokens: bytes) -> list[tuple]:
         words, ids = _unpack(tokens)
-        runs, _ = _wanted(words[ids], _places(_unpack(docs)[4]), *sent.value, depth)
+        runs, _ = _wanted(words, ids, _places(_unpack(docs)[4]), sent.value, depth)
         wanted = {to: [words[own], runs[:0]] for to, own in _dealt(_shard(words, shards))}
         for to, own in _dealt(_shard(runs, shards)):
             wanted.setdefault(to, [words[:0], runs[:0]])[1] = runs[own]
@@ -533,7 +565,7 @@ def score(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str
         k, doc, null, held, sizes = _unpack(rows[0]["docs"])
         words, ids = _unpack(rows[0]["tokens"])
         place = _places(sizes)
-        runs, levels = _wanted(words[ids], place, *sent.value, depth)
+        runs, levels = _wanted(words, ids, place, sent.value, depth)
         count, word_left = np.zeros(len(words), np.int64), np.full(len(words), np.nan)
         p, left = np.full(len(runs), np.nan), np.full(len(runs), np.nan)
         by_word, by_run = dict(_dealt(_shard(words, shards))), dict(_dealt(_shard(runs, shards)))
@@ -562,7 +594,7 @@ def score(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str
         columns = [pa.array(k), pa.array(doc, mask=null.astype(bool)), pa.array(held.astype(bool)), pa.array(sizes), pa.array(total((known > 0).astype(np.int64))), pa.array(np.full(len(k), of_all, np.int64)), pa.array(total(base)), pa.array(total(full))]
         return pa.table(dict(zip([x.split()[0] for x in SCORES.split(", ")], columns, strict=True)))
 
-    answers = scratch.put(_met(tree.table, "shard", _each(blocks.select("block", "docs", "tokens"), asked, "to frm data", ROUTED), answered, ROUTED))
+    answers = scratch.put(_met(tree.table, "shard", _each(blocks.select("block", "docs", "tokens"), asked, "to frm data", ROUTED), answered, ROUTED), "none")
     scratch.drop(tree.table)
     return _met(blocks, "block", answers, scored, SCORES)
 
