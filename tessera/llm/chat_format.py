@@ -6,6 +6,7 @@ sums never overflow). A conversation goes if another one has a longer sequence o
 or the same turns and a smaller id: two anti-joins, against the distinct proper prefixes and against the first of each
 distinct whole. Turns are ranked and summed in blocks of 1024 turn numbers, with the blocks' own sums carried over, so
 a conversation with very many turns isn't ordered in one task; distinct prefixes are combined before they are shuffled.
+What is rendered are parts of BLOCK turns, by rank, so that no row holds more of them.
 """
 
 from __future__ import annotations
@@ -35,7 +36,7 @@ def _turns(rows: DataFrame, conv_col: str, turn_col: str, role_col: str, text_co
 
 
 def maximal_conversations(rows: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:
-    """(conv_id, turn, role, text, block, i) of the turns of the conversations that no other one extends or repeats.
+    """(conv_id, turn, role, text, i) of the turns of the conversations that no other one extends or repeats.
 
     Turns come in the order of turn, role and text (null first); repeated rows count once. Nulls in role and text are
     content like other values; rows without conv_id belong to no conversation and go. Of conversations with the same
@@ -57,27 +58,27 @@ def maximal_conversations(rows: DataFrame, conv_col: str = "conv_id", turn_col:
     proper = prefixes.join(whole.select("conv_id", "n"), "conv_id").filter("i < n").select(F.col("i").alias("n"), *names).distinct()
     first = whole.groupBy("n", *names).agg(F.min("conv_id").alias("conv_id"))
     kept = first.join(proper, ["n", *names], "left_anti").select("conv_id")
-    return d.drop("before").join(kept, "conv_id", "left_semi").select("conv_id", "turn", "role", "text", "block", "i")
+    return d.drop("before").join(kept, "conv_id", "left_semi").select("conv_id", "turn", "role", "text", "i")
 
 
 def render(turns: DataFrame) -> DataFrame:
-    """(conv_id, part, n_turns, rendered): the turns of maximal_conversations as chat text, one row for each conversation, or for each block of a very long one (part counts from 0), so that rows stay bounded."""
+    """(conv_id, part, n_turns, rendered): the turns of maximal_conversations as chat text, in parts (from 0) of BLOCK turns, the last as long as what is left."""
     line = F.concat(F.lit(START), F.coalesce("role", F.lit(UNKNOWN)), F.lit("\n"), F.coalesce("text", F.lit("")), F.lit(END + "\n"))
-    parts = turns.select("conv_id", "block", F.struct("i", line.alias("line")).alias("x")).groupBy("conv_id", "block").agg(F.count("*").alias("n_turns"), F.array_join(F.transform(F.array_sort(F.collect_list("x")), lambda x: x["line"]), "").alias("rendered"))
-    part = F.row_number().over(Window.partitionBy("conv_id").orderBy("block")) - 1
-    return parts.select("conv_id", part.cast("long").alias("part"), "n_turns", "rendered")
+    rows = turns.select("conv_id", F.expr(f"(i - 1) div {BLOCK}").alias("part"), F.struct("i", line.alias("line")).alias("x"))
+    return rows.groupBy("conv_id", "part").agg(F.count("*").alias("n_turns"), F.array_join(F.transform(F.array_sort(F.collect_list("x")), lambda x: x["line"]), "").alias("rendered"))
 
 
 def format_chats(rows: DataFrame, **columns: str) -> DataFrame:
     return render(maximal_conversations(rows, **columns))
 
 
-#: DuckDB; conversations of fewer than BLOCK turn numbers, as in the synthetic tables.
+#: DuckDB.
 ORACLE = f"""
-WITH t AS (SELECT DISTINCT conv_id, turn, role, text FROM conversations WHERE conv_id IS NOT NULL),
-c AS (SELECT conv_id, count(*) AS n, string_agg(md5(coalesce(role, '<null>') || chr(1) || coalesce(text, '<null>')), '' ORDER BY turn, role, text) AS d,
-  string_agg('{START}' || coalesce(role, '{UNKNOWN}') || chr(10) || coalesce(text, '') || '{END}' || chr(10), '' ORDER BY turn, role, text) AS rendered FROM t GROUP BY conv_id),
-p AS (SELECT DISTINCT substr(d, 1, 32 * i) AS d FROM (SELECT d, unnest(range(1, n)) AS i FROM c))
-SELECT min(conv_id) AS conv_id, CAST(0 AS BIGINT) AS part, CAST(min(n) AS BIGINT) AS n_turns, min(rendered) AS rendered
-FROM c WHERE d NOT IN (SELECT d FROM p) GROUP BY d
+WITH t AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST) AS i FROM (SELECT DISTINCT conv_id, turn, role, text FROM conversations WHERE conv_id IS NOT NULL)),
+c AS (SELECT conv_id, count(*) AS n, string_agg(md5(coalesce('r' || role, '') || chr(1) || coalesce('t' || text, '')), '' ORDER BY i) AS d FROM t GROUP BY conv_id),
+p AS (SELECT DISTINCT substr(d, 1, 32 * i) AS d FROM (SELECT d, unnest(range(1, n)) AS i FROM c)),
+k AS (SELECT min(conv_id) AS conv_id FROM c WHERE d NOT IN (SELECT d FROM p) GROUP BY d)
+SELECT t.conv_id, CAST((i - 1) // {BLOCK} AS BIGINT) AS part, CAST(count(*) AS BIGINT) AS n_turns,
+  string_agg('{START}' || coalesce(role, '{UNKNOWN}') || chr(10) || coalesce(text, '') || '{END}' || chr(10), '' ORDER BY i) AS rendered
+FROM t JOIN k USING (conv_id) GROUP BY ALL
 """
