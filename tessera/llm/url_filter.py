@@ -5,8 +5,8 @@ the accepted and rejected examples of two smoothed variable-order Markov models
 is scored by the difference of the models' log-likelihoods, divided by its length, and blocked below a threshold that
 is calibrated on examples which the models haven't seen.
 
-The models are fitted on at most SAMPLE examples of each kind (the least hashes of the URL), so what is broadcast is
-bounded; every URL is scored, whole.
+The models are fitted on at most SAMPLE whole examples of each kind (the least hashes of the URL) that have SAMPLE_CHARS
+characters in all, so what is broadcast is bounded; every URL is scored, whole.
 """
 
 from __future__ import annotations
@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 #: (verdict, host, path)
 RULES = [("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/")]
-SAMPLE, ORDER, LONGEST = 10_000, 5, 2_000  # examples of each kind, characters of context, characters of an example
+SAMPLE, SAMPLE_CHARS, ORDER = 10_000, 2_000_000, 5  # examples of each kind and their characters, characters of context
 
 
 def _lower_ascii(c: Column) -> Column:
@@ -104,6 +104,18 @@ class UrlRatio:
         return (self.good.log_likelihood(url) - self.bad.log_likelihood(url)) / (len(url) + 1)
 
 
+def _examples(urls: DataFrame, sample: int) -> list[str]:
+    """The URLs of the least hashes, as long as they fit the budget of characters; the first always."""
+    sizes = urls.select("h", F.length("u").alias("n")).orderBy("h").limit(sample).collect()
+    total, last = 0, None
+    for r in sizes:
+        total += r.n
+        if last is not None and total > SAMPLE_CHARS:
+            break
+        last = r.h
+    return [] if last is None else [r.u for r in urls.filter(F.col("h") <= last).orderBy("h", "u").limit(sample).collect()]
+
+
 def filter_urls(pages: DataFrame, url_col: str = "url", rules: list[tuple[str, str, str]] = RULES, sample: int = SAMPLE) -> DataFrame:
     """pages with url_host, url_path, url_rule, url_verdict (allow or block) and url_score (null where a rule decides).
 
@@ -114,8 +126,8 @@ def filter_urls(pages: DataFrame, url_col: str = "url", rules: list[tuple[str, s
     host, path = url_parts(F.col(url_col))
     name, verdict = rule_columns(F.col("url_host"), F.col("url_path"), rules)
     d = pages.withColumn("url_host", host).withColumn("url_path", path).withColumn("url_rule", name).withColumn("url_verdict", verdict)
-    seen = d.filter(f"url_verdict is not null and length({url_col}) <= {LONGEST}").select(F.col(url_col).alias("u"), "url_verdict").distinct()
-    kinds = {k: [r.u for r in seen.filter(F.col("url_verdict") == k).orderBy(F.xxhash64("u"), "u").limit(sample).collect()] for k in ("allow", "block")}
+    seen = d.filter("url_verdict is not null").select(F.col(url_col).alias("u"), "url_verdict").distinct().withColumn("h", F.xxhash64("u"))
+    kinds = {k: _examples(seen.filter(F.col("url_verdict") == k), sample) for k in ("allow", "block")}
     if not all(kinds.values()):
         return d.withColumn("url_score", F.lit(None).cast("double")).withColumn("url_verdict", F.coalesce("url_verdict", F.lit("allow")))
     model = d.sparkSession.sparkContext.broadcast(UrlRatio(kinds["allow"], kinds["block"]))
