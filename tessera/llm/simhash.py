@@ -25,6 +25,7 @@ from tessera.llm.common import Scratch, keyed
 
 RUN, RADIUS, STRETCH = 5, 3, 65_535
 ROWS_PER_BUCKET = 4_096
+RANGES = 20_000  # of ids from quantiles, and first rows of ranges that the driver pairs; beyond, ranges are divided and paired in steps
 _LANES = 0x0001000100010001
 _BLOCKS = [(0, 11), (11, 11), (22, 11), (33, 11), (44, 10), (54, 10)]  # first bit, bits
 _TABLES = [sum(((1 << n) - 1) << at for at, n in chosen) for chosen in combinations(_BLOCKS, len(_BLOCKS) - RADIUS)]
@@ -70,7 +71,7 @@ def within_radius(queries: DataFrame, all_rows: DataFrame) -> DataFrame:
         first = F.when(x.bitwiseAND(F.lit(_signed(m))) == 0, F.lit(i)).otherwise(first)
     q, a = q.alias("q"), a.alias("a")
     on = (F.col("q.table") == F.col("a.table")) & (F.col("q.key") == F.col("a.key")) & (F.bit_count(x) <= RADIUS) & (first == F.col("q.table"))
-    return q.join(a, on).select("fingerprint", "other", F.bit_count(x).alias("distance"))
+    return q.join(a.hint("merge"), on).select("fingerprint", "other", F.bit_count(x).alias("distance"))
 
 
 def _cuts_below(x: Column, cuts: list[int], low: int, high: int) -> Column:
@@ -85,6 +86,27 @@ def _cuts_below(x: Column, cuts: list[int], low: int, high: int) -> Column:
     return start + F.size(F.filter(F.slice(F.lit(cuts), start + 1, stop - start), lambda c: c < x))
 
 
+def _bucket(x: Column, cuts: list[int], low: int, high: int, parts: int) -> Column:
+    """The number of x's range between cuts, each divided into equal parts."""
+    at = _cuts_below(x, cuts, low, high)
+    if parts == 1:
+        return at.cast("long")
+    first, last = (F.get(F.lit(ends).cast("array<bigint>"), at.cast("int")).cast("double") for ends in ([low, *cuts], [*cuts, high]))
+    part = F.floor((x.cast("double") - first) * parts / (last - first + 1))
+    return at.cast("long") * parts + F.least(F.greatest(part, F.lit(0)), F.lit(parts - 1))
+
+
+def _next_heads(heads: DataFrame, count: int) -> DataFrame:
+    """(bucket, head) of the row that follows each bucket: the first of the next bucket that has rows, after the last that of the first. Many buckets are paired within groups of them, and the groups likewise."""
+    if count <= RANGES:
+        firsts = sorted((r.bucket, r.head) for r in heads.collect())  # RANGES rows at most
+        return heads.sparkSession.createDataFrame(pa.table({"bucket": pa.array([b for b, _ in firsts], pa.int64()), "head": pa.array([k for _, k in firsts[1:] + firsts[:1]], pa.int64())}))
+    d = heads.withColumn("group", F.expr(f"bucket div {ROWS_PER_BUCKET}"))
+    groups = _next_heads(d.groupBy(F.col("group").alias("bucket")).agg(F.min("head").alias("head")), -(-count // ROWS_PER_BUCKET)).select(F.col("bucket").alias("group"), F.col("head").alias("then"))
+    following = F.lead("head").over(Window.partitionBy("group").orderBy("bucket"))
+    return d.withColumn("next", following).join(groups, "group").select("bucket", F.coalesce("next", "then").alias("head"))
+
+
 def with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(_k, doc_id, text, next_k, edited) of each row: edited is the text with its last quarter (rounded down) of characters replaced by the first as many of the next row's text, in the order of ids; the first row follows the last.
 
@@ -92,17 +114,17 @@ def with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     """
     source = keyed(docs, id_col, text_col).withColumn("text", F.coalesce("text", F.lit("")))
     rows, low, high = source.agg(F.count("*"), F.min("_k"), F.max("_k")).first()
-    n = max(1, min(20_000, -(-rows // ROWS_PER_BUCKET)))
+    wanted = max(1, -(-rows // ROWS_PER_BUCKET))
+    n = min(RANGES, wanted)
     cuts = source.agg(F.percentile_approx("_k", [i / n for i in range(1, n)], 100_000)).first()[0] if n > 1 else []
-    bucket = _cuts_below(F.col("_k"), sorted(set(cuts)), low, high)
-    d = source.withColumn("bucket", bucket.cast("int"))
+    bucket = _bucket(F.col("_k"), sorted(set(cuts)), low, high, -(-wanted // n))
+    d = source.withColumn("bucket", bucket)
     w = Window.partitionBy("bucket").orderBy("_k")
     d = d.withColumn("next_k", F.lead("_k").over(w)).withColumn("next_text", F.lead("text").over(w))
-    heads = source.withColumn("bucket", bucket.cast("int")).groupBy("bucket").agg(F.min("_k").alias("head"))
-    firsts = [(r.bucket, r.head) for r in heads.orderBy("bucket").collect()]  # one row a range
-    after = docs.sparkSession.createDataFrame(pa.table({"bucket": pa.array([b for b, _ in firsts], pa.int32()), "head": pa.array([k for _, k in firsts[1:] + firsts[:1]], pa.int64())}))
-    first_texts = source.select(F.col("_k").alias("head"), F.col("text").alias("head_text")).join(F.broadcast(after), "head")
-    d = d.join(first_texts, "bucket", "left")
+    heads = source.withColumn("bucket", bucket).groupBy("bucket").agg(F.min("_k").alias("head"))
+    after = _next_heads(heads, wanted)
+    first_texts = source.select(F.col("_k").alias("head"), F.col("text").alias("head_text")).join(F.broadcast(after) if wanted <= RANGES else after.hint("merge"), "head")
+    d = d.join(first_texts.hint("merge"), "bucket", "left")
     d = d.withColumn("next_text", F.coalesce("next_text", "head_text")).withColumn("next_k", F.coalesce("next_k", "head"))
     quarter = F.expr("char_length(text) div 4").cast("int")
     edited = F.concat(F.expr("left(text, cast(char_length(text) - char_length(text) div 4 as int))"), F.when(quarter > 0, F.substring("next_text", F.lit(1), quarter)).otherwise(F.lit("")))
@@ -126,7 +148,7 @@ def document_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str
     following = own.select(F.col("_k").alias("next_k"), F.col("f").alias("nf"))
     like = lambda a, b: 1 - distance(F.col(a), F.col(b)) / F.lit(64.0)
     text = lambda c: F.lower(F.lpad(F.hex(c), 16, "0"))
-    return own.join(other, "_k").join(following, "next_k").select("_k", "doc_id", "n_chars", F.col("sha").alias("edited_sha256"), F.col("f").alias("bits"), text("f").alias("fingerprint"), text("e").alias("edited_fingerprint"), like("f", "e").alias("near_edited"), like("f", "nf").alias("near_next"))
+    return own.join(other.hint("merge"), "_k").join(following.hint("merge"), "next_k").select("_k", "doc_id", "n_chars", F.col("sha").alias("edited_sha256"), F.col("f").alias("bits"), text("f").alias("fingerprint"), text("e").alias("edited_fingerprint"), like("f", "e").alias("near_edited"), like("f", "nf").alias("near_next"))
 
 
 def neighbour_counts(prints: DataFrame, every: int = 50) -> DataFrame:
@@ -134,5 +156,5 @@ def neighbour_counts(prints: DataFrame, every: int = 50) -> DataFrame:
     asked = F.col("doc_id") % every == 0
     pairs = within_radius(prints.filter(asked).select(F.col("bits").alias("fingerprint")), prints.select(F.col("bits").alias("fingerprint")))
     rows = prints.groupBy(F.col("bits").alias("other")).agg(F.count("*").alias("n"))
-    near = pairs.join(rows, "other").groupBy(F.col("fingerprint").alias("near_bits")).agg(F.sum("n").alias("near"))
-    return prints.join(near, prints.bits == near.near_bits, "left").withColumn("n_near", F.when(asked, F.col("near"))).drop("near", "near_bits", "bits", "_k")
+    near = pairs.join(rows.hint("merge"), "other").groupBy(F.col("fingerprint").alias("near_bits")).agg(F.sum("n").alias("near"))
+    return prints.join(near.hint("merge"), prints.bits == near.near_bits, "left").withColumn("n_near", F.when(asked, F.col("near"))).drop("near", "near_bits", "bits", "_k")

@@ -3,8 +3,10 @@
 import hashlib
 import math
 import random
+import re
 import zlib
 from collections import Counter
+from functools import reduce
 
 import numpy as np
 import pytest
@@ -151,6 +153,14 @@ def test_chat_format(spark):
     assert chat_format.format_chats(df.limit(0)).count() == 0
 
 
+def brute_fingerprint(text):
+    """Votes of the signed bits of each term's hash, one at a time."""
+    chain = lambda values: reduce(lambda h, v: xxhash.xxh64_intdigest(v, h), values, 42)
+    words = [chain([w]) for w in re.split("[ \\t-\\r]+", text.lower()) if w for w in [w.encode()]]
+    terms = [chain([w.to_bytes(8, "little") for w in words[i : i + 5]]) for i in range(len(words) - 4)] if len(words) >= 5 else words
+    return sum(1 << b for b in range(64) if sum(1 if t >> b & 1 else -1 for t in terms) > 0)
+
+
 def test_simhash(docs):
     rows = keyed_rows(simhash.document_fingerprints(docs))
     source = ordered(docs)
@@ -162,11 +172,22 @@ def test_simhash(docs):
         assert (r.doc_id, r.n_chars, r.edited_sha256) == (d, len(t), hashlib.sha256((t[: len(t) - q] + nxt[:q]).encode()).hexdigest())
         assert r.near_edited == near(r.fingerprint, r.edited_fingerprint) and r.near_next == near(r.fingerprint, rows[(i + 1) % len(rows)].fingerprint)
         assert prints.setdefault(t, r.fingerprint) == r.fingerprint
+        assert int(r.fingerprint, 16) == brute_fingerprint(t) and int(r.edited_fingerprint, 16) == brute_fingerprint(t[: len(t) - q] + nxt[:q])
     assert simhash.document_fingerprints(docs.limit(0)).count() == 0
 
 
-def test_ranges_of_ids(spark, monkeypatch):
+def test_neighbour_counts(docs):
+    prints = simhash.document_fingerprints(docs)
+    bits = [int(r.fingerprint, 16) for r in prints.collect()]
+    for r in simhash.neighbour_counts(prints, every=2).collect():
+        want = sum((int(r.fingerprint, 16) ^ b).bit_count() <= simhash.RADIUS for b in bits)
+        assert r.n_near == (want if r.doc_id is not None and r.doc_id % 2 == 0 else None)
+
+
+@pytest.mark.parametrize("ranges", [20_000, 10])
+def test_ranges_of_ids(spark, monkeypatch, ranges):
     monkeypatch.setattr(simhash, "ROWS_PER_BUCKET", 3)
+    monkeypatch.setattr(simhash, "RANGES", ranges)
     ids = sorted({random.Random(2).choice([i, i * i, 10**12 + i]) for i in range(250)})
     d = spark.createDataFrame([(i, f"{i:014d}" * 2) for i in ids], "doc_id long, text string")
     got = {r.doc_id: (r.next_k, r.edited) for r in simhash.with_next(d).collect()}
