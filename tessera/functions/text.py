@@ -129,9 +129,16 @@ def char_wb_ngrams(c: Column, sizes: tuple[int, ...] = DEFAULTS.grams) -> Column
     return F.flatten(F.transform(tokens(c), of))
 
 
+def digest(c: Column) -> Column:
+    """SHA-1 of the text in UTF-8, null as the empty text."""
+    return F.sha1(F.encode(safe(c), "UTF-8"))
+
+
 def formatted_number(c: Column) -> Column:
+    """With commas between thousands."""
     return F.format_number(c, 0)
 
 
 def formatted_percent(c: Column) -> Column:
+    """With two decimals and a percent sign."""
     return F.concat(F.format_string("%.2f", c.cast("double")), F.lit("%"))

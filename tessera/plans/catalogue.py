@@ -13,6 +13,8 @@ from tessera.functions import text as tx
 from tessera.operators import blocking, metrics, pairs, profiling, training
 from tessera.plans import fixtures, workflow
 from tessera.settings import DEFAULTS, LEGAL_SUFFIXES
+from tessera.sources import tsv
+from tessera.storage import Scratch
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -172,12 +174,19 @@ def candidates_all_sources(spark, d):
 
 # --- similarities and features ----------------------------------------------
 
-def _attributes(spark: SparkSession, d: str) -> DataFrame:
+def _pair_ids(spark: SparkSession, d: str) -> DataFrame:
+    """The scored pairs, and the same with ids of the third directory, some of which it doesn't have."""
     p = fixtures.scored(spark, d).select("source1_entity_id", "candidate_entity_id")
-    return pairs.with_attributes(p, norm(spark, d, "d1"), norm(spark, d, "d2"), None)
+    return p.unionByName(p.withColumn("candidate_entity_id", F.concat(F.lit("S3"), F.substring("candidate_entity_id", 3, 99))))
+
+
+def _attributes(spark: SparkSession, d: str) -> DataFrame:
+    return pairs.with_attributes(_pair_ids(spark, d), *[norm(spark, d, n) for n in ("d1", "d2", "d3")])
 
 
-_PAIRS = ", p AS (SELECT s.source1_entity_id, s.candidate_entity_id, a.name_norm n1, b.name_norm n2, a.address_norm a1, b.address_norm a2, a.country_norm c1, b.country_norm c2 FROM scored s JOIN n1 a ON a.entity_id=s.source1_entity_id JOIN n2 b ON b.entity_id=s.candidate_entity_id)"
+_PAIRS = """, q AS (SELECT source1_entity_id, candidate_entity_id FROM scored UNION ALL SELECT source1_entity_id, 'S3'||substr(candidate_entity_id,3) FROM scored),
+p AS (SELECT s.source1_entity_id, s.candidate_entity_id, a.name_norm n1, coalesce(b.name_norm,'') n2, a.address_norm a1, coalesce(b.address_norm,'') a2, a.country_norm c1, coalesce(b.country_norm,'') c2
+ FROM q s JOIN n1 a ON a.entity_id=s.source1_entity_id LEFT JOIN (SELECT * FROM n2 UNION ALL SELECT * FROM n3) b ON b.entity_id=s.candidate_entity_id)"""
 _IDS = "source1_entity_id, candidate_entity_id"
 _tok = lambda c: f"list_distinct(list_filter(string_split({c},' '), lambda x: x<>''))"
 _run = lambda c: f"list_distinct(regexp_extract_all({c},'[0-9]+'))"
@@ -209,12 +218,31 @@ _measure("numeric_jaccard", lambda: sim.jaccard(tx.digit_runs(F.col("a1")), tx.d
 _measure("length_diff", lambda: sim.length_diff(F.col("n1"), F.col("n2")), _len("n1", "n2"))
 
 
-@query()
+def _ratio(x: str, y: str) -> str:
+    """2 * LCS / total length: a row of the table of common subsequences is the bits of one integer, folded over y; texts of under 120 characters."""
+    full = f"((1::HUGEINT << len({x}))-1)"
+    mask = f"coalesce(list_sum(list_transform(range(len({x})), lambda i: CASE WHEN substr({x},i+1,1)=ch THEN 1::HUGEINT << i ELSE 0::HUGEINT END)),0)::HUGEINT"
+    masks = f"list_transform(string_split({y},''), lambda ch: {mask})"
+    fold = f"list_reduce(list_prepend({full},{masks}), lambda v, m: ((v+(v & m)) | (v-(v & m))) & {full})"
+    return f"CASE WHEN {x}='' OR {y}='' THEN 0.0::DOUBLE WHEN {x}={y} THEN 1.0::DOUBLE ELSE 2.0::DOUBLE*(len({x})-bit_count({fold}))/(len({x})+len({y})) END"
+
+
+_join = lambda x: f"array_to_string(list_sort({x}),' ')"
+_words = lambda c: f"list_filter(string_split({c},' '), lambda x: x<>'')"
+_minus = lambda x, y: f"list_filter({x}, lambda e: NOT list_contains({y}, e))"
+_common = f"{_join(f'list_intersect({_tok('n1')},{_tok('n2')})')}"
+#: CTE z: of each pair of the sets' texts, the similarities of names; CTE y: of addresses.
+_CHARS = f"""{_PAIRS}, z0 AS (SELECT DISTINCT n1, n2, {_join(_words('n1'))} AS s1, {_join(_words('n2'))} AS s2, trim({_common}||' '||{_join(_minus(_tok('n1'), _tok('n2')))}) AS t1, trim({_common}||' '||{_join(_minus(_tok('n2'), _tok('n1')))}) AS t2 FROM p),
+z AS (SELECT n1, n2, {_ratio('n1', 'n2')} AS indel, {_ratio('s1', 's2')} AS token_sort, CASE WHEN n1='' OR n2='' THEN 0.0::DOUBLE ELSE {_ratio('t1', 't2')} END AS token_set FROM z0),
+y AS (SELECT a1, a2, {_ratio('a1', 'a2')} AS address FROM (SELECT DISTINCT a1, a2 FROM p))"""
+
+
+@query(f"{_CHARS} SELECT {_IDS}, round(indel,6) AS indel, round(token_sort,6) AS token_sort, round(token_set,6) AS token_set FROM p JOIN z USING (n1, n2)")
 def char_similarity(spark, d):
     return _attributes(spark, d).select("source1_entity_id", "candidate_entity_id", F.round(sim.char_sim(F.col("n1"), F.col("n2")), 6).alias("indel"), F.round(sim.token_sort_sim(F.col("n1"), F.col("n2")), 6).alias("token_sort"), F.round(sim.token_set_sim(F.col("n1"), F.col("n2")), 6).alias("token_set"))
 
 
-def _native_sql() -> str:
+def _native_sql() -> dict[str, str]:
     names, addresses, countries = "(n1<>'' AND n2<>'')", "(a1<>'' AND a2<>'')", "(c1<>'' AND c2<>'')"
     flag = lambda c: f"CASE WHEN {c} THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END"
     on = lambda both, v, other="0.0::DOUBLE": f"CASE WHEN {both} THEN {v} ELSE {other} END"
@@ -231,19 +259,28 @@ def _native_sql() -> str:
         "house_number_both_present": flag(both(house)), "house_number_match": flag(f"{both(house)} AND {house('a1')}={house('a2')}"),
         "country_missing_s1": flag("c1=''"), "country_missing_cand": flag("c2=''"), "country_match": flag(f"{countries} AND c1=c2"),
     }
-    return f"{_PAIRS} SELECT {_IDS}, {', '.join(f'round({v},6) AS {k}' for k, v in cols.items())} FROM p"
+    return cols
 
 
-@query(_native_sql())
+@query(f"{_PAIRS} SELECT {_IDS}, {', '.join(f'round({v},6) AS {k}' for k, v in _native_sql().items())} FROM p")
 def pair_features_native(spark, d):
     cols = pairs.native_features()
     return _attributes(spark, d).select("source1_entity_id", "candidate_entity_id", *[F.round(c, 6).alias(k) for k, c in cols.items()])
 
 
-@query()
+def _features_sql() -> str:
+    chars = {"name_char_sim": "indel", "name_token_sort_sim": "token_sort", "name_token_set_sim": "token_set", "address_char_sim": "address"}
+    one = lambda c: f"CASE WHEN {c} THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END"
+    derived = {"name_address_sim_product": "indel*address", "name_high_address_low_conflict": one("indel>=0.85 AND a1<>'' AND a2<>'' AND address<=0.4"), "name_low_address_high_support": one("indel<=0.6 AND address>=0.8")}
+    cols = _native_sql() | chars | derived
+    return f"{_CHARS} SELECT {_IDS}, {', '.join(f'round(CAST(CAST({cols[k]} AS REAL) AS DOUBLE),4) AS {k}' for k in pairs.FEATURES)} FROM p JOIN z USING (n1, n2) JOIN y USING (a1, a2)"
+
+
+@query(_features_sql())
 def pair_features_full(spark, d):
-    p = fixtures.scored(spark, d).select("source1_entity_id", "candidate_entity_id")
-    return pairs.build_features(p, *[norm(spark, d, n) for n in ("d1", "d2", "d3")])
+    """All 26 features, rounded: they are floats."""
+    f = pairs.build_features(_pair_ids(spark, d), *[norm(spark, d, n) for n in ("d1", "d2", "d3")])
+    return f.select("source1_entity_id", "candidate_entity_id", *[F.round(F.col(c).cast("double"), 4).alias(c) for c in pairs.FEATURES])
 
 
 # --- labels and metrics -----------------------------------------------------
@@ -432,3 +469,98 @@ _OBS = " UNION ALL ".join(
 @query(_OBS)
 def profile_observations(spark, d):
     return profiling.observations({f: fixtures.directory(spark, d, f) for f in _FILES})
+
+
+# --- sources and sinks ------------------------------------------------------
+
+def _folder(spark: SparkSession) -> str:
+    return Scratch(spark).root
+
+
+@query("SELECT entity_id, business_name, business_address, country FROM d2")
+def io_source_file(spark, d):
+    """Written as one tab-separated file and loaded with its id prefix checked."""
+    path = f"{_folder(spark)}/test_source2.tsv"
+    tsv.write_table(fixtures.directory(spark, d, "d2"), path, single_file=True)
+    return tsv.load_source(spark, path, "S2")
+
+
+@query("SELECT entity_id, business_name, business_address, country FROM d3")
+def io_source_parts(spark, d):
+    """Written as a folder of parts, each with a header."""
+    path = f"{_folder(spark)}/test_source3.tsv"
+    tsv.write_table(fixtures.directory(spark, d, "d3"), path)
+    return tsv.load_source(spark, path, "S3")
+
+
+@query("SELECT * FROM truth")
+def io_ground_truth(spark, d):
+    path = f"{_folder(spark)}/train_ground_truth.tsv"
+    tsv.write_table(fixtures.truth(spark, d), path, single_file=True)
+    return tsv.load_ground_truth(spark, path)
+
+
+@query(f"SELECT i.source1_entity_id, coalesce(m,'') AS matched_entity_ids FROM (SELECT DISTINCT source1_entity_id FROM truth) i LEFT JOIN (SELECT source1_entity_id, string_agg(candidate_entity_id,',' ORDER BY candidate_entity_id) AS m FROM scored WHERE proba>={THRESHOLD} GROUP BY 1) USING (source1_entity_id)")
+def io_predictions(spark, d):
+    path = f"{_folder(spark)}/{DEFAULTS.predictions_name}"
+    tsv.save_predictions(build_predictions(spark, d).orderBy("source1_entity_id"), path)
+    return tsv.load_ground_truth(spark, path)
+
+
+@query(_block("name_norm", CAP))
+def io_candidates(spark, d):
+    path = f"{_folder(spark)}/{DEFAULTS.candidates_name}"
+    tsv.save_candidates(block_exact_name(spark, d), path)
+    return tsv.read_table(spark, path, [DEFAULTS.left_id, DEFAULTS.right_id])
+
+
+@query("SELECT entity_id, business_name, business_address, CASE WHEN CAST(substr(entity_id,4) AS BIGINT)%5=0 THEN '' ELSE country END AS country FROM d2 WHERE CAST(substr(entity_id,4) AS BIGINT)%7<>0")
+def io_tolerant(spark, d):
+    """Every seventh line has a field too many and is left out; every fifth one lacks its last field."""
+    path, key = f"{_folder(spark)}/odd.tsv", F.substring("entity_id", 4, 99).cast("long")
+    lines = fixtures.directory(spark, d, "d2").select(F.concat_ws("\t", "entity_id", "business_name", "business_address", F.when(key % 5 != 0, F.col("country")), F.when(key % 7 == 0, F.lit("one more"))).alias("value"), key.alias("k"))
+    lines = lines.withColumn("value", F.when((F.col("k") % 5 == 0) & (F.col("k") % 7 == 0), F.concat("value", F.lit("\tand more"))).otherwise(F.col("value")))
+    head = spark.range(1).select(F.lit("\t".join(_COLUMNS)).alias("value"), F.lit(-1).cast("long").alias("k"))
+    head.unionByName(lines).orderBy("k").select("value").coalesce(1).write.text(path)
+    return tsv.read_tolerant(spark, path)[0]
+
+
+@query("SELECT unnest(['test_source2.tsv', 'train_ground_truth.tsv', 'train_source1.tsv']) AS file, unnest(['test/test_source2.tsv', 'deep/er/train_ground_truth.tsv', 'train_source1.tsv']) AS place")
+def io_discover(spark, d):
+    folder, one = _folder(spark), fixtures.directory(spark, d, "d1").limit(1)
+    for place in ("test/test_source2.tsv", "deep/er/train_ground_truth.tsv", "train_source1.tsv", "deep/train_source1.tsv", "notes.tsv"):
+        tsv.write_table(one, f"{folder}/{place}", single_file=True)
+    found = tsv.discover(spark, folder)
+    rows = [(n, p.split(folder.rsplit("/", 1)[-1] + "/", 1)[-1]) for n, p in found.items()]
+    return spark.createDataFrame(rows, "file string, place string")
+
+
+@query("SELECT 'rows' AS line UNION ALL SELECT 'of d2: '||count(*) FROM d2")
+def io_report(spark, d):
+    path = f"{_folder(spark)}/report.txt"
+    tsv.write_report(spark, f"rows\nof d2: {fixtures.directory(spark, d, 'd2').count()}\n", path)
+    return spark.read.text(path).withColumnRenamed("value", "line")
+
+
+@query("SELECT entity_id, business_name, business_address, country FROM d1")
+def load_train_data(spark, d):
+    """The loader of the workflow, over files of the three directories and the truth."""
+    s = replace(DEFAULTS, data_dir=_folder(spark))
+    for i, n in enumerate(("d1", "d2", "d3"), 1):
+        tsv.write_table(fixtures.directory(spark, d, n), f"{s.data_dir}/train/train_source{i}.tsv", single_file=True)
+    tsv.write_table(fixtures.truth(spark, d), f"{s.data_dir}/train/train_ground_truth.tsv", single_file=True)
+    return workflow.load_train_data(spark, s)[0]
+
+
+@query("SELECT entity_id, sha1(business_name||'|'||business_address) AS digest FROM d2")
+def text_digest(spark, d):
+    """Digests that stand for texts which must not be shown."""
+    return fixtures.directory(spark, d, "d2").select("entity_id", tx.digest(F.concat_ws("|", "business_name", "business_address")).alias("digest"))
+
+
+@query("SELECT country, format('{:,}', count(*)*1000) AS number, printf('%.2f%%', 100.0::DOUBLE*count(*)/(SELECT count(*) FROM d2)) AS share FROM d2 GROUP BY country")
+def formatted_counts(spark, d):
+    """Counts as a report shows them."""
+    df = fixtures.directory(spark, d, "d2")
+    total = df.agg(F.count("*").alias("total"))
+    return df.groupBy("country").agg(F.count("*").alias("n")).crossJoin(F.broadcast(total)).select("country", tx.formatted_number(F.col("n") * 1000).alias("number"), tx.formatted_percent(100.0 * F.col("n") / F.col("total")).alias("share"))  # one total

@@ -191,7 +191,42 @@ def test_registry():
     assert set(e.oracle_sql()) <= set(e.queries())
 
 
-def test_unused_helpers(spark):
-    df = spark.createDataFrame([("a b c", "c a")], "a string, b string")
-    r = df.select(sim.token_sort_sim(F.col("a"), F.col("b")).alias("s"), sim.token_set_sim(F.col("a"), F.col("b")).alias("t"), sim.containment(F.split("a", " "), F.split("b", " ")).alias("c")).first()
-    assert r.c == 1.0 and 0 < r.s < 1 and 0 < r.t < 1
+def test_token_similarities(spark):
+    df = spark.createDataFrame([("a b c", "c a"), ("x", ""), ("b a", "a b")], "a string, b string")
+    rows = df.select(sim.token_sort_sim(F.col("a"), F.col("b")).alias("s"), sim.token_set_sim(F.col("a"), F.col("b")).alias("t"), sim.containment(F.split("a", " "), F.split("b", " ")).alias("c")).collect()
+    assert (rows[0].s, rows[0].t, rows[0].c) == (0.75, 0.75, 1.0)  # "a b c" with "a c"; "a c b" with "a c"
+    assert (rows[1].s, rows[1].t) == (0, 0) and (rows[2].s, rows[2].t) == (1, 1)
+
+
+def test_tolerant_scan_and_report(spark, tmp_path, caplog):
+    head = "entity_id\tbusiness_name\tbusiness_address\tcountry\n"
+    (tmp_path / "deep").mkdir()
+    (tmp_path / "deep" / "train_source1.tsv").write_text(head + "S1-1\ta\tb\tUS\nS1-2\tc\td\tUS\textra\nS1-3\te\n")
+    rows, over = tsv.read_tolerant(spark, str(tmp_path / "deep" / "train_source1.tsv"))
+    assert sorted(tuple(r) for r in rows.collect()) == [("S1-1", "a", "b", "US"), ("S1-3", "e", "", "")] and over.count() == 1
+    with caplog.at_level("WARNING"):
+        text = workflow.profile(spark, str(tmp_path))
+    assert "1 lines have more fields" in caplog.text and "train_source1.tsv" in text
+    tsv.write_report(spark, text, str(tmp_path / "r.txt"))
+    assert (tmp_path / "r.txt").read_text() == text
+    with pytest.raises(FileNotFoundError):
+        (tmp_path / "none").mkdir()
+        workflow.profile(spark, str(tmp_path / "none"))
+
+
+def test_run_over_files(spark, tmp_path):
+    """The whole workflow from files to files, and options of the split and of repeated truth."""
+    names = [f"{a} {b} {i}" for i, (a, b) in enumerate([("red", "cafe"), ("blue", "shop"), ("green", "tool"), ("moon", "acme")] * 8)]
+    s = replace(DEFAULTS, max_iter=2, max_depth=2, top_k=3, split_universe="all_s1", data_dir=str(tmp_path / "in"), output_dir=str(tmp_path / "out"))
+    for part in ("train", "test"):
+        for i in (1, 2, 3):
+            d = spark.createDataFrame([(f"S{i}-{j}", n.upper() if i == 2 else n, f"{j} main st", "US") for j, n in enumerate(names)], D)
+            tsv.write_table(d, f"{s.data_dir}/{part}/{part}_source{i}.tsv", single_file=True)
+    truth = spark.createDataFrame([(f"S1-{j}", f"S2-{j},S3-{j},S3-{j}") for j in range(len(names))], "source1_entity_id string, matched_entity_ids string")
+    tsv.write_table(truth, f"{s.data_dir}/train/train_ground_truth.tsv", single_file=True)
+    workflow.run_pipeline(spark, s)
+    lines = (tmp_path / "out" / s.predictions_name).read_text().splitlines()
+    assert lines[0] == "source1_entity_id\tmatched_entity_ids" and len(lines) == 33 and lines[1:] == sorted(lines[1:])
+    assert (tmp_path / "out" / s.candidates_name).read_text().startswith("source1_entity_id\tcandidate_entity_id\n")
+    assert sum("S2-" in x for x in lines) >= 28
+    assert workflow.main(["profile", "--data-dir", str(tmp_path / "nowhere")]) == 1
