@@ -157,4 +157,5 @@ def neighbour_counts(prints: DataFrame, every: int = 50) -> DataFrame:
     pairs = within_radius(prints.filter(asked).select(F.col("bits").alias("fingerprint")), prints.select(F.col("bits").alias("fingerprint")))
     rows = prints.groupBy(F.col("bits").alias("other")).agg(F.count("*").alias("n"))
     near = pairs.join(rows.hint("merge"), "other").groupBy(F.col("fingerprint").alias("near_bits")).agg(F.sum("n").alias("near"))
+    near = Scratch(prints.sparkSession).put(near)  # the join that follows is of plain shuffles, whose large partitions Spark splits
     return prints.join(near.hint("merge"), prints.bits == near.near_bits, "left").withColumn("n_near", F.when(asked, F.col("near"))).drop("near", "near_bits", "bits", "_k")
