@@ -23,6 +23,7 @@ from __future__ import annotations
 
 import struct
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -39,6 +40,7 @@ LOT = 1_500_000  # tokens of a block; a longer text is a block of its own
 SHARD = 2_000_000  # training tokens for each shard
 HOT = 1 << 22  # occurrences of a context from which on its transitions are dealt over all shards
 BITS, HOT_BITS, SLICES = 1 << 27, 1 << 20, 64  # of tables of bits, and the parts that they are made in
+TURNS = 4  # in which blocks ask for what they need of the tree
 DEPTH = 3  # words of context at most; None: until no context of a depth becomes a state
 END = np.uint64(0x5E4D0F7E87A6D1B3)  # stands for the end of a text
 ROUTED = "to long, frm long, data binary"
@@ -618,9 +620,13 @@ def score(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str
         columns = [pa.array(k), pa.array(doc, mask=null.astype(bool)), pa.array(held.astype(bool)), pa.array(sizes), pa.array(total((known > 0).astype(np.int64))), pa.array(np.full(len(k), of_all, np.int64)), pa.array(total(base)), pa.array(total(full))]
         return pa.table(dict(zip([x.split()[0] for x in SCORES.split(", ")], columns, strict=True)))
 
-    answers = scratch.put(_met(tree.table, "shard", _each(blocks.select("block", "docs", "tokens"), asked, "to frm data", ROUTED), answered, ROUTED), "none")
+    # what blocks ask is the largest thing to shuffle, so they ask in turns
+    turn = lambda i: blocks.filter(F.pmod(F.xxhash64("block"), F.lit(TURNS)) == i).select("block", "docs", "tokens")
+    answers = [scratch.put(_met(tree.table, "shard", _each(turn(i), asked, "to frm data", ROUTED), answered, ROUTED), "none") for i in range(TURNS if shards > 1 else 0)]
+    if not answers:  # one shard: few tokens
+        answers = [scratch.put(_met(tree.table, "shard", _each(blocks.select("block", "docs", "tokens"), asked, "to frm data", ROUTED), answered, ROUTED), "none")]
     scratch.drop(tree.table)
-    return _met(blocks, "block", answers, scored, SCORES)
+    return _met(blocks, "block", reduce(DataFrame.unionByName, answers), scored, SCORES)
 
 
 def _sparse(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -5,6 +5,8 @@ import zlib
 
 import pytest
 
+from pyspark.sql import functions as F
+
 import __spark_entry__
 from tessera.llm import catalogue
 
@@ -110,6 +112,6 @@ def test_long_words_and_texts(spark):
     cut = {r.doc_id: r for r in suffix_dedup.remove_repeats(d).collect()}
     assert cut[3].n_removed == len(long) and 400 <= cut[2].n_removed <= 402 and cut[1].n_removed == 199_999
     assert {r.doc_id: r.component_id for r in minhash_dedup.near_duplicates(d).collect()} == {1: 1, 2: 2, 3: 1}
-    assert {r.doc_id: r.n_tokens for r in lm_score.score(d, d.doc_id > 0).collect()}[1] == 300_002
+    assert {r.doc_id: r.n_tokens for r in lm_score.score(d, F.col("doc_id") > 0).collect()}[1] == 300_002
     pieces = packing.best_fit(d, catalogue.tokenizer_path()).filter("doc_id = 1").agg({"piece": "max", "length": "sum"}).first()
     assert pieces[0] > 100
