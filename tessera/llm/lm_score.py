@@ -40,7 +40,7 @@ LOT = 1_500_000  # tokens of a block; a longer text is a block of its own
 SHARD = 2_000_000  # training tokens for each shard
 HOT = 1 << 22  # occurrences of a context from which on its transitions are dealt over all shards
 BITS, HOT_BITS, SLICES = 1 << 27, 1 << 20, 64  # of tables of bits, and the parts that they are made in
-TURNS = 4  # in which blocks ask for what they need of the tree
+TURNS = 4  # in which blocks are scored
 DEPTH = 3  # words of context at most; None: until no context of a depth becomes a state
 END = np.uint64(0x5E4D0F7E87A6D1B3)  # stands for the end of a text
 ROUTED = "to long, frm long, data binary"
@@ -331,21 +331,14 @@ def _grow(blocks: DataFrame, table: DataFrame, hot: np.ndarray, bits: tuple[np.n
         # one of both contexts that are a word shorter is live: for a transition, or for the count of a longer context
         use = _in(live, shorter[at - 1]) | _in(live, shorter[at])
         c, s = c[use], s[use]
-        by = np.lexsort((s, c))
-        c, s = c[by], s[by]
-        first = np.flatnonzero(np.append(True, (c[1:] != c[:-1]) | (s[1:] != s[:-1]))) if len(c) else np.empty(0, np.int64)
-        c, s, n = c[first], s[first], np.diff(np.append(first, len(c))).astype(np.uint32)
+        c, s, n = _tally(c, s, np.ones(len(c), np.uint32))
         to = _shard(np.where(_in(hot, c), _run_key(c, s), c), shards)
         return [(t, 0, _pack(c[own], s[own], n[own])) for t, own in _dealt(to)]
 
     def summed(to: int, rows: list[tuple[int, list[np.ndarray]]]) -> list[tuple]:
         c, s, n = _joined([x for _, x in rows], "u8 u8 u4")
-        by = np.lexsort((s, c))
-        c, s, n = c[by], s[by], n[by].astype(np.int64)
-        first = np.flatnonzero(np.append(True, (c[1:] != c[:-1]) | (s[1:] != s[:-1])))
-        n = np.add.reduceat(n, first)
-        use = n >= LEAST
-        return [(to, _pack(c[first][use], s[first][use], n[use]), int(use.sum()), 0)] if use.any() else []
+        c, s, n = _tally(c, s, n.astype(np.int64), LEAST)
+        return [(to, _pack(c, s, n), len(c), 0)] if len(c) else []
 
     moves = scratch.put(_gathered(_each(blocks.select("docs", "tokens", "n"), counted, "to frm data", ROUTED), summed), "none")
     sent.destroy()
@@ -395,6 +388,21 @@ def _grow(blocks: DataFrame, table: DataFrame, hot: np.ndarray, bits: tuple[np.n
     return scratch.put(found.filter("shard = 0").unionByName(_of_hot(waiting)), "none")
 
 
+def _tally(c: np.ndarray, s: np.ndarray, n: np.ndarray, least: int = 1) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct pairs with their sums, of `least` or more, in the order of c; pairs are told apart by their runs' keys."""
+    if not len(c):
+        return c, s, n
+    key = _run_key(c, s)
+    by = np.argsort(key)
+    key = key[by]
+    first = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+    total, at = np.add.reduceat(n[by], first, dtype=n.dtype), by[first]
+    at, total = at[total >= least], total[total >= least]
+    order = np.argsort(c[at])
+    at = at[order]
+    return c[at], s[at], total[order]
+
+
 def _decided(c: np.ndarray, s: np.ndarray, n: np.ndarray, total: np.ndarray, q: np.ndarray) -> list[np.ndarray]:
     """_grown for contexts, sorted, all of whose transitions are here."""
     if not len(c):
@@ -538,16 +546,27 @@ def _runs_only(data: bytes) -> list[tuple]:
 
 # --- scores -----------------------------------------------------------------
 
-def _wanted(words: np.ndarray, ids: np.ndarray, place: np.ndarray, own: np.ndarray, depth: int) -> tuple[np.ndarray, list[tuple[np.ndarray, np.ndarray]]]:
-    """The distinct keys of a block's runs that the tree may have, and of each depth the places with runs and the runs' keys."""
-    levels, runs = [], words[ids]
+def _wanted(words: np.ndarray, ids: np.ndarray, place: np.ndarray, own: np.ndarray, depth: int) -> tuple[np.ndarray, list[np.ndarray]]:
+    """The keys of a block's runs that the tree may have, depth after depth, and the places of each depth's."""
+    keys, places, runs = [np.empty(0, np.uint64)], [], words[ids]
     for d in range(1, depth + 1):
         k = np.zeros(len(ids), np.uint64)
         k[1:] = _run_key(runs[:-1], runs[1:])
         at = np.flatnonzero(_in_both(own, k) & (place >= d))
-        levels.append((at, k[at]))
+        keys.append(k[at])
+        places.append(at)
         runs = k
-    return np.unique(np.concatenate([np.empty(0, np.uint64), *(k for _, k in levels)])), levels
+    return np.concatenate(keys), places
+
+
+def _distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct keys, sorted, and where each key is among them."""
+    by = np.argsort(keys)
+    keys = keys[by]
+    new = np.append(True, keys[1:] != keys[:-1])[: len(keys)]
+    where = np.empty(len(keys), np.int64)
+    where[by] = np.cumsum(new) - 1
+    return keys[new], where
 
 
 SCORES = "_k long, doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
@@ -572,7 +591,7 @@ def score(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str
 
     def asked(block: int, docs: bytes, tokens: bytes) -> list[tuple]:
         words, ids = _unpack(tokens)
-        runs, _ = _wanted(words, ids, _places(_unpack(docs)[4]), sent.value, depth)
+        runs = np.unique(_wanted(words, ids, _places(_unpack(docs)[4]), sent.value, depth)[0])
         wanted = {to: [words[own], runs[:0]] for to, own in _dealt(_shard(words, shards))}
         for to, own in _dealt(_shard(runs, shards)):
             wanted.setdefault(to, [words[:0], runs[:0]])[1] = runs[own]
@@ -592,6 +611,8 @@ def score(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str
         words, ids = _unpack(rows[0]["tokens"])
         place = _places(sizes)
         runs, levels = _wanted(words, ids, place, sent.value, depth)
+        runs, where = _distinct(runs)
+        ends = np.cumsum([0, *map(len, levels)])
         count, word_left = np.zeros(len(words), np.int64), np.full(len(words), np.nan)
         p, left = np.full(len(runs), np.nan), np.full(len(runs), np.nan)
         by_word, by_run = dict(_dealt(_shard(words, shards))), dict(_dealt(_shard(runs, shards)))
@@ -605,8 +626,8 @@ def score(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str
         known = count[ids]
         base = np.log10((count + 0.5) / (of_all + 0.5 * (distinct + 1)))[ids]
         full, before = base.copy(), word_left[ids]  # before: of each place, the share that the run which ends there leaves
-        for d, (at, keys) in enumerate(levels, 1):
-            run = np.searchsorted(runs, keys)
+        for d, at in enumerate(levels, 1):
+            run = where[ends[d - 1] : ends[d]]
             to_next = np.full(len(ids), np.nan)
             to_next[1:] = before[:-1]
             to_next[place < d] = np.nan
@@ -620,13 +641,17 @@ def score(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str
         columns = [pa.array(k), pa.array(doc, mask=null.astype(bool)), pa.array(held.astype(bool)), pa.array(sizes), pa.array(total((known > 0).astype(np.int64))), pa.array(np.full(len(k), of_all, np.int64)), pa.array(total(base)), pa.array(total(full))]
         return pa.table(dict(zip([x.split()[0] for x in SCORES.split(", ")], columns, strict=True)))
 
-    # what blocks ask is the largest thing to shuffle, so they ask in turns
-    turn = lambda i: blocks.filter(F.pmod(F.xxhash64("block"), F.lit(TURNS)) == i).select("block", "docs", "tokens")
-    answers = [scratch.put(_met(tree.table, "shard", _each(turn(i), asked, "to frm data", ROUTED), answered, ROUTED), "none") for i in range(TURNS if shards > 1 else 0)]
-    if not answers:  # one shard: few tokens
-        answers = [scratch.put(_met(tree.table, "shard", _each(blocks.select("block", "docs", "tokens"), asked, "to frm data", ROUTED), answered, ROUTED), "none")]
-    scratch.drop(tree.table)
-    return _met(blocks, "block", reduce(DataFrame.unionByName, answers), scored, SCORES)
+    def of_turn(own: DataFrame) -> DataFrame:
+        answers = scratch.put(_met(tree.table, "shard", _each(own.select("block", "docs", "tokens"), asked, "to frm data", ROUTED), answered, ROUTED), "none")
+        out = scratch.put(_met(own, "block", answers, scored, SCORES))
+        scratch.drop(answers)
+        return out
+
+    # what blocks ask and are answered is the largest thing to hold, so they are scored in turns; one shard has few tokens
+    turns = TURNS if shards > 1 else 1
+    scores = [of_turn(blocks.filter(F.pmod(F.xxhash64("block"), F.lit(turns)) == i)) for i in range(turns)]
+    scratch.drop(blocks, tree.table)
+    return reduce(DataFrame.unionByName, scores)
 
 
 def _sparse(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
