@@ -32,7 +32,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import MIX, Scratch, kernel, keyed, words_of
+from tessera.llm.common import MIX, Scratch, distinct, kernel, keyed, words_of
 from tessera.storage import cleaned
 
 LEAST, DISCOUNT, GAIN = 2, 0.5, 4.0
@@ -301,8 +301,10 @@ def _grown(c: np.ndarray, s: np.ndarray, n: np.ndarray, total: np.ndarray, q: np
     """Runs one word longer (key, count, log10 probability by the longest state, open), transitions of states (key, log10 probability), states (key, log10 share left), live contexts; own: the verdict on each row's context."""
     kept, left, live = own
     k, p = _run_key(c, s), np.log10((n - DISCOUNT) / total)
-    _, first = np.unique(c[kept], return_index=True)
-    return [k, n, np.where(kept, p, q), live, k[kept], p[kept], c[kept][first], left[kept][first], np.unique(c[live])]
+    states, shares = c[kept], left[kept]
+    by = np.argsort(states)
+    first = by[np.append(True, states[by][1:] != states[by][:-1])[: len(by)]]
+    return [k, n, np.where(kept, p, q), live, k[kept], p[kept], states[first], shares[first], distinct(c[live])]
 
 
 GROWN = "u8 i8 f8 ?  u8 f8 u8 f8 u8"
@@ -345,7 +347,7 @@ def _grow(blocks: DataFrame, table: DataFrame, hot: np.ndarray, bits: tuple[np.n
 
     def asked(shard: int, data: bytes) -> list[tuple]:
         c, s, _ = _unpack(data)
-        keys = np.union1d(c, s)
+        keys = distinct(np.concatenate([c, s]))
         return [(to, shard, _pack(keys[own])) for to, own in _dealt(_shard(keys, shards))]
 
     def answered(_: int, rows: list[dict], sent: list[tuple[int, list[np.ndarray]]]) -> pa.Table:
@@ -532,7 +534,7 @@ def _word_table(to: int, rows: list[tuple[int, list[np.ndarray]]]) -> list[tuple
 
 def _value_table(to: int, rows: list[tuple[int, list[np.ndarray]]]) -> list[tuple]:
     """Of words (0), transitions (1) and states (2): one row for each key."""
-    keys = np.unique(np.concatenate([x[0] for _, x in rows]))
+    keys = distinct(np.concatenate([x[0] for _, x in rows]))
     n, p, left = np.zeros(len(keys), np.int64), np.full(len(keys), np.nan), np.full(len(keys), np.nan)
     for kind, (k, v) in rows:
         (n, p, left)[kind][np.searchsorted(keys, k)] = v
@@ -587,11 +589,11 @@ def score(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str
     blocks = scratch.put(kernel(source.select("_k", "doc_id", "text", "held_out"), lambda batches: _blocks(batches, lot), BLOCKS), "none")
     tree = Tree(blocks, scratch, depth)
     sent, shards, depth = spark.sparkContext.broadcast(tree.own), tree.shards, tree.depth
-    of_all, distinct = tree.tokens, tree.distinct
+    of_all, kinds = tree.tokens, tree.distinct
 
     def asked(block: int, docs: bytes, tokens: bytes) -> list[tuple]:
         words, ids = _unpack(tokens)
-        runs = np.unique(_wanted(words, ids, _places(_unpack(docs)[4]), sent.value, depth)[0])
+        runs = distinct(_wanted(words, ids, _places(_unpack(docs)[4]), sent.value, depth)[0])
         wanted = {to: [words[own], runs[:0]] for to, own in _dealt(_shard(words, shards))}
         for to, own in _dealt(_shard(runs, shards)):
             wanted.setdefault(to, [words[:0], runs[:0]])[1] = runs[own]
@@ -624,7 +626,7 @@ def score(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str
             if own_run is not None:
                 p[own_run[p_at]], left[own_run[l_at]] = p_v, l_v
         known = count[ids]
-        base = np.log10((count + 0.5) / (of_all + 0.5 * (distinct + 1)))[ids]
+        base = np.log10((count + 0.5) / (of_all + 0.5 * (kinds + 1)))[ids]
         full, before = base.copy(), word_left[ids]  # before: of each place, the share that the run which ends there leaves
         for d, at in enumerate(levels, 1):
             run = where[ends[d - 1] : ends[d]]
