@@ -151,6 +151,16 @@ def _found(keys: np.ndarray, asked: np.ndarray) -> np.ndarray:
     return np.where(keys[at] == asked, at, -1)
 
 
+def _distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct keys, sorted, and where each key is among them."""
+    by = np.argsort(keys)
+    keys = keys[by]
+    new = np.append(True, keys[1:] != keys[:-1])[: len(keys)]
+    where = np.empty(len(keys), np.int64)
+    where[by] = np.cumsum(new) - 1
+    return keys[new], where
+
+
 # --- keys and tables of bits ------------------------------------------------
 
 def _run_key(first: np.ndarray, last: np.ndarray) -> np.ndarray:
@@ -168,7 +178,7 @@ def _run_key(first: np.ndarray, last: np.ndarray) -> np.ndarray:
 
 def _probe(bits: np.ndarray, slot: np.ndarray) -> np.ndarray:
     slot &= np.uint32(8 * len(bits) - 1)
-    return ((bits[slot >> np.uint32(3)] >> slot.astype(np.uint8) % np.uint8(8)) & np.uint8(1)).view(bool)
+    return ((bits[slot >> np.uint32(3)] >> (slot.astype(np.uint8) & np.uint8(7))) & np.uint8(1)).view(bool)
 
 
 def _in(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
@@ -229,41 +239,29 @@ def _runs(words: np.ndarray, ids: np.ndarray, place: np.ndarray, known: np.ndarr
 
 # --- blocks -----------------------------------------------------------------
 
-class _Numbered(dict):
-    """Words with their numbers from 1 on, in the order in which they are asked for."""
-
-    def __missing__(self, word: bytes) -> int:
-        n = self[word] = len(self) + 1
-        return n
-
-
 BLOCKS = "block long, docs binary, tokens binary, n long"
 
 
 def _blocks(batches: Iterator[pa.RecordBatch], lot: int) -> Iterator[pa.RecordBatch]:
     """Rows of about `lot` tokens, training texts first: the texts' keys, ids, held_out and sizes; the distinct words, and which of them each token is."""
     held: list[tuple[bool, int, int | None, np.ndarray]] = []
-    size, seen = 0, _Numbered()
+    size = 0
 
     def block() -> pa.RecordBatch:
         rows = sorted(held, key=lambda x: x[0])
-        words = np.array([END, *map(xxhash.xxh3_64_intdigest, seen)], np.uint64)
-        by = np.argsort(words)
-        rank = np.empty(len(by), np.uint32)
-        rank[by] = np.arange(len(by))
-        ids = rank[np.concatenate([x[3] for x in rows])]
+        words, ids = _distinct(np.concatenate([x[3] for x in rows]))
         docs = _pack(np.array([x[1] for x in rows], np.int64), np.array([x[2] or 0 for x in rows], np.int64), np.array([x[2] is None for x in rows], np.uint8), np.array([x[0] for x in rows], np.uint8), np.array([len(x[3]) for x in rows], np.int64))
         n = sum(len(x[3]) for x in rows if not x[0])
-        return pa.RecordBatch.from_arrays([pa.array([rows[0][1]], pa.int64()), pa.array([docs], pa.binary()), pa.array([_pack(words[by], ids)], pa.binary()), pa.array([n], pa.int64())], names=["block", "docs", "tokens", "n"])
+        return pa.RecordBatch.from_arrays([pa.array([rows[0][1]], pa.int64()), pa.array([docs], pa.binary()), pa.array([_pack(words, ids.astype(np.uint32))], pa.binary()), pa.array([n], pa.int64())], names=["block", "docs", "tokens", "n"])
 
     for b in batches:
         for k, d, t, h in zip(*(b.column(c).to_pylist() for c in ("_k", "doc_id", "text", "held_out")), strict=True):
             words = words_of(t)
-            held.append((h, k, d, np.append(np.fromiter(map(seen.__getitem__, words), np.int32, len(words)), np.int32(0))))
+            held.append((h, k, d, np.append(np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words)), END)))
             size += len(held[-1][3])
             if size >= lot:
                 yield block()
-                held, size, seen = [], 0, _Numbered()
+                held, size = [], 0
     if held:
         yield block()
 
@@ -561,16 +559,6 @@ def _wanted(words: np.ndarray, ids: np.ndarray, place: np.ndarray, own: np.ndarr
     return np.concatenate(keys), places
 
 
-def _distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The distinct keys, sorted, and where each key is among them."""
-    by = np.argsort(keys)
-    keys = keys[by]
-    new = np.append(True, keys[1:] != keys[:-1])[: len(keys)]
-    where = np.empty(len(keys), np.int64)
-    where[by] = np.cumsum(new) - 1
-    return keys[new], where
-
-
 SCORES = "_k long, doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
 
