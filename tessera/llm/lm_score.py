@@ -32,7 +32,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import MIX, Scratch, distinct, kernel, keyed, words_of
+from tessera.llm.common import MIX, Scratch, distinct, kernel, keyed, release, words_of
 from tessera.storage import cleaned
 
 LEAST, DISCOUNT, GAIN = 2, 0.5, 4.0
@@ -128,7 +128,9 @@ def _gathered(routed: DataFrame, f: Callable[[int, list[tuple[int, list[np.ndarr
     """f of all that is routed to one place: (from, arrays)."""
 
     def run(t: pa.Table) -> pa.Table:
-        return pa.Table.from_batches([_rows(f(t.column("to")[0].as_py(), [(x, _unpack(d)) for x, d in zip(t.column("frm").to_pylist(), t.column("data").to_pylist(), strict=True)]), names)])
+        out = pa.Table.from_batches([_rows(f(t.column("to")[0].as_py(), [(x, _unpack(d)) for x, d in zip(t.column("frm").to_pylist(), t.column("data").to_pylist(), strict=True)]), names)])
+        release()
+        return out
 
     return routed.groupBy("to").applyInArrow(run, schema)
 
@@ -138,7 +140,9 @@ def _met(table: DataFrame, key: str, routed: DataFrame, f: Callable[[int, list[d
 
     def run(rows: pa.Table, sent: pa.Table) -> pa.Table:
         place = (rows.column(key) if rows.num_rows else sent.column("to"))[0].as_py()
-        return f(place, rows.to_pylist(), [(x, _unpack(d)) for x, d in zip(sent.column("frm").to_pylist(), sent.column("data").to_pylist(), strict=True)])
+        out = f(place, rows.to_pylist(), [(x, _unpack(d)) for x, d in zip(sent.column("frm").to_pylist(), sent.column("data").to_pylist(), strict=True)])
+        release()
+        return out
 
     return table.groupBy(key).cogroup(routed.groupBy("to")).applyInArrow(run, schema)
 
