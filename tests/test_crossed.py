@@ -1,13 +1,15 @@
 """Matrices of measures, and the queries that make their pairs by them."""
 
 import random
+from dataclasses import replace
 
 import pytest
 
 from tessera.functions import crossed
 from tessera.functions import similarity as sim
-from tessera.operators import pairs
+from tessera.operators import pairs, training
 from tessera.plans import catalogue
+from tessera.settings import DEFAULTS
 
 DIR = "/root/testdata/sf0.001"
 WORDS = ["brand", "large", "ring", "12", "7", "é", "𝒳y", "aa", "b", "10403", "x" * 30, "y" * 70]
@@ -52,3 +54,26 @@ def test_pairs_are_made_in_the_kernel(spark, name):
     above = plan[: plan.index("MapInArrow")]
     assert not any(x in above for x in ("Join", "Repartition", "ArrowEvalPython"))
     assert "RepartitionByExpression" in plan  # bundles of rows are dealt to a stated number of tasks
+
+
+def test_labels_and_scores_in_the_kernel_are_those_of_the_steps(spark):
+    one = spark.createDataFrame([(f"S1-{i}", t, t[::-1], "us", 1) for i, t in enumerate(texts(6, 3))], "source1_entity_id string, n1 string, a1 string, c1 string, key int")
+    two = spark.createDataFrame([(f"S2-{i}", t, t, "fr", 1) for i, t in enumerate(texts(9, 3))], "candidate_entity_id string, n2 string, a2 string, c2 string, key int")
+    truth = spark.createDataFrame([(f"S1-{i}", f"S2-{i}, S2-{i + 1},S2-{i},S9-1") for i in range(0, 12, 2)], "source1_entity_id string, matched_entity_ids string")
+    own = pairs.crossed_features(pairs.with_matches(one, truth), two, ["key"], pairs.FEATURES)
+    other = pairs.attach_labels(pairs.crossed_features(one, two, ["key"], pairs.FEATURES), truth).select(own.columns)
+    assert own.schema.simpleString() == other.schema.simpleString()
+    assert sorted(map(tuple, own.collect())) == sorted(map(tuple, other.collect())) and own.count() > one.count() * two.count()
+    matcher = training.train_model(own, replace(DEFAULTS, max_iter=4, max_depth=3))
+    scored = pairs.crossed_features(pairs.with_matches(one, truth), two, ["key"], pairs.FEATURES, score=matcher.trees())
+    plain = matcher.predict_proba(own).select(scored.columns)
+    for a, b in zip(sorted(scored.collect()), sorted(plain.collect()), strict=True):
+        assert a[:3] == b[:3] and a.proba == pytest.approx(b.proba, abs=1e-14)
+    assert scored.select("proba").distinct().count() > 2
+
+
+def test_matcher_scores_keeps_no_pairs(spark):
+    out = catalogue.QUERIES["matcher_scores"](spark, DIR)
+    assert "InMemoryRelation" not in str(out._jdf.queryExecution().optimizedPlan())
+    assert out.columns == ["source1_entity_id", "candidate_entity_id", "label", "proba"]
+    assert out.filter("proba > 0.5 and label = 1").count() > 0.8 * out.filter("label = 1").count() > 0
