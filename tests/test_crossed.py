@@ -7,7 +7,7 @@ import pytest
 
 from tessera.functions import crossed
 from tessera.functions import similarity as sim
-from tessera.operators import pairs, training
+from tessera.operators import blocking, pairs, training
 from tessera.plans import catalogue
 from tessera.settings import DEFAULTS
 
@@ -34,6 +34,20 @@ def test_matrices_are_the_measures_of_each_pair():
             assert s.token_set_sim[i, k] == sim.char_ratio(one, other), (a, b)
 
 
+def test_pairs_are_compared_many_at_a_time():
+    left, right = texts(3000, 1), texts(3000, 2)
+    assert crossed.char_sims_of_pairs(left + right[:9] * 2, right + right[:9] * 2).tolist() == [sim.char_ratio(a, b) for a, b in zip(left + right[:9] * 2, right + right[:9] * 2, strict=True)]
+    assert crossed.char_sims_of_pairs([], []).tolist() == []
+
+
+def test_candidates_are_ranked_once_for_each_distinct_name(spark):
+    rows = lambda p, n: spark.createDataFrame([(f"{p}-{i:04}", f"ab{'cdefg'[i % 5]}", "", "") for i in range(n)], "entity_id string, name_norm string, address_norm string, country_norm string")
+    out = blocking.ngram_topk(rows("S1", 40), rows("S2", 30), 8)
+    plan = str(out._jdf.queryExecution().optimizedPlan())
+    top = plan.split("Window")[0]  # what is done after the ranking
+    assert "Join" in top and out.count() == 40 * 8
+
+
 @pytest.mark.parametrize("sizes", [(256, 2048, 1 << 15), (3, 4, 5)])
 def test_crossed_features_are_those_of_pairs(spark, monkeypatch, sizes):
     for name, size in zip(("LEFT_ROWS", "RIGHT_ROWS", "OUT_ROWS"), sizes, strict=True):
@@ -77,3 +91,9 @@ def test_matcher_scores_keeps_no_pairs(spark):
     assert "InMemoryRelation" not in str(out._jdf.queryExecution().optimizedPlan())
     assert out.columns == ["source1_entity_id", "candidate_entity_id", "label", "proba"]
     assert out.filter("proba > 0.5 and label = 1").count() > 0.8 * out.filter("label = 1").count() > 0
+
+
+def test_pairs_are_not_shuffled_for_their_texts(spark):
+    one, two = (spark.createDataFrame([(f"{p}-1", "a b", "c", "us")], "entity_id string, name_norm string, address_norm string, country_norm string") for p in ("S1", "S2"))
+    plan = str(pairs.build_features(spark.createDataFrame([("S1-1", "S2-1")], "source1_entity_id string, candidate_entity_id string"), one, two)._jdf.queryExecution().optimizedPlan())
+    assert "Join" not in plan[: plan.index("ArrowEvalPython")] and plan.count("ArrowEvalPython") == 1 and plan.count("Join") == 2
