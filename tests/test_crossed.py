@@ -3,7 +3,9 @@
 import random
 from dataclasses import replace
 
+import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tessera.functions import crossed
 from tessera.functions import similarity as sim
@@ -97,3 +99,19 @@ def test_pairs_are_not_shuffled_for_their_texts(spark):
     one, two = (spark.createDataFrame([(f"{p}-1", "a b", "c", "us")], "entity_id string, name_norm string, address_norm string, country_norm string") for p in ("S1", "S2"))
     plan = str(pairs.build_features(spark.createDataFrame([("S1-1", "S2-1")], "source1_entity_id string, candidate_entity_id string"), one, two)._jdf.queryExecution().optimizedPlan())
     assert "Join" not in plan[: plan.index("ArrowEvalPython")] and plan.count("ArrowEvalPython") == 1 and plan.count("Join") == 2
+
+
+def test_native_features_are_made_in_the_kernel_and_are_those_of_pairs(spark):
+    out = catalogue.QUERIES["pair_features_native"](spark, DIR)
+    plan = str(out._jdf.queryExecution().optimizedPlan())
+    assert not any(x in plan[: plan.index("MapInArrow")] for x in ("Join", "Repartition"))
+    one, two = (spark.createDataFrame([(f"{p}-{i}", t, texts(40, 9)[-i], ["us", "", "fr"][i % 3], 1) for i, t in enumerate(texts(40, len(p) + i0))], f"{side} string, n{k} string, a{k} string, c{k} string, key int") for p, i0, side, k in (("S1", 1, "source1_entity_id", 1), ("S2", 2, "candidate_entity_id", 2)))
+    own = pairs.crossed_features(one, two, ["key"], pairs.NATIVE_FEATURES, kind="code").select("source1_entity_id", "candidate_entity_id", *[c.alias(f) for f, c in pairs.decoded(pairs.NATIVE_FEATURES).items()])
+    other = sim.rounded(one.join(two, "key").select(own.columns[0], own.columns[1], *[c.alias(f) for f, c in pairs.native_features().items()]), 6, *pairs.RATIO_FEATURES).select(own.columns)
+    assert own.dtypes == other.dtypes and sorted(map(tuple, own.collect())) == sorted(map(tuple, other.collect()))
+
+
+def test_rounding_in_the_kernel_is_that_of_round(spark):
+    x = [a / b for b in range(1, 130) for a in range(b + 1)] + [k / 2e6 for k in range(1, 4001, 2)] + [k / 2e6 + e for k in (1, 777777) for e in (-1e-12, 1e-12)]
+    want = [r[0] for r in spark.createDataFrame([(v,) for v in x], "x double").select(F.round("x", 6)).collect()]
+    assert (crossed.rounded(np.array(x)) / 1e6).tolist() == want
