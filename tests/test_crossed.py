@@ -115,3 +115,18 @@ def test_rounding_in_the_kernel_is_that_of_round(spark):
     x = [a / b for b in range(1, 130) for a in range(b + 1)] + [k / 2e6 for k in range(1, 4001, 2)] + [k / 2e6 + e for k in (1, 777777) for e in (-1e-12, 1e-12)]
     want = [r[0] for r in spark.createDataFrame([(v,) for v in x], "x double").select(F.round("x", 6)).collect()]
     assert (crossed.rounded(np.array(x)) / 1e6).tolist() == want
+
+
+def test_texts_of_a_side_are_taken_apart_before_they_are_paired(spark):
+    schema = "entity_id string, name_norm string, address_norm string, country_norm string"
+    one = spark.createDataFrame([(f"S1-{i}", t, t[::-1], "us") for i, t in enumerate(texts(6, 3))], schema)
+    two = spark.createDataFrame([(f"S2-{i}", t, t, "fr") for i, t in enumerate(texts(9, 3))] + [("S2-none", "", "", "")], schema)
+    ids = one.crossJoin(two.withColumnRenamed("entity_id", "candidate_entity_id")).select(F.col("entity_id").alias("source1_entity_id"), "candidate_entity_id")
+    out = pairs.build_features(ids, one, two.filter("entity_id <> 'S2-none'"))  # an id that no directory has is one without texts
+    plan = str(out._jdf.queryExecution().optimizedPlan())
+    assert "regexp_extract" not in plan[: plan.index("Join")] and "regexp_extract" in plan
+    d = pairs.with_attributes(ids, one, two, None)
+    cols = pairs.native_features()
+    other = d.select("source1_entity_id", "candidate_entity_id", *[c.cast("float").alias(f) for f, c in cols.items()])
+    assert out.count() == other.count() == ids.count()
+    assert sorted(map(tuple, out.select(other.columns).collect())) == sorted(map(tuple, other.collect()))
